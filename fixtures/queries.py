@@ -90,14 +90,13 @@ def _silence(df: DataFrame) -> DataFrame:
 
 
 def _per_metric(flag: Callable[..., DataFrame], *suffixes: str, **settings) -> Query:
-    """One detector on every metric, with the columns it adds."""
+    """One detector on all metrics, with the columns it adds."""
 
     def run(series: DataFrame) -> DataFrame:
-        for m in METRICS:
-            series = flag(series, DEPARTMENT, m, **settings)
+        flagged = flag(series, DEPARTMENT, METRICS, **settings)
         added = [f"{m}__{s}" for m in METRICS for s in suffixes]
         scores = [c for c in added if "__is_" not in c]
-        return _rounded(series.select(*SERIES_KEYS, *METRICS, *added), *scores)
+        return _rounded(flagged.select(*SERIES_KEYS, *METRICS, *added), *scores)
 
     return _on_series(run)
 

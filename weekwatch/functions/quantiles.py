@@ -1,8 +1,11 @@
-"""Quantiles of a column within a group, attached to every row of the group.
+"""Quantiles of columns within a group, attached to every row of the group.
 
 They are window aggregates, so the rows of a group meet in one task. Callers
 pass weekly series, which hold one row per group and calendar date: however
 many raw rows a region has, its series is no longer than the calendar.
+
+All columns are handled together: windows with the same keys that stand in the
+same projection become one operator in the plan.
 """
 
 from __future__ import annotations
@@ -23,35 +26,29 @@ def group_median(name: str | Column, keys: Sequence[str]) -> Column:
 def group_quantiles(
     df: DataFrame,
     keys: Sequence[str],
-    name: str,
+    names: Sequence[str],
     quantiles: Mapping[str, float],
     mode: str = "nearest",
 ) -> DataFrame:
-    """Add one column per entry of ``quantiles`` (column name to fraction).
+    """Add ``<prefix><name>`` for every name and every entry of ``quantiles`` (prefix: fraction).
 
     ``nearest`` takes the observed value at the rounded rank ``(n - 1) * q``
     (halves up), ``linear`` interpolates, ``approx`` uses Spark's sketch.
     """
     group = Window.partitionBy(*keys)
+    wanted = [(f"{prefix}{c}", c, q) for c in names for prefix, q in quantiles.items()]
     if mode == "linear":
-        return df.withColumns({c: F.percentile(name, q).over(group) for c, q in quantiles.items()})
+        return df.withColumns({out: F.percentile(c, q).over(group) for out, c, q in wanted})
     if mode == "approx":
-        return df.withColumns(
-            {c: F.percentile_approx(name, q).over(group) for c, q in quantiles.items()}
-        )
+        return df.withColumns({out: F.percentile_approx(c, q).over(group) for out, c, q in wanted})
     if mode != "nearest":
         raise ValueError(f"mode must be one of {QUANTILE_MODES}, not {mode!r}")
-    rank, size = f"__rank_{name}", f"__size_{name}"
-    ranked = df.withColumns(
-        {
-            rank: F.row_number().over(group.orderBy(F.col(name).asc_nulls_last())),
-            size: F.count(name).over(group),
-        }
-    )
-    picked = {
-        c: F.max(
-            F.when(F.col(rank) == F.floor((F.col(size) - 1) * F.lit(q) + 0.5) + 1, F.col(name))
-        ).over(group)
-        for c, q in quantiles.items()
+    ranks = {
+        f"__rank_{c}": F.row_number().over(group.orderBy(F.col(c).asc_nulls_last())) for c in names
     }
-    return ranked.withColumns(picked).drop(rank, size)
+    sizes = {f"__size_{c}": F.count(c).over(group) for c in names}
+    picked = {}
+    for out, c, q in wanted:
+        place = F.floor((F.col(f"__size_{c}") - 1) * F.lit(q) + 0.5) + 1
+        picked[out] = F.max(F.when(F.col(f"__rank_{c}") == place, F.col(c))).over(group)
+    return df.withColumns({**ranks, **sizes}).withColumns(picked).drop(*ranks, *sizes)

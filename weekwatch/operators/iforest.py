@@ -44,39 +44,45 @@ def expected_path(n) -> np.ndarray:
     return np.where(n <= 1, 0.0, np.where(n == 2, 1.0, mean))
 
 
-def _grow(rows: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, ...]:
-    """One tree in heap order (children of i at 2i+1 and 2i+2), grown level by level."""
-    depth = int(np.ceil(np.log2(max(len(rows), 2))))
+def _grow(rows: np.ndarray, generators: Sequence[np.random.Generator], samples: int):
+    """One tree per generator, all grown together, one level at a time.
+
+    Returns ``feature`` (-1 in a leaf), ``threshold`` and ``size`` with one row per
+    tree, the nodes in heap order: the children of i are 2i+1 and 2i+2.
+    """
+    depth = int(np.ceil(np.log2(max(samples, 2))))
     slots = 2 ** (depth + 1) - 1
-    feature = np.full(slots, -1, dtype=np.int32)
-    threshold = np.zeros(slots)
-    size = np.zeros(slots, dtype=np.int32)
-    which, where = rng.random(slots), rng.random(slots)
-    node = np.zeros(len(rows), dtype=np.int64)
-    size[0] = len(rows)
+    drawn = [g.choice(len(rows), samples, replace=False) for g in generators]
+    rows = rows[np.concatenate(drawn)]
+    chance = np.stack([g.random((slots, 2)) for g in generators]).reshape(-1, 2)
+    root = np.repeat(np.arange(len(generators)) * slots, samples)
+    node = root.copy()
+    feature = np.full(len(chance), -1, dtype=np.int32)
+    threshold = np.zeros(len(chance))
+    size = np.bincount(node, minlength=len(chance))
     for _ in range(depth):
         order = np.argsort(node, kind="stable")
-        open_nodes, start = np.unique(node[order], return_index=True)
+        here, start = np.unique(node[order], return_index=True)
         low = np.minimum.reduceat(rows[order], start, axis=0)
         high = np.maximum.reduceat(rows[order], start, axis=0)
-        varies = high > low
-        choices = varies.sum(axis=1)
-        wanted = np.floor(which[open_nodes] * choices)
-        picked = (varies.cumsum(axis=1) > wanted[:, None]).argmax(axis=1)
-        at = np.arange(len(open_nodes))
-        cut = low[at, picked] + where[open_nodes] * (high[at, picked] - low[at, picked])
-        cut = np.where(cut >= high[at, picked], low[at, picked], cut)
-        split = choices > 0
-        feature[open_nodes[split]] = picked[split]
-        threshold[open_nodes[split]] = cut[split]
-        active = feature[node] >= 0
-        rows, node = rows[active], node[active]
-        if not len(rows):
-            break
+        usable = (high > low).cumsum(axis=1)
+        number = np.floor(chance[here, 0] * usable[:, -1])
+        column = (usable > number[:, None]).argmax(axis=1)
+        at = np.arange(len(here))
+        low, high = low[at, column], high[at, column]
+        cut = low + chance[here, 1] * (high - low)
+        splits = usable[:, -1] > 0
+        feature[here[splits]] = column[splits]
+        threshold[here[splits]] = np.where(cut < high, cut, low)[splits]
+        going = feature[node] >= 0
+        rows, node, root = rows[going], node[going], root[going]
         right = rows[np.arange(len(rows)), feature[node]] > threshold[node]
-        node = 2 * node + 1 + right
-        np.add.at(size, node, 1)
-    return feature, threshold, size
+        node = root + 2 * (node - root) + 1 + right
+        size += np.bincount(node, minlength=len(size))
+        if not len(node):
+            break
+    shape = (len(generators), slots)
+    return feature.reshape(shape), threshold.reshape(shape), size.reshape(shape)
 
 
 def _path_lengths(rows: np.ndarray, feature, threshold, size) -> np.ndarray:
@@ -116,6 +122,15 @@ def _with_size(rows: DataFrame, series: DataFrame, keys: Sequence[str]) -> DataF
     return rows.join(sizes, same).drop(*(f"__of_{c}" for c in keys))
 
 
+def _spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Partition by the keys into the session's number of shuffle partitions.
+
+    The rows are few and small but costly to work on, so the partitions must not
+    be merged by their size in bytes, which adaptive execution would do.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def _slices() -> Column:
     return F.ceil(F.col("__rows") / F.lit(ROWS_PER_SLICE)).cast("bigint")
 
@@ -162,24 +177,20 @@ def iforest_fit(
     def grow_block(table: pa.Table) -> pa.Table:
         table = table.sort_by("__place")
         rows = _vectors(table, "__x")
-        head = table.slice(0, 1).to_pylist()[0]
         samples = min(max_samples, len(rows))
-        first = head["__block"] * TREES_PER_BLOCK
+        first, stream = table.column("__block")[0].as_py(), table.column("__seed")[0].as_py()
+        first *= TREES_PER_BLOCK
         numbers = range(first, min(first + TREES_PER_BLOCK, n_trees))
-        trees = []
-        for number in numbers:
-            rng = np.random.default_rng([seed, head["__seed"] & (2**64 - 1), number])
-            trees.append(_grow(rows[rng.choice(len(rows), samples, replace=False)], rng))
-        names = [*keys, "__slices"]
-        out = table.select(names).take(np.zeros(len(numbers), dtype="int64"))
+        seeds = [[seed, stream & (2**64 - 1), number] for number in numbers]
+        grown = _grow(rows, [np.random.default_rng(s) for s in seeds], samples)
+        out = table.select([*keys, "__slices"]).take(np.zeros(len(numbers), dtype="int64"))
         out = out.append_column("__samples", pa.array([samples] * len(numbers), pa.int32()))
         out = out.append_column("__tree", pa.array(list(numbers), pa.int32()))
-        for i, (name, kind) in enumerate(_NODE_ARRAYS.items()):
-            nodes = pa.array([tree[i] for tree in trees], pa.list_(kind))
-            out = out.append_column(name, nodes)
+        for (name, kind), nodes in zip(_NODE_ARRAYS.items(), grown):
+            out = out.append_column(name, pa.array(list(nodes), pa.list_(kind)))
         return out
 
-    return work.groupBy(*keys, "__block").applyInArrow(grow_block, schema)
+    return _spread(work, *keys, "__block").groupBy(*keys, "__block").applyInArrow(grow_block, schema)
 
 
 def iforest_score(
@@ -218,8 +229,9 @@ def iforest_score(
 
     schema = T.StructType([*series.schema.fields, T.StructField("iforest_score", T.DoubleType())])
     return (
-        rows.groupBy(*keys, "__slice")
-        .cogroup(trees.groupBy(*keys, "__slice"))
+        _spread(rows, *keys, "__slice")
+        .groupBy(*keys, "__slice")
+        .cogroup(_spread(trees, *keys, "__slice").groupBy(*keys, "__slice"))
         .applyInArrow(score_slice, schema)
     )
 

@@ -41,65 +41,80 @@ def weekly_series(
     return df.groupBy(*group_keys, date_col).agg(*largest)
 
 
+def _listed(metrics: str | Sequence[str]) -> list[str]:
+    return [metrics] if isinstance(metrics, str) else list(metrics)
+
+
+def _beyond(score: str, threshold: float) -> Column:
+    return F.abs(F.col(score)) > F.lit(float(threshold))
+
+
 def flag_iqr(
     df: DataFrame,
     group_keys: Sequence[str],
-    metric: str,
+    metrics: str | Sequence[str],
     k: float = IQR_K,
     interpolation: str = "nearest",
 ) -> DataFrame:
     """Tukey's fences around the quartiles of the group."""
-    q1, q3 = f"__q1_{metric}", f"__q3_{metric}"
-    quartiles = group_quantiles(df, group_keys, metric, {q1: 0.25, q3: 0.75}, interpolation)
-    reach = (F.col(q3) - F.col(q1)) * F.lit(float(k))
-    low, high = F.col(q1) - reach, F.col(q3) + reach
-    return quartiles.withColumns(
-        {
-            f"{metric}__iqr_low": low,
-            f"{metric}__iqr_high": high,
-            f"{metric}__is_iqr": (F.col(metric) < low) | (F.col(metric) > high),
-        }
-    ).drop(q1, q3)
-
-
-def _robust_z(df: DataFrame, keys: Sequence[str], metric: str, score: str) -> DataFrame:
-    """0.6745 (x - median) / MAD over the keys; null where the MAD is zero."""
-    middle, spread = f"__median_{score}", f"__mad_{score}"
-    off = F.col(metric) - F.col(middle)
-    return (
-        df.withColumn(middle, group_median(metric, keys))
-        .withColumn(spread, group_median(F.abs(off), keys))
-        .withColumn(score, safe_div(off * F.lit(NORMAL_CONSISTENCY), F.col(spread)))
-        .drop(middle, spread)
+    metrics = _listed(metrics)
+    quartiles = group_quantiles(
+        df, group_keys, metrics, {"__q1_": 0.25, "__q3_": 0.75}, interpolation
     )
+    added = {}
+    for m in metrics:
+        q1, q3 = F.col(f"__q1_{m}"), F.col(f"__q3_{m}")
+        low, high = q1 - (q3 - q1) * F.lit(float(k)), q3 + (q3 - q1) * F.lit(float(k))
+        added[f"{m}__iqr_low"], added[f"{m}__iqr_high"] = low, high
+        added[f"{m}__is_iqr"] = (F.col(m) < low) | (F.col(m) > high)
+    spent = [f"__q{i}_{m}" for i in (1, 3) for m in metrics]
+    return quartiles.withColumns(added).drop(*spent)
 
 
-def _beyond(score: str, threshold: float) -> Column:
-    return F.abs(F.col(score)) > F.lit(float(threshold))
+def _flag_robust(
+    df: DataFrame,
+    keys: Sequence[str],
+    metrics: str | Sequence[str],
+    score: str,
+    flag: str,
+    threshold: float,
+) -> DataFrame:
+    """0.6745 (x - median) / MAD over the keys; null where the MAD is zero."""
+    metrics = _listed(metrics)
+    off = {m: F.col(m) - F.col(f"__median_{m}") for m in metrics}
+    scores = {
+        f"{m}{score}": safe_div(off[m] * F.lit(NORMAL_CONSISTENCY), F.col(f"__spread_{m}"))
+        for m in metrics
+    }
+    return (
+        df.withColumns({f"__median_{m}": group_median(m, keys) for m in metrics})
+        .withColumns({f"__spread_{m}": group_median(F.abs(off[m]), keys) for m in metrics})
+        .withColumns(scores)
+        .withColumns({f"{m}{flag}": _beyond(f"{m}{score}", threshold) for m in metrics})
+        .drop(*(f"__{part}_{m}" for part in ("median", "spread") for m in metrics))
+    )
 
 
 def flag_mad(
-    df: DataFrame, group_keys: Sequence[str], metric: str, threshold: float = MAD_THRESHOLD
+    df: DataFrame,
+    group_keys: Sequence[str],
+    metrics: str | Sequence[str],
+    threshold: float = MAD_THRESHOLD,
 ) -> DataFrame:
     """Modified z-score against the whole series."""
-    score = f"{metric}__mad_score"
-    return _robust_z(df, group_keys, metric, score).withColumn(
-        f"{metric}__is_mad", _beyond(score, threshold)
-    )
+    return _flag_robust(df, group_keys, metrics, "__mad_score", "__is_mad", threshold)
 
 
 def flag_seasonal(
     df: DataFrame,
     group_keys: Sequence[str],
-    metric: str,
+    metrics: str | Sequence[str],
     season_col: str = "semana",
     threshold: float = SEASONAL_THRESHOLD,
 ) -> DataFrame:
     """Modified z-score against the same week of other years."""
-    score = f"{metric}__seas_score"
-    return _robust_z(df, [*group_keys, season_col], metric, score).withColumn(
-        f"{metric}__is_seas", _beyond(score, threshold)
-    )
+    keys = [*group_keys, season_col]
+    return _flag_robust(df, keys, metrics, "__seas_score", "__is_seas", threshold)
 
 
 def rolling_frame(window: int) -> tuple[int, int]:
@@ -111,7 +126,7 @@ def rolling_frame(window: int) -> tuple[int, int]:
 def flag_rolling_z(
     df: DataFrame,
     group_keys: Sequence[str],
-    metric: str,
+    metrics: str | Sequence[str],
     date_col: str = "week_start",
     window: int = ROLLING_WINDOW,
     threshold: float = ROLLING_THRESHOLD,
@@ -120,12 +135,17 @@ def flag_rolling_z(
 
     Null when the frame has fewer than ``max(3, window // 2)`` values or no spread.
     """
+    metrics = _listed(metrics)
     frame = Window.partitionBy(*group_keys).orderBy(date_col).rowsBetween(*rolling_frame(window))
-    score = f"{metric}__roll_z"
-    enough = F.count(metric).over(frame) >= max(3, window // 2)
-    off = F.col(metric) - F.avg(metric).over(frame)
-    z = F.when(enough, safe_div(off, F.stddev_samp(metric).over(frame)))
-    return df.withColumn(score, z).withColumn(f"{metric}__is_roll", _beyond(score, threshold))
+    scores = {}
+    for m in metrics:
+        enough = F.count(m).over(frame) >= max(3, window // 2)
+        off = F.col(m) - F.avg(m).over(frame)
+        z = safe_div(off, F.stddev_samp(m).over(frame))
+        scores[f"{m}__roll_z"] = F.when(enough, z)
+    return df.withColumns(scores).withColumns(
+        {f"{m}__is_roll": _beyond(f"{m}__roll_z", threshold) for m in metrics}
+    )
 
 
 def flag_univariate(
@@ -137,15 +157,10 @@ def flag_univariate(
     interpolation: str = "nearest",
 ) -> DataFrame:
     """All four detectors on all metrics."""
-    for m in metrics:
-        series = flag_iqr(series, group_keys, m, interpolation=interpolation)
-    for m in metrics:
-        series = flag_mad(series, group_keys, m)
-    for m in metrics:
-        series = flag_rolling_z(series, group_keys, m, date_col)
-    for m in metrics:
-        series = flag_seasonal(series, group_keys, m, season_col)
-    return series
+    flagged = flag_iqr(series, group_keys, metrics, interpolation=interpolation)
+    flagged = flag_mad(flagged, group_keys, metrics)
+    flagged = flag_rolling_z(flagged, group_keys, metrics, date_col)
+    return flag_seasonal(flagged, group_keys, metrics, season_col)
 
 
 def flag_columns(metrics: Sequence[str], forest: bool = False) -> list[str]:

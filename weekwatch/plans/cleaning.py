@@ -6,10 +6,11 @@ from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from weekwatch.operators import silence
 from weekwatch.operators.cleaning import clean_table, cleaning_audit
-from weekwatch.plans.common import each_table
+from weekwatch.plans.common import each_table, together
 from weekwatch.sources.scratch import store
 from weekwatch.sources.tables import write_csv, write_parquet
 from weekwatch.specs import SURVEILLANCE, TableSpec
@@ -28,25 +29,32 @@ def run_cleaning(
     silence table. Returns the audit and the names of missing tables.
     """
 
-    def work(df: DataFrame, spec: TableSpec) -> DataFrame:
+    def clean(df: DataFrame, spec: TableSpec) -> DataFrame:
         path = f"{processed_dir}/{spec.name}_cleaned.parquet"
         cleaned = clean_table(df, spec)
         write_parquet(cleaned.sortWithinPartitions(*spec.natural_key), path)
+        written = spark.read.schema(cleaned.schema).parquet(path)
+        return store(cleaning_audit(df, written, spec.name), f"audit-{spec.name}")
+
+    def report_silence(df: DataFrame, spec: TableSpec) -> None:
+        keys = spec.silence_keys
+        report = store(silence.silence_report(df, keys, spec), f"silence-{spec.name}")
+        ordered = report.orderBy(F.desc("pct_silence"), *keys)
+        top = silence.trend_reading(silence.top_silent(report, keys))
+        write_csv(ordered, f"{report_dir}/silence_by_{keys[-1]}.csv")
+        write_csv(top, f"{report_dir}/silence_top_{keys[-1]}.csv")
+
+    def work(df: DataFrame, spec: TableSpec) -> DataFrame:
+        works = [lambda: clean(df, spec)]
         if spec.silence_keys:
-            report = store(
-                silence.silence_report(df, spec.silence_keys, spec), f"silence-{spec.name}"
-            )
-            by_silence = silence.trend_reading(silence.top_silent(report, spec.silence_keys))
-            first, *_ = spec.silence_keys[::-1]
-            ordered = report.orderBy(report["pct_silence"].desc(), *spec.silence_keys)
-            write_csv(ordered, f"{report_dir}/silence_by_{first}.csv")
-            write_csv(by_silence, f"{report_dir}/silence_top_{first}.csv")
-        return cleaning_audit(df, spark.read.schema(cleaned.schema).parquet(path), spec.name)
+            works.append(lambda: report_silence(df, spec))
+        audit, *_ = together(*works)
+        return audit
 
     wanted = [spec for spec in specs if spec.natural_key]
     done, missing = each_table(spark, raw_dir, wanted, work)
     if not done:
         return None, missing
-    audit = store(reduce(DataFrame.unionByName, done.values()), "audit")
+    audit = reduce(DataFrame.unionByName, done.values())
     write_csv(audit, f"{report_dir}/cleaning_report.csv")
     return audit, missing

@@ -13,6 +13,12 @@ from weekwatch.specs import TableSpec
 JOBS = 4
 
 
+def together(*works: Callable[[], object]) -> list:
+    """Run independent actions at the same time, so that small ones fill the gaps of large ones."""
+    with ThreadPoolExecutor(max_workers=len(works)) as pool:
+        return [future.result() for future in [pool.submit(work) for work in works]]
+
+
 def each_table[R](
     spark: SparkSession,
     folder: str,

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from weekwatch.operators import outlier_reports as reports
 from weekwatch.operators.iforest import flag_isolation_forest
 from weekwatch.operators.outliers import flag_columns, flag_univariate, weekly_series
-from weekwatch.plans.common import each_table
+from weekwatch.plans.common import each_table, together
 from weekwatch.sources.scratch import store
 from weekwatch.sources.tables import write_csv, write_parquet
 from weekwatch.specs import SURVEILLANCE, TableSpec
@@ -71,11 +71,14 @@ def run_detection(
     def work(df: DataFrame, spec: TableSpec) -> Detection:
         name = spec.detect_name or spec.name
         found = detect(df, spec)
-        write_csv(found.summary.orderBy(*spec.group_keys), f"{out_dir}/outliers_summary_{name}.csv")
-        write_csv(found.totals, f"{out_dir}/outliers_report_{name}.csv")
-        write_csv(found.top_groups, f"{out_dir}/outliers_top_{name}.csv")
-        write_csv(found.peaks, f"{out_dir}/outliers_peaks_{name}.csv")
-        write_parquet(found.detail, f"{out_dir}/outliers_detail_{name}.parquet")
+        ordered = found.summary.orderBy(*spec.group_keys)
+        together(
+            lambda: write_csv(ordered, f"{out_dir}/outliers_summary_{name}.csv"),
+            lambda: write_csv(found.totals, f"{out_dir}/outliers_report_{name}.csv"),
+            lambda: write_csv(found.top_groups, f"{out_dir}/outliers_top_{name}.csv"),
+            lambda: write_csv(found.peaks, f"{out_dir}/outliers_peaks_{name}.csv"),
+            lambda: write_parquet(found.detail, f"{out_dir}/outliers_detail_{name}.parquet"),
+        )
         return found
 
     wanted = [spec for spec in specs if spec.detect_metrics]

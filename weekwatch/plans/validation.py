@@ -9,12 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
 from weekwatch.operators import profile
 from weekwatch.operators.checks import issue_rows
-from weekwatch.plans.common import each_table
+from weekwatch.plans.common import each_table, together
 from weekwatch.sources.scratch import store
 from weekwatch.sources.tables import write_csv, write_parquet
 from weekwatch.specs import SURVEILLANCE, TableSpec
@@ -40,8 +41,10 @@ class Validation:
 
 def validate(df: DataFrame, spec: TableSpec) -> Validation:
     """Run every check on a table."""
-    cells = store(profile.integrity_cells(df, spec), f"cells-{spec.name}")
-    duplicates = store(profile.duplicate_count(df, spec.key_cols), f"duplicates-{spec.name}")
+    cells, duplicates = together(
+        lambda: store(profile.integrity_cells(df, spec), f"cells-{spec.name}"),
+        lambda: store(profile.duplicate_count(df, spec.key_cols), f"duplicates-{spec.name}"),
+    )
     totals = profile.flag_totals_from_cells(cells, spec)
     coverage = profile.temporal_coverage(cells, spec.group_keys, spec.date_col)
     nulls = profile.null_profile_from_cells(cells, df.columns)
@@ -71,13 +74,23 @@ def run_validation(
     """
 
     def work(df: DataFrame, spec: TableSpec) -> Validation:
-        found = validate(df, spec)
-        write_csv(found.coverage, f"{out_dir}/integrity_gaps_{spec.name}.csv")
-        write_csv(found.null_profile, f"{out_dir}/integrity_summary_{spec.name}.csv")
-        write_csv(found.nulls_by_group, f"{out_dir}/integrity_nulls_{spec.name}.csv")
-        write_csv(found.nulls_by_year, f"{out_dir}/integrity_timeline_{spec.name}.csv")
-        write_csv(found.issue_ranking, f"{out_dir}/integrity_ranking_{spec.name}.csv")
-        write_parquet(found.issues, f"{out_dir}/integrity_issues_{spec.name}.parquet")
+        issues = f"{out_dir}/integrity_issues_{spec.name}.parquet"
+        found, _ = together(
+            lambda: validate(df, spec), lambda: write_parquet(issue_rows(df, spec), issues)
+        )
+        tables = {
+            "gaps": found.coverage,
+            "summary": found.null_profile,
+            "nulls": found.nulls_by_group,
+            "timeline": found.nulls_by_year,
+            "ranking": found.issue_ranking,
+        }
+        together(
+            *(
+                partial(write_csv, table, f"{out_dir}/integrity_{kind}_{spec.name}.csv")
+                for kind, table in tables.items()
+            )
+        )
         return found
 
     done, missing = each_table(spark, raw_dir, specs, work)
