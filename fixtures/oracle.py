@@ -197,7 +197,7 @@ stats as (
 
 def _fence(m: str, low: bool) -> str:
     sign, quarter = ("-", "q1") if low else ("+", "q3")
-    return f"({m}_{quarter} {sign} 1.5 * ({m}_q3 - {m}_q1))"
+    return f"({m}_{quarter} {sign} cast(1.5 as double) * ({m}_q3 - {m}_q1))"
 
 
 def _scores(m: str) -> dict[str, str]:
@@ -229,12 +229,17 @@ summary as (
   select department, {', '.join(f'count(*) filter (where {f}) as {f}' for f in OUTLIER_FLAGS)},
     count(*) as n_obs
   from detected group by department)"""
+FOREST = f"""{SUMMARY},
+forest as (
+  select *, case when n_obs < 30 then 0 else cast(floor(0.01 * (n_obs - 1)) as bigint) + 1 end
+    as is_iforest
+  from summary)"""
 
 
 def _method(suffixes: list[str]) -> str:
     def portable(m: str, s: str) -> str:
         name = f"{m}__{s}"
-        return name if s.startswith("is_") else f"round({name}, 6) as {name}"
+        return f"round({name}, 6) as {name}" if s == "roll_z" else name
 
     columns = ", ".join(portable(m, s) for m in DETECT for s in suffixes)
     return f"with {DETECTED} select department, week_start, {', '.join(DETECT)}, {columns} from detected"
@@ -245,7 +250,7 @@ def _linear() -> str:
         f"quantile_cont({m}, 0.25) as {m}_q1, quantile_cont({m}, 0.75) as {m}_q3" for m in DETECT
     )
     columns = ", ".join(
-        f"round({_fence(m, True)}, 6) as {m}__iqr_low, round({_fence(m, False)}, 6) as {m}__iqr_high, "
+        f"{_fence(m, True)} as {m}__iqr_low, {_fence(m, False)} as {m}__iqr_high, "
         f"({m} < {_fence(m, True)} or {m} > {_fence(m, False)}) as {m}__is_iqr"
         for m in DETECT
     )
@@ -262,10 +267,7 @@ _PEAKS = " union all ".join(
     f"join leaders using (department) where {_PEAK_METRIC}__is_{k}"
     for label, k in _LABELS.items()
 )
-_PORTABLE_PROV = ", ".join(
-    f"round({c}, 6) as {c}" if c in INCIDENCES else c for c in MEASURES + INCIDENCES
-)
-_PORTABLE_SHARE = "round(count * 100 / n_rows, 6) as pct"
+_SHARE = "count * 100 / n_rows as pct"
 _STREAMED_WEEK = "cast(date_trunc('week', ts) as date)"
 
 
@@ -280,7 +282,7 @@ def oracle_sql() -> dict[str, str]:
         f"round_even(count(*) filter (where {c} is null) / count(*) * 100, 3) as pct from prov"
         for i, c in enumerate(PROV_COLUMNS)
     )
-    clean_columns = f"department, province, week_start, ubigeo, ano, semana, {_PORTABLE_PROV}"
+    clean_columns = f"department, province, week_start, ubigeo, ano, semana, {', '.join(MEASURES + INCIDENCES)}"
     return {
         "integrity_flags": f"with {FLAGGED} select ubigeo, week_start, {', '.join(CHECKS)} from flagged",
         "integrity_totals": f"with {TOTALS} select * from totals",
@@ -300,14 +302,14 @@ def oracle_sql() -> dict[str, str]:
         "null_pct_year": _null_shares("ano"),
         "overview": f"with {TOTALS} select 'weekly_prov' as tabla, n_rows as filas, "
         f"{_DUPLICATES} as duplicados, {overview} from totals",
-        "issue_ranking": f"with {TOTALS} select substr(\"check\", 6) as \"check\", count, {_PORTABLE_SHARE} "
+        "issue_ranking": f"with {TOTALS} select substr(\"check\", 6) as \"check\", count, {_SHARE} "
         f"from ({counts} union all select 20, '_chk_duplicates', {_DUPLICATES}, n_rows from totals) "
         "where count > 0",
-        "check_ranking": f"with {TOTALS} select \"check\", count, {_PORTABLE_SHARE}, "
+        "check_ranking": f"with {TOTALS} select \"check\", count, {_SHARE}, "
         f"count * 100 / n_rows >= 1.0 as severe from {counts}",
         "dedup_province": f"with {DEDUP_PROV} select {clean_columns} from dedup",
         "dedup_department": f"with {_dedup('department, week_start')} select department, week_start, "
-        f"ubigeo, ano, semana, {_PORTABLE_PROV} from dedup",
+        f"ubigeo, ano, semana, {', '.join(MEASURES + INCIDENCES)} from dedup",
         "flag_deaths": f"with {DEDUP_PROV} select {clean_columns}, {_DEATH_FLAG} from dedup",
         "clamp_cases": f"with {DEDUP_PROV}, clamped as (select {_CLAMPED} from dedup) "
         f"select {clean_columns}, flag_hosp_corrected from clamped",
@@ -320,7 +322,7 @@ def oracle_sql() -> dict[str, str]:
         "(select count(*) filter (where flag_hosp_corrected) from clean) as flag_hosp_corrected "
         "from sizes",
         "silence_rate": f"with {SILENCE} select * from rate",
-        "silence_yearly": f"with {SILENCE} select department, province, ano, round(pct, 6) as pct from yearly",
+        "silence_yearly": f"with {SILENCE} select department, province, ano, pct from yearly",
         "silence_slope": f"with {SILENCE} select * from slope",
         "silence_report": f"with {SILENCE} select *, case when slope_pct_per_year > 0 then 'worsens' "
         "when slope_pct_per_year < 0 then 'improves' else 'steady' end as trend from report",
@@ -344,6 +346,21 @@ def oracle_sql() -> dict[str, str]:
         "outlier_series": f"with {DETECTED} select week_start, cases_total, "
         f"{', '.join(f'cases_total__is_{k} as {label}' for label, k in _LABELS.items())} "
         "from detected where department = 'NATION_0'",
+        # The forest flags the scores beyond a percentile: their number follows from the length.
+        "iforest_summary": f"with {FOREST} select department, is_iforest, n_obs from forest",
+        "iforest_top_groups": f"with {FOREST} select department, is_iforest, n_obs from forest "
+        "order by is_iforest desc, department limit 5",
+        "outlier_all_methods": f"with {FOREST} select * from forest",
+        "validation_overview": f"with {TOTALS} select 'weekly_prov' as tabla, n_rows as filas, "
+        f"{_DUPLICATES} as duplicados, {overview} from totals",
+        "stream_row_checks": f"with {FLAGGED} select ubigeo, week_start, "
+        "greatest(cases_total, coalesce(hosp_total, 0)) as cases_total, "
+        f"{', '.join(CHECKS)}, _chk_logic__deaths_gt_hosp as flag_death_no_hosp, "
+        "_chk_logic__hosp_gt_cases as flag_hosp_corrected from flagged",
+        "stream_event_repeats": "select event_id, user_id, event_type from events",
+        "stream_event_weeks": f"select event_type, {_STREAMED_WEEK} as week_start, count(*) as n "
+        f"from events where {_STREAMED_WEEK} + interval 8 day <= (select max(ts) from events) "
+        "group by all",
         "snapshot_status": " union all ".join(
             f"select '{t}' as \"table\", 'written' as status, count(*) as rows from {t}" for t in TABLES
         ),

@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fixtures.weekly import (
-    INCIDENCES,
     WEEKLY_DEPT,
     WEEKLY_PROV,
     WEEKLY_PROV_BY_DEPARTMENT,
@@ -20,10 +19,12 @@ from fixtures.weekly import (
 from weekwatch.operators import checks, cleaning, iforest, outlier_reports, profile, silence
 from weekwatch.operators import outliers as detectors
 from weekwatch.plans.detection import flag_all, series_of
+from weekwatch.plans.validation import validate
 from weekwatch.sources.parquet_source import ParquetSource
 from weekwatch.sources.scratch import scratch_dir, store
 from weekwatch.sources.snapshot import snapshot_tables
 from weekwatch.sources.tables import conform, read_csv, write_csv
+from weekwatch.streaming import weekly as streaming
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGION = WEEKLY_PROV.silence_keys
@@ -32,10 +33,12 @@ DEPARTMENT = WEEKLY_DEPT.group_keys
 METRICS = WEEKLY_DEPT.detect_metrics
 SERIES_KEYS = ["department", "week_start"]
 PEAK_METRIC = "cases_total"
+# Fixed value: the columns of the given event table that are read.
+EVENT_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string"
 
 
 def _rounded(df: DataFrame, *names: str) -> DataFrame:
-    """Floating-point results to six digits, as the checking SQL gives them."""
+    """Scores that depend on the order of a sum, to six digits."""
     return df.withColumns({c: F.round(c, 6) for c in names})
 
 
@@ -95,8 +98,8 @@ def _per_metric(flag: Callable[..., DataFrame], *suffixes: str, **settings) -> Q
     def run(series: DataFrame) -> DataFrame:
         flagged = flag(series, DEPARTMENT, METRICS, **settings)
         added = [f"{m}__{s}" for m in METRICS for s in suffixes]
-        scores = [c for c in added if "__is_" not in c]
-        return _rounded(flagged.select(*SERIES_KEYS, *METRICS, *added), *scores)
+        sums = [c for c in added if c.endswith("__roll_z")]
+        return _rounded(flagged.select(*SERIES_KEYS, *METRICS, *added), *sums)
 
     return _on_series(run)
 
@@ -136,28 +139,67 @@ def _peaks(series: DataFrame) -> DataFrame:
     return outlier_reports.peak_labels(store(_flagged(series), "flagged"), DEPARTMENT, PEAK_METRIC)
 
 
+def _new_path(spark: SparkSession, name: str) -> str:
+    return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _streamed(spark: SparkSession, stream: DataFrame) -> DataFrame:
+    out = _new_path(spark, "streamed")
+    streaming.run_available(stream, out, _new_path(spark, "stream-state"))
+    return spark.read.parquet(out)
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = streaming.read_files(
+        spark, sf_dir, EVENT_SCHEMA, pathGlobFilter="events.parquet", maxFilesPerTrigger="64"
+    )
+    return events.withColumn("ts", streaming.utc_instant("ts"))
+
+
+def stream_row_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The row checks on the weekly table, arriving as files."""
+    path = _new_path(spark, "arriving")
+    _prov(spark, sf_dir).write.parquet(path)
+    schema = spark.read.parquet(path).schema
+    stream = streaming.check_rows(streaming.read_files(spark, path, schema), WEEKLY_PROV)
+    kept = ["ubigeo", "week_start", "cases_total", *checks.flag_names(WEEKLY_PROV)]
+    return _streamed(spark, stream).select(*kept, cleaning.DEATH_FLAG, cleaning.CLAMP_FLAG)
+
+
+def stream_event_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event arrives three times and is let through once."""
+    stream = replicated(_events(spark, sf_dir), 3)
+    once = streaming.drop_repeats(stream, ["event_id"], "ts", "1 day")
+    return _streamed(spark, once.select("event_id", "user_id", "event_type"))
+
+
+def stream_event_weeks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events per type and week, for the weeks that are closed."""
+    stream = _events(spark, sf_dir)
+    return _streamed(spark, streaming.weekly_counts(stream, ["event_type"], "ts", "1 day"))
+
+
 def snapshot_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Copy every given table and report how many rows each copy has."""
-    out = f"{scratch_dir(spark)}/snapshot-{uuid.uuid4().hex}"
+    out = _new_path(spark, "snapshot")
     done = snapshot_tables(spark, ParquetSource(spark, sf_dir), out, force=True)
     return done.select("table", "status", "rows")
 
 
 def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     coverage = profile.temporal_coverage(_prov(spark, sf_dir), REGION, "week_start")
-    path = f"{scratch_dir(spark)}/csv-{uuid.uuid4().hex}"
+    path = _new_path(spark, "csv")
     write_csv(coverage, path)
     return read_csv(spark, path, coverage.schema)
 
 
 def parquet_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = cleaning.clean_table(_prov(spark, sf_dir), WEEKLY_PROV)
-    return _rounded(store(cleaned, "cleaned"), *INCIDENCES)
+    return store(cleaned, "cleaned")
 
 
 def queries() -> dict[str, Query]:
     spec = WEEKLY_PROV
-    rates = INCIDENCES
     return {
         "integrity_flags": _on_prov(
             lambda df: checks.add_flags(df, spec).select(
@@ -191,23 +233,17 @@ def queries() -> dict[str, Query]:
             )
         ),
         "issue_ranking": _on_prov(
-            lambda df: _rounded(profile.issue_ranking(_totals(df), _duplicates(df), spec), "pct")
-        ),
-        "check_ranking": _on_prov(
-            lambda df: _rounded(profile.check_ranking(_totals(df), spec), "pct")
-        ),
-        "dedup_province": _on_prov(lambda df: _rounded(_dedup(df), *rates)),
-        "dedup_department": _on_prov(lambda df: _rounded(_dedup_department(df), *rates)),
-        "flag_deaths": _on_prov(
-            lambda df: _rounded(cleaning.flag_deaths_gt_hosp(_dedup(df)), *rates)
-        ),
-        "clamp_cases": _on_prov(
-            lambda df: _rounded(cleaning.clamp_hosp_gt_cases(_dedup(df)), *rates)
+            lambda df: profile.issue_ranking(_totals(df), _duplicates(df), spec)
         ),
-        "clean_province": _on_prov(lambda df: _rounded(cleaning.clean_table(df, spec), *rates)),
+        "check_ranking": _on_prov(lambda df: profile.check_ranking(_totals(df), spec)),
+        "dedup_province": _on_prov(_dedup),
+        "dedup_department": _on_prov(_dedup_department),
+        "flag_deaths": _on_prov(lambda df: cleaning.flag_deaths_gt_hosp(_dedup(df))),
+        "clamp_cases": _on_prov(lambda df: cleaning.clamp_hosp_gt_cases(_dedup(df))),
+        "clean_province": _on_prov(lambda df: cleaning.clean_table(df, spec)),
         "cleaning_audit": _on_prov(_audit),
         "silence_rate": _on_prov(lambda df: silence.silence_rate(df, REGION, spec)),
-        "silence_yearly": _on_prov(lambda df: _rounded(_yearly(df), "pct")),
+        "silence_yearly": _on_prov(_yearly),
         "silence_slope": _on_prov(
             lambda df: silence.trend_slope(_yearly(df), REGION, spec.year_col)
         ),
@@ -246,4 +282,8 @@ def queries() -> dict[str, Query]:
         "snapshot_status": snapshot_status,
         "csv_roundtrip": csv_roundtrip,
         "parquet_roundtrip": parquet_roundtrip,
+        "validation_overview": _on_prov(lambda df: validate(df, spec).overview),
+        "stream_row_checks": stream_row_checks,
+        "stream_event_repeats": stream_event_repeats,
+        "stream_event_weeks": stream_event_weeks,
     }

@@ -56,3 +56,21 @@ def difference(df: DataFrame, con: duckdb.DuckDBPyConnection, sql: str) -> str |
         return None
     extra, lacking = list((ours - theirs).items())[:3], list((theirs - ours).items())[:3]
     return f"{ours.total()} against {theirs.total()} rows; only here {extra}; only there {lacking}"
+
+
+# The SQL types that hold the same values as each Spark type.
+SAME_TYPES = {
+    "bigint": {"BIGINT", "INTEGER"},
+    "int": {"BIGINT", "INTEGER"},
+    "double": {"DOUBLE"},
+    "string": {"VARCHAR"},
+    "boolean": {"BOOLEAN"},
+    "date": {"DATE"},
+}
+
+
+def type_difference(df: DataFrame, con: duckdb.DuckDBPyConnection, sql: str) -> str | None:
+    """None when every column has the same kind of type on both sides."""
+    theirs = {row[0]: row[1] for row in con.execute(f"describe {sql}").fetchall()}
+    wrong = {c: (t, theirs.get(c)) for c, t in df.dtypes if theirs.get(c) not in SAME_TYPES[t]}
+    return f"types {wrong}" if wrong else None

@@ -148,29 +148,32 @@ def iforest_fit(
     """The trees: one row per group and tree, for groups with at least ``min_rows`` rows.
 
     Trees of a group draw from a pool of as many rows as the whole forest can look
-    at (``n_trees * max_samples``), chosen by a hash of the row; a smaller group is
-    its own pool. Every tree is seeded by group and number, and the pool has a fixed
-    order, so neither partitioning nor retries change the forest.
+    at (``n_trees * max_samples``), those with the smallest hash; a smaller group is
+    its own pool. Rows whose hash is beyond twice that share are dropped where they
+    are, before anything is shuffled by group. Every tree is seeded by group and
+    number, and the pool has a fixed order, so neither partitioning nor retries
+    change the forest.
     """
     keys = list(group_keys)
-    by_chance = Window.partitionBy(*keys).orderBy(_chance(date_col, metrics, seed), date_col)
+    looked_at = n_trees * max_samples
+    chance = F.col("__chance")
+    share = chance / F.lit(2.0**64) + 0.5
+    by_chance = Window.partitionBy(*keys).orderBy(chance, date_col)
     pool = (
-        series.select(*keys, date_col, *metrics)
+        _with_size(series.select(*keys, date_col, *metrics), series, keys)
+        .withColumn("__chance", _chance(date_col, metrics, seed))
+        .filter((F.col("__rows") >= min_rows) & (share * F.col("__rows") < 2 * looked_at))
         .withColumn("__place", F.row_number().over(by_chance))
-        .filter(F.col("__place") <= n_trees * max_samples)
+        .filter(F.col("__place") <= looked_at)
     )
     blocks = F.sequence(F.lit(0), F.lit((n_trees - 1) // TREES_PER_BLOCK))
-    work = (
-        _with_size(pool, series, keys)
-        .filter(F.col("__rows") >= min_rows)
-        .select(
-            *keys,
-            "__place",
-            _features(metrics).alias("__x"),
-            F.xxhash64(*keys).alias("__seed"),
-            _slices().alias("__slices"),
-            F.explode(blocks).alias("__block"),
-        )
+    work = pool.select(
+        *keys,
+        "__place",
+        _features(metrics).alias("__x"),
+        F.xxhash64(*keys).alias("__seed"),
+        _slices().alias("__slices"),
+        F.explode(blocks).alias("__block"),
     )
     schema = T.StructType([series.schema[c] for c in keys] + _TREE_FIELDS)
 

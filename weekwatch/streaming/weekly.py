@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,13 +14,21 @@ from weekwatch.specs import TableSpec
 
 #: Offset of the first Monday after the epoch, so that weeks start on Mondays.
 MONDAY_OFFSET = "4 days"
+SECONDS_PER_DAY = 86_400
 
 
-def read_files(spark: SparkSession, folder: str, schema: T.StructType, **options) -> DataFrame:
+def read_files(
+    spark: SparkSession, folder: str, schema: T.StructType | str, **options
+) -> DataFrame:
     """New Parquet files in a folder as a stream."""
     return spark.readStream.schema(schema).options(**options).parquet(folder)
 
 
+def utc_instant(name: str) -> Column:
+    """A time without zone as the instant at which clocks in UTC show it; watermarks need instants."""
+    return F.from_utc_timestamp(F.col(name).cast("timestamp"), F.current_timezone())
+
+
 def check_rows(stream: DataFrame, spec: TableSpec) -> DataFrame:
     """All row checks and audit flags; the very expressions used on stored tables."""
     checked = flag_deaths_gt_hosp(add_flags(stream, spec), spec.hosp.total, spec.deaths.total)
@@ -37,14 +45,18 @@ def drop_repeats(
 def weekly_counts(
     stream: DataFrame, group_keys: Sequence[str], time_col: str, delay: str
 ) -> DataFrame:
-    """``group, week_start, n``: rows per group and Monday week, closed ``delay`` after its end."""
+    """``group, week_start, n``: rows per group and Monday week, closed ``delay`` after its end.
+
+    Weeks start on Mondays at midnight in UTC, whatever the session's time zone.
+    """
     week = F.window(time_col, "7 days", "7 days", MONDAY_OFFSET)
     counted = (
         stream.withWatermark(time_col, delay)
         .groupBy(week.alias("week"), *group_keys)
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    return counted.select(*group_keys, F.to_date("week.start").alias("week_start"), "n")
+    days = F.floor(F.unix_seconds("week.start") / SECONDS_PER_DAY).cast("int")
+    return counted.select(*group_keys, F.date_from_unix_date(days).alias("week_start"), "n")
 
 
 def run_available(stream: DataFrame, out_dir: str, checkpoint_dir: str) -> None:
