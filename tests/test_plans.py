@@ -40,6 +40,8 @@ def test_validation(spark, raw, prov, tmp_path):
     issues = spark.read.parquet(f"{tmp_path}/integrity_issues_weekly_prov.parquet")
     assert spark_rows(issues) == spark_rows(issue_rows(prov, WEEKLY_PROV))
     assert spark.read.csv(f"{tmp_path}/integrity_overview.csv", header=True).count() == 2
+    report = spark.read.csv(f"{tmp_path}/integrity_report.csv", header=True).collect()
+    assert {r["tabla"]: int(r["issues"]) for r in report}["weekly_prov"] == issues.count()
 
 
 def test_validate_describes_one_table(prov):

@@ -23,7 +23,7 @@ MIN_ROWS = 30
 SEED = 42
 
 TREES_PER_BLOCK = 25
-ROWS_PER_SLICE = 65_536
+ROWS_PER_SLICE = 262_144
 
 _NODE_ARRAYS = {"feature": pa.int32(), "threshold": pa.float64(), "size": pa.int32()}
 _TREE_FIELDS = [

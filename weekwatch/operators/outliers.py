@@ -36,9 +36,12 @@ def weekly_series(
     metrics: Sequence[str],
     carried: Sequence[str] = (),
 ) -> DataFrame:
-    """One row per group and date, with the largest value of every other column."""
+    """One row per group and date, with the largest value of every other column.
+
+    The time column is reduced to its date, which is what bounds the series.
+    """
     largest = [F.max(c).alias(c) for c in (*metrics, *carried)]
-    return df.groupBy(*group_keys, date_col).agg(*largest)
+    return df.groupBy(*group_keys, F.to_date(date_col).alias(date_col)).agg(*largest)
 
 
 def _listed(metrics: str | Sequence[str]) -> list[str]:

@@ -80,10 +80,13 @@ def run_validation(
         )
         tables = {
             "gaps": found.coverage,
+            "low_coverage": found.low_coverage,
             "summary": found.null_profile,
+            "top_nulls": found.top_nulls,
             "nulls": found.nulls_by_group,
             "timeline": found.nulls_by_year,
             "ranking": found.issue_ranking,
+            "checks": found.check_ranking,
         }
         together(
             *(
@@ -100,4 +103,12 @@ def run_validation(
         profile.integrity_overview([found.overview for found in done.values()]), "overview"
     )
     write_csv(overview, f"{out_dir}/integrity_overview.csv")
+    # Rows with issues are counted from the footers of what was written.
+    issues = {
+        name: spark.read.parquet(f"{out_dir}/integrity_issues_{name}.parquet").count()
+        for name in done
+    }
+    per_table = spark.createDataFrame(list(issues.items()), "tabla string, issues bigint")
+    report = overview.select("tabla", "filas", "duplicados").join(per_table, "tabla")
+    write_csv(report.select("tabla", "filas", "issues", "duplicados"), f"{out_dir}/integrity_report.csv")
     return overview, missing
