@@ -271,7 +271,32 @@ _SHARE = "count * 100 / n_rows as pct"
 _STREAMED_WEEK = "cast(date_trunc('week', ts) as date)"
 
 
+# The dates in the results, which both sides give as text.
+_SPAN = ("date_min", "date_max")
+_DATES: dict[str, tuple[str, ...]] = {
+    **dict.fromkeys(("coverage_department", "coverage_province", "coverage_low", "csv_roundtrip"), _SPAN),
+    **dict.fromkeys(
+        (
+            "integrity_flags integrity_issues integrity_cells dedup_province dedup_department "
+            "flag_deaths clamp_cases clean_province series_department outlier_iqr "
+            "outlier_iqr_linear outlier_mad outlier_rolling outlier_seasonal outlier_detail "
+            "outlier_series outlier_peaks parquet_roundtrip stream_row_checks stream_event_weeks"
+        ).split(),
+        ("week_start",),
+    ),
+}
+
+
 def oracle_sql() -> dict[str, str]:
+    """SQL per registered query."""
+    sqls = _sqls()
+    for name, dates in _DATES.items():
+        texts = ", ".join(f"cast({c} as varchar) as {c}" for c in dates)
+        sqls[name] = f"select * replace ({texts}) from ({sqls[name]}) as result"
+    return sqls
+
+
+def _sqls() -> dict[str, str]:
     issue_columns = ", ".join(
         ["department", "ubigeo", "week_start", *HOSP, *DEATHS, "cases_total", *CHECKS]
     )

@@ -4,8 +4,9 @@ import pytest
 
 from compare import spark_rows
 from fixtures.queries import METRICS, UNIVARIATE
-from fixtures.weekly import WEEKLY_DEPT, WEEKLY_PROV, weekly_dept
+from fixtures.weekly import WEEKLY_DEPT, WEEKLY_PROV, weekly_dept, weekly_prov
 from weekwatch.operators import cleaning, iforest, outlier_reports, outliers, profile, silence
+from weekwatch.sources.tables import conform
 from weekwatch.operators.checks import SILENCE_CHECK, flag_names, flag_totals, issue_rows
 
 SPEC = WEEKLY_PROV
@@ -117,3 +118,36 @@ def test_replicas_do_not_change_the_series(spark, sf_dir, series):
     from weekwatch.plans.detection import series_of
 
     assert spark_rows(series_of(weekly_dept(spark, sf_dir, 6), WEEKLY_DEPT)) == spark_rows(series)
+
+
+def test_one_region_with_most_of_the_rows(prov):
+    """Repeating one region's rows changes its row counts and nothing else."""
+    hot = "department = 'NATION_3'"
+    copies = prov.filter(hot).crossJoin(prov.sparkSession.range(49)).drop("id")
+    skewed = prov.unionByName(copies)
+    assert skewed.filter(hot).count() > 0.6 * skewed.count()
+
+    def unchanged(operator, *dropped):
+        assert spark_rows(operator(skewed).drop(*dropped)) == spark_rows(operator(prov).drop(*dropped))
+
+    unchanged(lambda df: cleaning.clean_table(df, SPEC))
+    unchanged(lambda df: profile.temporal_coverage(df, ["department"], "week_start"))
+    unchanged(lambda df: profile.null_pct_by(df, SPEC.measure_cols, ["department"]))
+    unchanged(lambda df: silence.silence_report(df, REGION, SPEC), "n_obs")
+    unchanged(lambda df: outliers.weekly_series(df, ["department"], "week_start", METRICS))
+    added = skewed.count() - prov.count()
+    before, after = (profile.duplicate_count(df, SPEC.key_cols).first()[0] for df in (prov, skewed))
+    assert after - before == added
+
+
+def test_nothing_relies_on_broadcasts(spark, sf_dir, prov, series):
+    expected = spark_rows(iforest.flag_isolation_forest(series, ["department"], METRICS))
+    table = spark_rows(prov)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert spark_rows(iforest.flag_isolation_forest(series, ["department"], METRICS)) == expected
+        assert spark_rows(conform(weekly_prov(spark, sf_dir), SPEC)) == table
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")

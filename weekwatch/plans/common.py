@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from typing import TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,7 +20,10 @@ def together(*works: Callable[[], object]) -> list:
         return [future.result() for future in [pool.submit(work) for work in works]]
 
 
-def each_table[R](
+R = TypeVar("R")
+
+
+def each_table(
     spark: SparkSession,
     folder: str,
     specs: Sequence[TableSpec],
