@@ -73,6 +73,11 @@ dept as (
   from cells group by department, week_start)"""
 
 
+def _positive_zero(value: str) -> str:
+    """Rounding a small negative number here leaves a negative zero."""
+    return f"case when {value} = 0 then cast(0 as double) else {value} end"
+
+
 def _zero(c: str) -> str:
     return f"coalesce({c}, 0)"
 
@@ -153,10 +158,11 @@ yearly as (select {_REGION}, ano, sum(quiet) / count(*) * 100 as pct from marked
 centred as (
   select *, ano - avg(ano) over (partition by {_REGION}) as x,
     pct - avg(pct) over (partition by {_REGION}) as y from yearly),
-slope as (
+fitted as (
   select {_REGION}, round_even(case when sum(x * x) = 0 then 0.0 else sum(x * y) / sum(x * x) end, 4)
-    as slope_pct_per_year
+    as fitted
   from centred group by {_REGION}),
+slope as (select {_REGION}, {_positive_zero('fitted')} as slope_pct_per_year from fitted),
 report as (
   select department, province, pct_silence, n_obs, slope_pct_per_year
   from rate left join slope using (department, province))"""
@@ -239,7 +245,7 @@ forest as (
 def _method(suffixes: list[str]) -> str:
     def portable(m: str, s: str) -> str:
         name = f"{m}__{s}"
-        return f"round({name}, 6) as {name}" if s == "roll_z" else name
+        return f"{_positive_zero(f'round({name}, 6)')} as {name}" if s == "roll_z" else name
 
     columns = ", ".join(portable(m, s) for m in DETECT for s in suffixes)
     return f"with {DETECTED} select department, week_start, {', '.join(DETECT)}, {columns} from detected"

@@ -26,7 +26,8 @@ def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
 
 def _plain(value):
     if isinstance(value, float):
-        return "nan" if math.isnan(value) else round(value, 6) + 0.0
+        # As text, so that a negative zero is not taken for zero.
+        return "nan" if math.isnan(value) else repr(round(value, 6))
     if isinstance(value, datetime.datetime):
         return value.isoformat()
     return value

@@ -4,7 +4,7 @@ import pytest
 
 from compare import spark_rows
 from fixtures.queries import METRICS, UNIVARIATE
-from fixtures.weekly import WEEKLY_DEPT, WEEKLY_PROV, weekly_dept, weekly_prov
+from fixtures.weekly import WEEKLY_DEPT, WEEKLY_PROV, replicated, weekly_dept, weekly_prov
 from weekwatch.operators import cleaning, iforest, outlier_reports, outliers, profile, silence
 from weekwatch.sources.tables import conform
 from weekwatch.operators.checks import SILENCE_CHECK, flag_names, flag_totals, issue_rows
@@ -123,8 +123,7 @@ def test_replicas_do_not_change_the_series(spark, sf_dir, series):
 def test_one_region_with_most_of_the_rows(prov):
     """Repeating one region's rows changes its row counts and nothing else."""
     hot = "department = 'NATION_3'"
-    copies = prov.filter(hot).crossJoin(prov.sparkSession.range(49)).drop("id")
-    skewed = prov.unionByName(copies)
+    skewed = prov.unionByName(replicated(prov.filter(hot), 49))
     assert skewed.filter(hot).count() > 0.6 * skewed.count()
 
     def unchanged(operator, *dropped):
