@@ -97,3 +97,14 @@ def test_overview_and_rankings(spark):
         flag_totals(rows.limit(0), SPEC), profile.duplicate_count(rows.limit(0), SPEC.key_cols), SPEC
     )
     assert empty.first()["_chk_range__year_pct"] == 0.0
+
+
+def test_odd_column_names(spark):
+    names = ["a b", "it's", "back\\slash"]
+    df = spark.createDataFrame([(None, 1, 2)], "a int, b int, c int").toDF(*names)
+    rows = [tuple(r) for r in null_rows(df)]
+    assert rows == [("a b", 1), ("it's", 0), ("back\\slash", 0)]
+
+
+def null_rows(df):
+    return profile.null_profile(df).select("column", "nulls").collect()

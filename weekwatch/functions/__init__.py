@@ -3,9 +3,10 @@
 from weekwatch.functions.columns import (
     any_true,
     count_true,
-    keyed,
+    long_form,
     or_zero,
     percent,
+    quoted,
     safe_div,
     silent,
     strata_exceed,
@@ -19,9 +20,10 @@ __all__ = [
     "count_true",
     "group_median",
     "group_quantiles",
-    "keyed",
+    "long_form",
     "or_zero",
     "percent",
+    "quoted",
     "safe_div",
     "silent",
     "strata_exceed",

@@ -37,11 +37,6 @@ def any_true(flags: Iterable[str]) -> Column:
     return reduce(lambda acc, name: acc | F.col(name), flags, F.lit(False))
 
 
-def keyed(prefix: str, names: Sequence[str], make) -> dict[str, Column]:
-    """``{prefix + name: make(name)}``, in the order of ``names``."""
-    return {f"{prefix}{name}": make(name) for name in names}
-
-
 def strata_exceed(strata: Strata) -> Column:
     """The parts add up to more than the reported total."""
     parts = reduce(lambda a, b: a + b, (or_zero(c) for c in strata.parts))
@@ -56,3 +51,20 @@ def total_exceeds(bigger: str, smaller: str) -> Column:
 def silent(cases: str, hosp: str, deaths: str) -> Column:
     """Cases were reported but neither admissions nor deaths."""
     return (or_zero(cases) > 0) & (or_zero(hosp) == 0) & (or_zero(deaths) == 0)
+
+
+def quoted(name: str) -> str:
+    """The column's name as SQL text."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def long_form(names: Sequence[str], label: str, value: str, prefix: str = "") -> Column:
+    """One row per name: ``position``, the name as ``label``, and its column as ``value``.
+
+    The column of a name is ``prefix + name``. For tables with one row, as a generator.
+    """
+    rows = ", ".join(
+        f"{i}, '{n.replace(chr(92), chr(92) * 2).replace(chr(39), chr(92) + chr(39))}', {quoted(prefix + n)}"
+        for i, n in enumerate(names)
+    )
+    return F.expr(f"stack({len(names)}, {rows}) as (position, {quoted(label)}, {quoted(value)})")

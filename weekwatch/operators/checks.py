@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from weekwatch.functions import (
     any_true,
     count_true,
-    keyed,
     or_zero,
     silent,
     strata_exceed,
@@ -29,26 +28,40 @@ def _outside(name: str, bounds: tuple[int, int]) -> Column:
     return (F.col(name) < low) | (F.col(name) > high)
 
 
-def flag_expressions(spec: TableSpec) -> dict[str, Column]:
-    """Flag name to predicate. A missing year or week leaves its range flag null."""
-    measures = spec.measure_cols
-    hosp, deaths, cases = spec.hosp.total, spec.deaths.total, spec.cases_col
-    return {
-        **keyed(NULL_CHECK, measures, lambda c: F.col(c).isNull()),
-        **keyed(NEGATIVE_CHECK, measures, lambda c: or_zero(c) < 0),
-        "_chk_strata__hosp": strata_exceed(spec.hosp),
-        "_chk_strata__deaths": strata_exceed(spec.deaths),
-        "_chk_logic__hosp_gt_cases": total_exceeds(hosp, cases),
-        "_chk_logic__deaths_gt_cases": total_exceeds(deaths, cases),
-        "_chk_logic__deaths_gt_hosp": total_exceeds(deaths, hosp),
-        "_chk_range__year": _outside(spec.year_col, spec.year_bounds),
-        "_chk_range__week": _outside(spec.week_col, spec.week_bounds),
-        SILENCE_CHECK: silent(cases, hosp, deaths),
-    }
+# The checks that do not belong to one measure.
+TABLE_CHECKS = (
+    "_chk_strata__hosp",
+    "_chk_strata__deaths",
+    "_chk_logic__hosp_gt_cases",
+    "_chk_logic__deaths_gt_cases",
+    "_chk_logic__deaths_gt_hosp",
+    "_chk_range__year",
+    "_chk_range__week",
+    SILENCE_CHECK,
+)
 
 
 def flag_names(spec: TableSpec) -> list[str]:
-    return list(flag_expressions(spec))
+    per_measure = [f"{check}{c}" for check in (NULL_CHECK, NEGATIVE_CHECK) for c in spec.measure_cols]
+    return [*per_measure, *TABLE_CHECKS]
+
+
+def flag_expressions(spec: TableSpec) -> dict[str, Column]:
+    """Flag name to predicate. A missing year or week leaves its range flag null."""
+    hosp, deaths, cases = spec.hosp.total, spec.deaths.total, spec.cases_col
+    predicates = [
+        *(F.col(c).isNull() for c in spec.measure_cols),
+        *(or_zero(c) < 0 for c in spec.measure_cols),
+        strata_exceed(spec.hosp),
+        strata_exceed(spec.deaths),
+        total_exceeds(hosp, cases),
+        total_exceeds(deaths, cases),
+        total_exceeds(deaths, hosp),
+        _outside(spec.year_col, spec.year_bounds),
+        _outside(spec.week_col, spec.week_bounds),
+        silent(cases, hosp, deaths),
+    ]
+    return dict(zip(flag_names(spec), predicates, strict=True))
 
 
 def add_flags(df: DataFrame, spec: TableSpec) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weekwatch.functions import any_true, count_true, safe_div
+from weekwatch.functions import any_true, count_true, long_form, safe_div
 
 # Names of the methods in the reports, and the flag each one sets.
 METHOD_LABELS: Mapping[str, str] = {
@@ -42,15 +42,9 @@ def method_totals(summary: DataFrame, flags: Sequence[str]) -> DataFrame:
         F.sum("n_obs").alias("n_obs"),
         *(F.coalesce(F.sum(f), F.lit(0)).cast("bigint").alias(f) for f in flags),
     )
-    pairs = F.array(
-        *(
-            F.struct(F.lit(i).alias("position"), F.lit(f).alias("method"), F.col(f).alias("flagged"))
-            for i, f in enumerate(flags)
-        )
-    )
     share = safe_div(F.col("flagged") * 100, F.col("n_obs"))
     return (
-        totals.select("n_obs", F.inline(pairs))
+        totals.select("n_obs", long_form(flags, "method", "flagged"))
         .orderBy(F.desc("flagged"), "position")
         .select("method", "flagged", F.bround(share, 2).alias("pct"))
     )

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weekwatch.functions import count_true, percent, safe_div
+from weekwatch.functions import count_true, long_form, percent, quoted, safe_div
 from weekwatch.operators.checks import CHECK_PREFIX, flag_expressions, flag_names
 from weekwatch.specs import TableSpec
 
@@ -73,16 +73,16 @@ def integrity_cells(df: DataFrame, spec: TableSpec) -> DataFrame:
 
 
 def _null_counts(columns: Sequence[str]) -> list:
-    return [F.count_if(F.col(c).isNull()).alias(f"{_NULLS}{c}") for c in columns]
+    return [F.expr(f"count_if({quoted(c)} is null) as {quoted(_NULLS + c)}") for c in columns]
 
 
-def _add_up(cells: DataFrame, names: Sequence[str]) -> list:
-    return [F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(c) for c in names]
+def _add_up(names: Sequence[str]) -> list:
+    return [F.expr(f"coalesce(sum({quoted(c)}), 0L) as {quoted(c)}") for c in names]
 
 
 def flag_totals_from_cells(cells: DataFrame, spec: TableSpec) -> DataFrame:
     """``flag_totals`` of the table behind the cells."""
-    return cells.agg(*_add_up(cells, ["n_rows", *flag_names(spec)]))
+    return cells.agg(*_add_up(["n_rows", *flag_names(spec)]))
 
 
 def null_profile(df: DataFrame) -> DataFrame:
@@ -93,23 +93,13 @@ def null_profile(df: DataFrame) -> DataFrame:
 
 def null_profile_from_cells(cells: DataFrame, columns: Sequence[str]) -> DataFrame:
     """``null_profile`` of the table behind the cells."""
-    counts = cells.agg(*_add_up(cells, ["n_rows", *(f"{_NULLS}{c}" for c in columns)]))
+    counts = cells.agg(*_add_up(["n_rows", *(f"{_NULLS}{c}" for c in columns)]))
     return _profile(counts, columns)
 
 
 def _profile(counts: DataFrame, columns: Sequence[str]) -> DataFrame:
-    per_column = F.array(
-        *(
-            F.struct(
-                F.lit(i).alias("position"),
-                F.lit(c).alias("column"),
-                F.col(f"{_NULLS}{c}").alias("nulls"),
-            )
-            for i, c in enumerate(columns)
-        )
-    )
     return (
-        counts.select("n_rows", F.inline(per_column))
+        counts.select("n_rows", long_form(columns, "column", "nulls", _NULLS))
         .withColumn("pct", percent(F.col("nulls"), F.col("n_rows"), 3, empty=0.0))
         .orderBy(F.desc("nulls"), "position")
         .select("column", "nulls", "pct")
@@ -133,7 +123,7 @@ def null_pct_by_from_cells(
 ) -> DataFrame:
     """``null_pct_by`` of the table behind the cells."""
     counts = cells.groupBy(*keys).agg(
-        *_add_up(cells, ["n_rows", *(f"{_NULLS}{c}" for c in cols)])
+        *_add_up(["n_rows", *(f"{_NULLS}{c}" for c in cols)])
     )
     return _null_shares(counts, cols, keys)
 
@@ -167,14 +157,8 @@ def integrity_overview(tables: Sequence[DataFrame]) -> DataFrame:
 
 def _checks_long(totals: DataFrame, names: Sequence[str]) -> DataFrame:
     """``position, check, count, pct``, one row per name."""
-    pairs = F.array(
-        *(
-            F.struct(F.lit(i).alias("position"), F.lit(n).alias("check"), F.col(n).alias("count"))
-            for i, n in enumerate(names)
-        )
-    )
     share = safe_div(F.col("count") * 100, F.col("n_rows"))
-    return totals.select("n_rows", F.inline(pairs)).select(
+    return totals.select("n_rows", long_form(names, "check", "count")).select(
         "position", "check", "count", F.coalesce(share, F.lit(0.0)).alias("pct")
     )
 

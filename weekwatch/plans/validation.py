@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
-from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,46 +22,80 @@ from weekwatch.specs import SURVEILLANCE, TableSpec
 
 @dataclass(frozen=True)
 class Validation:
-    """Everything validation finds about one table."""
+    """What validation finds about one table, read off its stored cells and duplicate count."""
 
-    totals: DataFrame
+    table: DataFrame
+    spec: TableSpec
+    cells: DataFrame
     duplicates: DataFrame
-    overview: DataFrame
-    check_ranking: DataFrame
-    issue_ranking: DataFrame
-    coverage: DataFrame
-    low_coverage: DataFrame
-    null_profile: DataFrame
-    top_nulls: DataFrame
-    nulls_by_group: DataFrame
-    nulls_by_year: DataFrame
-    issues: DataFrame
+
+    @property
+    def totals(self) -> DataFrame:
+        return profile.flag_totals_from_cells(self.cells, self.spec)
+
+    @property
+    def overview(self) -> DataFrame:
+        return profile.table_overview(self.totals, self.duplicates, self.spec)
+
+    @property
+    def check_ranking(self) -> DataFrame:
+        return profile.check_ranking(self.totals, self.spec)
+
+    @property
+    def issue_ranking(self) -> DataFrame:
+        return profile.issue_ranking(self.totals, self.duplicates, self.spec)
+
+    @property
+    def coverage(self) -> DataFrame:
+        return profile.temporal_coverage(self.cells, self.spec.group_keys, self.spec.date_col)
+
+    @property
+    def low_coverage(self) -> DataFrame:
+        return profile.low_coverage(self.coverage)
+
+    @property
+    def null_profile(self) -> DataFrame:
+        return profile.null_profile_from_cells(self.cells, self.table.columns)
+
+    @property
+    def top_nulls(self) -> DataFrame:
+        return profile.top_null_columns(self.null_profile, self.table.columns)
+
+    @property
+    def nulls_by_group(self) -> DataFrame:
+        spec = self.spec
+        return profile.null_pct_by_from_cells(self.cells, spec.measure_cols, spec.group_keys)
+
+    @property
+    def nulls_by_year(self) -> DataFrame:
+        spec = self.spec
+        return profile.null_pct_by_from_cells(self.cells, spec.measure_cols, [spec.year_col])
+
+    @property
+    def issues(self) -> DataFrame:
+        return issue_rows(self.table, self.spec)
+
+
+# Names of the written tables, and what they hold.
+REPORTS = {
+    "gaps": "coverage",
+    "low_coverage": "low_coverage",
+    "summary": "null_profile",
+    "top_nulls": "top_nulls",
+    "nulls": "nulls_by_group",
+    "timeline": "nulls_by_year",
+    "ranking": "issue_ranking",
+    "checks": "check_ranking",
+}
 
 
 def validate(df: DataFrame, spec: TableSpec) -> Validation:
-    """Run every check on a table."""
+    """Count the cells and the duplicates of a table; the findings are derived when asked for."""
     cells, duplicates = together(
         lambda: store(profile.integrity_cells(df, spec), f"cells-{spec.name}"),
         lambda: store(profile.duplicate_count(df, spec.key_cols), f"duplicates-{spec.name}"),
     )
-    totals = profile.flag_totals_from_cells(cells, spec)
-    coverage = profile.temporal_coverage(cells, spec.group_keys, spec.date_col)
-    nulls = profile.null_profile_from_cells(cells, df.columns)
-    measures = spec.measure_cols
-    return Validation(
-        totals=totals,
-        duplicates=duplicates,
-        overview=profile.table_overview(totals, duplicates, spec),
-        check_ranking=profile.check_ranking(totals, spec),
-        issue_ranking=profile.issue_ranking(totals, duplicates, spec),
-        coverage=coverage,
-        low_coverage=profile.low_coverage(coverage),
-        null_profile=nulls,
-        top_nulls=profile.top_null_columns(nulls, df.columns),
-        nulls_by_group=profile.null_pct_by_from_cells(cells, measures, spec.group_keys),
-        nulls_by_year=profile.null_pct_by_from_cells(cells, measures, [spec.year_col]),
-        issues=issue_rows(df, spec),
-    )
+    return Validation(df, spec, cells, duplicates)
 
 
 def run_validation(
@@ -78,21 +111,9 @@ def run_validation(
         found, _ = together(
             lambda: validate(df, spec), lambda: write_parquet(issue_rows(df, spec), issues)
         )
-        tables = {
-            "gaps": found.coverage,
-            "low_coverage": found.low_coverage,
-            "summary": found.null_profile,
-            "top_nulls": found.top_nulls,
-            "nulls": found.nulls_by_group,
-            "timeline": found.nulls_by_year,
-            "ranking": found.issue_ranking,
-            "checks": found.check_ranking,
-        }
+        paths = {name: f"{out_dir}/integrity_{kind}_{spec.name}.csv" for kind, name in REPORTS.items()}
         together(
-            *(
-                partial(write_csv, table, f"{out_dir}/integrity_{kind}_{spec.name}.csv")
-                for kind, table in tables.items()
-            )
+            *(lambda n=n, path=path: write_csv(getattr(found, n), path) for n, path in paths.items())
         )
         return found
 
