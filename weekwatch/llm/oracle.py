@@ -1,5 +1,9 @@
 """DuckDB SQL that gives the rows of the registered queries."""
 
+from __future__ import annotations
+
+from weekwatch.llm import licenses, sharding
+
 SQL: dict[str, str] = {}
 
 SQL["op7_exact_dedup"] = r"""
@@ -15,3 +19,108 @@ select doc_id,
 from d
 window w as (partition by text_sha256)
 """
+
+SQL["op5_mixing"] = r"""
+with d as (
+  select doc_id, source,
+         len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as size,
+         ('0x' || substr(md5(concat_ws(':', coalesce(doc_id::varchar, ''), coalesce(text, ''))), 1, 9))::bigint as h
+  from documents
+),
+s as (
+  select source, sum(size)::bigint as z, [5, 2, 1][(row_number() over (order by source nulls last) - 1) % 3 + 1] as w
+  from d group by source
+),
+f as (
+  select source, z, w,
+         3 * sum(z) over () - 4 * coalesce(sum(z) over (order by z / w, source nulls last
+                                                         rows between unbounded preceding and 1 preceding), 0) as l,
+         2 * sum(w) over (order by z / w, source nulls last
+                          rows between current row and unbounded following) as o,
+         row_number() over (order by z / w, source nulls last) as pos
+  from s
+),
+g as (select *, (l * w)::double / o > 2 * z as stops from f),
+k as (select l as kl, o as ko from g where not stops order by pos limit 1),
+t as (
+  select source, z, case when stops then (2 * z)::double else (kl * w)::double / ko end as target
+  from g left join k on true
+),
+r as (select *, case when z > 0 then floor(target / z) else 0 end as full_times from t),
+c as (
+  select d.*, r.z, r.target, r.full_times, r.target - r.full_times * r.z as rest,
+         sum(size) over (partition by d.source order by h) as upto,
+         sum(size) over (partition by d.source, h) as cell
+  from d join r on d.source is not distinct from r.source
+)
+select doc_id, source, size, z as source_size, target,
+       (full_times + case when upto <= rest or (upto - cell <= rest and upto - cell + cell / 2 <= rest)
+                          then 1 else 0 end)::bigint as times,
+       (size * (full_times + case when upto <= rest or (upto - cell <= rest and upto - cell + cell / 2 <= rest)
+                                  then 1 else 0 end))::bigint as taken
+from c
+"""
+
+
+def sharding_sql(shards: list[str], size: int) -> str:
+    """The shards take turns in a recursion with one step per slot."""
+    names = ", ".join(f"'{s}'" for s in shards)
+    return f"""
+with recursive s as (
+  select unnest([{names}]) as shard, unnest(range({len(shards)})) as i
+),
+p as (
+  select list((('0x' || substr(md5('offset:' || shard), 1, 15))::bigint % {size}) order by i) as o,
+         list((('0x' || substr(md5('skip:' || shard), 1, 15))::bigint % ({size} - 1) + 1) order by i) as k
+  from s
+),
+fill as (
+  select 0 as turn, list_transform(range({size}), lambda x: -1) as owner, o, k from p
+  union all
+  select turn + 1,
+         list_concat(list_concat(owner[:c], [turn % {len(shards)}]), owner[c + 2:]), o, k
+  from (
+    select *, list_filter(
+        list_transform(range({size}), lambda j: (o[turn % {len(shards)} + 1] + j * k[turn % {len(shards)} + 1]) % {size}),
+        lambda x: owner[x + 1] < 0)[1] as c
+    from fill where turn < {size}
+  )
+),
+slots as (
+  select unnest(range({size})) as slot, unnest(owner) as i from fill where turn = {size}
+)
+select doc_id, l.slot, s.shard
+from (select doc_id, ('0x' || substr(md5(coalesce(doc_id::varchar, '')), 1, 15))::bigint % {size} as slot
+      from documents) d
+join slots l using (slot) join s using (i)
+"""
+
+
+def licences_sql(sentences, rules) -> str:
+    """Sentences become identifiers; the rules are a chain of replacements."""
+    cases = " ".join(f"when contains(x, '{wording}') then '{name}'" for name, wording in sentences)
+    ordered = ", ".join(f"{{'name': '{n}', 'ids': '|{'|'.join(i)}|'}}" for n, i in rules)
+    return f"""
+with s as (
+  select doc_id, list_filter(
+    list_transform(
+      string_split_regex(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9.!?;]+', ' ', 'g'), '[.!?;]+( |$)'),
+      lambda x: case {cases} end), lambda x: x is not null) as ids
+  from documents
+),
+r as (
+  select *, list_reduce([{ordered}],
+    lambda a, b: {{'name': a.name || case when contains(a.ids, b.ids) then '|' || b.name else '' end,
+                   'ids': replace(a.ids, b.ids, '|#|')}},
+    {{'name': '', 'ids': '|' || array_to_string(ids, '|') || '|'}}).name as found
+  from s
+)
+select doc_id, array_to_string(ids, ',') as sentence_ids,
+       array_to_string(list_filter(string_split(found, '|'), lambda x, i: x <> ''
+         and list_position(string_split(found, '|'), x) = i), ',') as licences
+from r
+"""
+
+
+SQL["op2_sharding"] = sharding_sql(list(sharding.SHARDS), sharding.table_size(len(sharding.SHARDS)))
+SQL["op10_licenses"] = licences_sql(licenses.SENTENCES, licenses.RULES)

@@ -5,19 +5,34 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from weekwatch.llm import exact_dedup, oracle
+from weekwatch.llm import exact_dedup, licenses, mixing, oracle, sharding
 from weekwatch.llm.text import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(table(spark, sf_dir, "documents"), "doc_id").withColumnRenamed("key", "doc_id")
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "times")
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", *(F.array_join(c, ",").alias(c) for c in ("sentence_ids", "licences")))
+
+
 def queries() -> dict[str, Query]:
-    every = [op7_exact_dedup]
+    every = [op2_sharding, op5_mixing, op7_exact_dedup, op10_licenses]
     return {f.__name__: f for f in every}
 
 
