@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weekwatch.llm import licenses, sharding
+from weekwatch.llm import licenses, secrets, sharding
 
 SQL: dict[str, str] = {}
 
@@ -122,5 +122,37 @@ from r
 """
 
 
+def secrets_sql(rules, base) -> str:
+    """Each expression is searched for in every text; positions add up from the parts between."""
+    quoted = lambda rule: "'" + rule.pattern.replace("'", "''") + "'"
+    each = ",\n".join(
+        f"""list_filter(list_transform(
+      range(1, len(regexp_extract_all(text, {quoted(r)})) + 1),
+      lambda i: {{
+        's': (list_sum(list_transform(string_split_regex(text, {quoted(r)})[:i], lambda x: len(x)))
+             + coalesce(list_sum(list_transform(regexp_extract_all(text, {quoted(r)})[:i - 1], lambda x: len(x))), 0))::bigint,
+        'n': {n},
+        'l': len(regexp_extract_all(text, {quoted(r)})[i]),
+        'v': len(regexp_extract_all(text, {quoted(r)}, {r.group})[i])}}), lambda x: x.v >= {r.least}) as k{n}"""
+        for n, r in enumerate(rules)
+    )
+    names = "[" + ", ".join(f"'{r.kind}'" for r in rules) + "]"
+    text = lambda of: (
+        f"array_to_string(list_transform(list_sort({of}), "
+        f"lambda x: {names}[x.n + 1] || ':' || x.s || ':' || (x.s + x.l)), ',')"
+    )
+    lists = lambda some: "flatten([" + ", ".join(f"k{n}" for n in some) + "])"
+    counts = ", ".join(f"len(k{n}) as n_{r.kind}" for n, r in enumerate(base))
+    return f"""
+with d as (select doc_id, coalesce(text, '') as text from documents),
+k as (select doc_id, {each} from d)
+select doc_id, {counts},
+       sha256({text(lists(range(len(base))))}) as base_sha256,
+       {text(lists(range(len(rules))))} as spans
+from k
+"""
+
+
+SQL["op6_secrets"] = secrets_sql(secrets.RULES, secrets.BASE)
 SQL["op2_sharding"] = sharding_sql(list(sharding.SHARDS), sharding.table_size(len(sharding.SHARDS)))
 SQL["op10_licenses"] = licences_sql(licenses.SENTENCES, licenses.RULES)

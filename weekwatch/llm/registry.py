@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weekwatch.llm import exact_dedup, licenses, mixing, oracle, sharding
+from weekwatch.llm import exact_dedup, licenses, mixing, oracle, secrets, sharding
 from weekwatch.llm.text import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "times")
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.find_secrets(table(spark, sf_dir, "documents")))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -32,7 +36,7 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    every = [op2_sharding, op5_mixing, op7_exact_dedup, op10_licenses]
+    every = [op2_sharding, op5_mixing, op6_secrets, op7_exact_dedup, op10_licenses]
     return {f.__name__: f for f in every}
 
 
