@@ -7,12 +7,26 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weekwatch.llm import exact_dedup, licenses, mixing, oracle, secrets, sharding
+from weekwatch.llm import exact_dedup, licenses, mixing, oracle, quality, secrets, sharding, toxicity
 from weekwatch.llm.text import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _predicted(scored: DataFrame, threshold: float) -> DataFrame:
+    return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return _predicted(toxicity.score(docs, toxicity.fit(docs, labels)), toxicity.THRESHOLD)
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return _predicted(quality.score(docs, quality.fit(docs, labels)), quality.THRESHOLD)
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"), "doc_id").withColumnRenamed("key", "doc_id")
 
@@ -36,7 +50,7 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    every = [op2_sharding, op5_mixing, op6_secrets, op7_exact_dedup, op10_licenses]
+    every = [op1_toxicity, op2_sharding, op3_quality, op5_mixing, op6_secrets, op7_exact_dedup, op10_licenses]
     return {f.__name__: f for f in every}
 
 
