@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weekwatch.llm import exact_dedup, licenses, mixing, oracle, quality, secrets, sharding, toxicity
+from weekwatch.llm import exact_dedup, licenses, mixing, oracle, packing, quality, secrets, sharding, toxicity
 from weekwatch.llm.text import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +31,10 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"), "doc_id").withColumnRenamed("key", "doc_id")
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "times")
@@ -50,7 +54,7 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    every = [op1_toxicity, op2_sharding, op3_quality, op5_mixing, op6_secrets, op7_exact_dedup, op10_licenses]
+    every = [op1_toxicity, op2_sharding, op3_quality, op4_packing, op5_mixing, op6_secrets, op7_exact_dedup, op10_licenses]
     return {f.__name__: f for f in every}
 
 
