@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weekwatch.llm import exact_dedup, licenses, mixing, oracle, packing, quality, secrets, sharding, toxicity
+from weekwatch.llm import exact_dedup, licenses, mixing, near_dedup, oracle, packing, quality, secrets, sharding, toxicity
 from weekwatch.llm.text import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,13 +48,18 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = near_dedup.near_groups(table(spark, sf_dir, "documents"), words=3, num=9, den=10)
+    return groups.select("doc_id", "n_shingles", "component_id", "n_links")
+
+
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scan(table(spark, sf_dir, "documents"))
     return found.select("doc_id", *(F.array_join(c, ",").alias(c) for c in ("sentence_ids", "licences")))
 
 
 def queries() -> dict[str, Query]:
-    every = [op1_toxicity, op2_sharding, op3_quality, op4_packing, op5_mixing, op6_secrets, op7_exact_dedup, op10_licenses]
+    every = [op1_toxicity, op2_sharding, op3_quality, op4_packing, op5_mixing, op6_secrets, op7_exact_dedup, op9_ngram_join, op10_licenses]
     return {f.__name__: f for f in every}
 
 
