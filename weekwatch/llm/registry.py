@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weekwatch.llm import exact_dedup, licenses, mixing, near_dedup, oracle, packing, quality, secrets, sharding, toxicity
+import corpus_pipeline
+from weekwatch.llm import exact_dedup, licenses, mixing, near_dedup, neighbours, oracle, packing, quality, secrets, sharding, toxicity
 from weekwatch.llm.text import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,6 +49,11 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return neighbours.nearest(vectors, vectors.where("vec_id % 100 = 0"))
+
+
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = near_dedup.near_groups(table(spark, sf_dir, "documents"), words=3, num=9, den=10)
     return groups.select("doc_id", "n_shingles", "component_id", "n_links")
@@ -59,9 +65,10 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    every = [op1_toxicity, op2_sharding, op3_quality, op4_packing, op5_mixing, op6_secrets, op7_exact_dedup, op9_ngram_join, op10_licenses]
-    return {f.__name__: f for f in every}
+    every = [op1_toxicity, op2_sharding, op3_quality, op4_packing, op5_mixing, op6_secrets, op7_exact_dedup, op8_neighbours, op9_ngram_join, op10_licenses]
+    return {f.__name__: f for f in every} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracle.SQL
+    piped = corpus_pipeline.ORACLE_SQL
+    return oracle.SQL | ({"pipeline": piped} if piped else {})
