@@ -155,14 +155,12 @@ def _new_path(spark: SparkSession, name: str) -> str:
 
 def _streamed(spark: SparkSession, stream: DataFrame) -> DataFrame:
     out = _new_path(spark, "streamed")
-    streaming.run_available(stream, out, _new_path(spark, "stream-state"))
+    streaming.run_available(stream, out, _new_path(spark, "stream-state"), fail_on_late=True)
     return spark.read.parquet(out)
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = streaming.read_files(
-        spark, sf_dir, EVENT_SCHEMA, pathGlobFilter="events.parquet", maxFilesPerTrigger="64"
-    )
+    events = streaming.read_table(spark, f"{sf_dir}/events.parquet", EVENT_SCHEMA)
     return events.withColumn("ts", streaming.utc_instant("ts"))
 
 

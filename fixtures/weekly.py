@@ -107,7 +107,8 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
         .groupBy(*place, "week_start")
         .agg(*_counts())
     )
-    segment = F.array_position(F.array(*(F.lit(s) for s in SEGMENTS)), F.col("c_mktsegment")) - 1
+    known = F.array_position(F.array(*(F.lit(s) for s in SEGMENTS)), F.col("c_mktsegment"))
+    segment = F.when(known > 0, known - 1).otherwise(len(SEGMENTS) - 1)
     located = (
         counted.join(people, place)
         .join(nations, "c_nationkey")

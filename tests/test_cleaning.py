@@ -21,6 +21,22 @@ def test_passthrough_values_come_from_one_row(spark):
         assert (out["ubigeo"], out["ano"]) == (2, 9)
 
 
+def test_a_missing_tie_break_loses_nothing(spark):
+    rows = table(spark, {"ubigeo": None, "ano": 2020, "semana": 2}, {"ubigeo": None, "ano": 2020, "semana": 2})
+    out = deduplicate(rows, SPEC.natural_key, ["cases_total"], ["ubigeo", "ano", "semana"], "ubigeo").first()
+    assert (out["ubigeo"], out["ano"], out["semana"]) == (None, 2020, 2)
+
+
+def test_equal_tie_breaks_do_not_depend_on_row_order(spark):
+    rows = [{"ubigeo": 7, "ano": 2020, "semana": 1}, {"ubigeo": 7, "ano": 2019, "semana": 53},
+            {"ubigeo": None, "ano": 2018, "semana": 9}, {"ubigeo": 7, "ano": None, "semana": 2}]
+    for order in ([0, 1, 2, 3], [3, 2, 1, 0], [1, 3, 0, 2]):
+        frame = table(spark, *(rows[i] for i in order))
+        for n in (1, 7, 64):
+            out = deduplicate(frame.repartition(n), SPEC.natural_key, [], ["ubigeo", "ano", "semana"], "ubigeo")
+            assert [(r["ubigeo"], r["ano"], r["semana"]) for r in out.collect()] == [(7, 2019, 53)]
+
+
 def test_null_keys_form_a_group(spark):
     rows = table(spark, {"department": None}, {"department": None}, {})
     assert deduplicate(rows, SPEC.natural_key, SPEC.metrics).count() == 2

@@ -38,11 +38,12 @@ def grow_by_hand(rows, chance, node, depth, limit, out):
 
 
 def test_trees_grown_together_equal_trees_grown_alone():
-    rows = np.random.default_rng(1).poisson(5, (300, 3)).astype(float)
-    grown = iforest._grow(rows, [np.random.default_rng([7, t]) for t in range(5)], 256)
+    rows = np.random.default_rng(1).poisson(5, (5, 256, 3)).astype(float)
+    generators = [np.random.default_rng([7, t]) for t in range(5)]
+    grown = iforest._grow(rows.reshape(-1, 3), [256] * 5, generators)
     for t in range(5):
         rng = np.random.default_rng([7, t])
-        drawn = rows[rng.choice(len(rows), 256, replace=False)]
+        drawn = rows[t]
         chance, leaves = rng.random((511, 2)), {}
         grow_by_hand(drawn, chance, 0, 0, 8, leaves)
         feature, _, size = (part[t] for part in grown)
@@ -105,9 +106,27 @@ def test_missing_and_whole_number_metrics_survive(spark):
     assert {r["cases_total"] for r in scored.collect()} == {None, large, *range(50)}
 
 
-def test_pool_of_a_long_group_is_bounded(spark):
-    series = two_metrics(spark, 300)
-    forest = iforest.iforest_fit(series, G, M, n_trees=4, max_samples=16)
-    trees = forest.collect()
-    assert [sorted(t["__tree"] for t in trees), {t["__samples"] for t in trees}] == [[0, 1, 2, 3], {16}]
-    assert all(t["size"][0] == 16 for t in trees)
+def test_every_tree_draws_its_own_rows(spark):
+    forest = iforest.iforest_fit(two_metrics(spark, 300), G, M, n_trees=4, max_samples=16).collect()
+    assert [sorted(t["__tree"] for t in forest), {t["__samples"] for t in forest}] == [[0, 1, 2, 3], {16}]
+    assert all(t["size"][0] == 16 for t in forest)
+    assert len({tuple(t["threshold"]) for t in forest}) == 4
+
+
+def test_trees_of_a_long_group_draw_from_all_of_it(spark):
+    # Longer than all trees together can look at: no part of the series is left out.
+    n = 60_000
+    rows = spark.range(n).selectExpr("'A' as department", "date_add(date'1900-01-01', cast(id as int)) as week_start",
+                                     "cast(id as double) as cases_total")
+    forest = iforest.iforest_fit(rows, G, ["cases_total"]).collect()
+    assert len(forest) == 200 and {t["__samples"] for t in forest} == {256}
+    roots = np.array([t["threshold"][0] for t in forest])
+    # A first cut is uniform between the extremes of 256 rows of the whole series.
+    assert np.histogram(roots, bins=4, range=(0, n))[0].min() >= 25
+    inner = np.array([c for t in forest for c, f in zip(t["threshold"], t["feature"]) if f >= 0])
+    assert np.histogram(inner, bins=10, range=(0, n))[0].min() >= 1200
+
+
+def test_few_rows_are_all_drawn(spark):
+    forest = iforest.iforest_fit(two_metrics(spark, 40), G, M, n_trees=30).collect()
+    assert {t["__samples"] for t in forest} == {40} and len(forest) == 30

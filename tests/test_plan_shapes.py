@@ -3,11 +3,13 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from fixtures.queries import METRICS
 from fixtures.weekly import WEEKLY_PROV as SPEC
 from weekwatch.operators import checks, cleaning, iforest, outliers, profile, silence
 from weekwatch.operators import outlier_reports as reports
+from weekwatch.specs import SURVEILLANCE
 
 G = ["department"]
 
@@ -32,7 +34,6 @@ def test_row_checks_do_not_shuffle(prov):
 @pytest.mark.parametrize("make, shuffles", [
     (lambda p: checks.flag_totals(p, SPEC), 1),
     (lambda p: profile.integrity_cells(p, SPEC), 1),
-    (lambda p: cleaning.clean_table(p, SPEC), 1),
     (lambda p: profile.null_pct_by(p, SPEC.measure_cols, G), 2),
 ])
 def test_one_pass_and_map_side_aggregation(prov, make, shuffles):
@@ -88,9 +89,22 @@ def test_top_k_per_group_is_cut_before_the_shuffle(series):
     assert "TakeOrderedAndProject" in plan(top)
 
 
-def test_long_groups_are_thinned_before_the_shuffle_by_group(series):
+def test_rows_are_drawn_before_they_are_shuffled_to_the_trees(series):
     lines = plan(iforest.iforest_fit(series, G, METRICS)).splitlines()
-    by_group = next(i for i, line in enumerate(lines) if "- Window [" in line)
-    shuffle = next(i for i, line in enumerate(lines) if i > by_group and "Exchange hash" in line)
-    share_of_hash = next(i for i, line in enumerate(lines) if "1.8446744073709552E19" in line)
-    assert by_group < shuffle < share_of_hash
+    exchanges = [i for i, line in enumerate(lines) if "Exchange hash" in line]
+    # By group for its size, and once with the drawn rows; no join.
+    assert len(exchanges) == 2 and "Join" not in "".join(lines)
+    drawn = next(i for i, line in enumerate(lines) if "Generate explode" in line)
+    assert exchanges[0] < drawn < exchanges[1]
+
+
+def test_text_keys_are_hashed_and_not_sorted_before_the_shuffle(spark, prov):
+    spec = next(s for s in SURVEILLANCE if s.name == "iras_weekly_prov")
+    wide = prov.withColumn("ubigeo", F.col("ubigeo").cast("string"))
+    wide = wide.withColumns({c: F.lit(1).cast("bigint") for c in spec.metrics if c not in wide.columns})
+    lines = plan(cleaning.clean_table(wide, spec)).splitlines()
+    last = max(i for i, line in enumerate(lines) if "Exchange hash" in line)
+    assert "HashAggregate" in lines[last + 1] and "partial_max" in lines[last + 1]
+    # Raw rows: no sort below the first shuffle; what is sorted has been collapsed.
+    assert not any("Sort" in line for line in lines[last:])
+    assert "HashAggregate" in lines[last - 1]

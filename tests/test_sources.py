@@ -1,4 +1,3 @@
-import datetime
 import math
 
 import pytest
@@ -27,6 +26,15 @@ def folder(spark, tmp_path):
     return str(src)
 
 
+class Odd(ParquetSource):
+    """A source whose tables fail without a text, or lose rows on the way."""
+
+    def read(self, table):
+        if table == "a":
+            raise RuntimeError
+        return super().read(table).limit(1)
+
+
 def statuses(df):
     return {r["table"]: (r["status"], r["rows"]) for r in df.collect()}
 
@@ -56,28 +64,69 @@ def test_one_bad_table_does_not_stop_the_others(spark, folder, tmp_path):
     assert rows["x"]["error"] and rows["x"]["rows"] is None
 
 
+def test_errors_without_text_and_short_copies_are_reported(spark, folder, tmp_path):
+    done = {r["table"]: r for r in snapshot_tables(spark, Odd(spark, folder), str(tmp_path / "o")).collect()}
+    assert (done["a"]["status"], done["a"]["error"]) == ("error", "RuntimeError: ")
+    b = done["b"]
+    assert (b["status"], b["rows"], b["source_rows"]) == ("error", 1, 3)
+    assert "3 in the source" in b["error"] and b["seconds"] > 0
+
+
 def test_no_tables(spark, tmp_path):
     (tmp_path / "empty").mkdir()
     source = ParquetSource(spark, str(tmp_path / "empty"))
     assert snapshot_tables(spark, source, str(tmp_path / "o")).count() == 0
 
 
-def test_jdbc_options(spark):
-    source = JdbcSource(spark, "jdbc:postgresql://host/db", {"user": "u"}, partitions=8)
+def test_jdbc_pages():
+    source = JdbcSource(None, "jdbc:postgresql://host/db", {"user": "u"}, partitions=3)
     assert quoted('we"ird') == '"we""ird"'
     assert source._name("t") == '"public"."t"'
-    schema = table(spark, {}).schema
-    assert source.split_column("t", schema) == "ubigeo"
-    source.split_columns = {"t": "ano"}
-    assert source.split_column("t", schema) == "ano"
-    assert source.split_column("u", spark.createDataFrame([], "a string, b double").schema) is None
-    low, high = datetime.date(2000, 1, 3), datetime.date(2023, 12, 25)
-    assert source.range_options("week_start", low, high) == {
-        "partitionColumn": '"week_start"',
-        "lowerBound": "2000-01-03",
-        "upperBound": "2023-12-25",
-        "numPartitions": "8",
-    }
+    assert "pg_relation_size('\"public\".\"it''s\"'::regclass)" in source.pages_query("it's")
+    assert source.page_predicates(90) == [
+        "ctid >= '(0,0)'::tid and ctid < '(30,0)'::tid",
+        "ctid >= '(30,0)'::tid and ctid < '(60,0)'::tid",
+        "ctid >= '(60,0)'::tid",
+    ]
+    assert source.page_predicates(0) == ["ctid >= '(0,0)'::tid"]
+
+
+class Counted(JdbcSource):
+    """Answers queries from a table of this session instead of a database."""
+
+    def _reader(self, **options):
+        sql = options["query"].replace('"public".', "").replace('"', "`")
+        spark = self.spark
+
+        class Reader:
+            load = staticmethod(lambda: spark.sql(sql))
+
+        return Reader
+
+
+@pytest.mark.parametrize("columns", ["ano, code, day", "code", "ano, day"])
+def test_jdbc_ranges_part_any_table(spark, columns):
+    rows = spark.range(1000).selectExpr(
+        "cast(2000 + id % 25 as int) as ano",
+        "if(id % 50 = 7, null, concat('it''s ', id % 300)) as code",
+        "date_add(date'2020-01-01', cast(id % 200 as int)) as day",
+    )
+    table_ = rows.selectExpr(*columns.split(", "))
+    table_.createOrReplaceTempView("ranged")
+    source = Counted(spark, "jdbc:other://host/db", {}, partitions=8)
+    parts = source.predicates("ranged", table_.schema)
+    assert len(parts) == 8
+    sql = [p.replace('"', "`").replace("''", "\\'") for p in parts]
+    sizes = [table_.where(p).count() for p in sql]
+    assert sum(sizes) == 1000 and min(sizes) >= 100
+    source.split_columns = {"ranged": columns.split(", ")[0]}
+    assert source.split_column("ranged", table_.schema) == columns.split(", ")[0]
+
+
+def test_jdbc_table_without_an_ordered_column_is_one_part(spark):
+    source = Counted(spark, "jdbc:other://host/db", {})
+    assert source.predicates("t", spark.createDataFrame([], "a boolean, b double").schema) is None
+    assert source.range_predicates("a", [3, 3]) == ["1 = 1"]
 
 
 def test_conform_fails_on_missing_columns(spark):
@@ -122,22 +171,30 @@ def test_scratch_is_the_folder_the_session_names(spark):
     assert all(f.startswith(f"file://{named}") for f in stored.inputFiles())
 
 
-def test_scratch_without_a_named_folder(spark, monkeypatch):
-    class Conf(dict):
-        def set(self, key, value):
-            self[key] = value
-
+def test_scratch_without_a_named_folder():
     class Session:
-        conf = Conf()
+        conf = {scratch.WAREHOUSE_CONF: "s3a://lake/warehouse/"}
 
         class sparkContext:
-            master = "yarn"
             getCheckpointDir = staticmethod(lambda: None)
 
-    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
-        scratch.scratch_dir(Session)
-    Session.sparkContext.master = "local[2]"
-    assert scratch.scratch_dir(Session) == scratch.scratch_dir(Session)
+    assert scratch.scratch_dir(Session) == "s3a://lake/warehouse/_scratch"
+    Session.conf[scratch.CHECKPOINT_CONF] = "s3a://lake/checkpoints"
+    assert scratch.scratch_dir(Session) == "s3a://lake/checkpoints"
+
+
+def test_a_job_leaves_nothing_behind(spark):
+    with scratch.job_folder(spark) as folder:
+        assert scratch.store(spark.range(3), "n", folder).count() == 3
+        assert path_exists(spark, folder)
+    assert not path_exists(spark, folder)
+
+
+def test_a_table_half_written_is_refused(spark, tmp_path):
+    write_parquet(table(spark, {}), f"{tmp_path}/tiny.parquet")
+    (tmp_path / "tiny.parquet" / "_SUCCESS").unlink()
+    with pytest.raises(ValueError, match="never finished"):
+        scan_present(spark, str(tmp_path), [SPEC])
 
 
 def test_paths(spark, tmp_path):

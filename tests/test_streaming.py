@@ -1,6 +1,9 @@
 import datetime
 
+import pytest
+
 from compare import spark_rows
+from fixtures import queries
 from fixtures.weekly import WEEKLY_PROV
 from weekwatch.operators.checks import add_flags
 from weekwatch.operators.cleaning import clamp_hosp_gt_cases, flag_deaths_gt_hosp
@@ -61,3 +64,34 @@ def test_weeks_start_on_monday_and_late_rows_are_cut_off(spark, tmp_path):
         (1, "2024-01-08"): 1,
         (1, "2024-01-15"): 1,
     }
+
+
+def events(spark, path, files=None):
+    rows = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    if files:
+        rows.repartition(files).write.parquet(path)
+    else:
+        rows.coalesce(1).write.parquet(path)
+
+
+def test_events_in_many_files_equal_one_file(spark, sf_dir, tmp_path):
+    events(spark, f"{tmp_path}/events.parquet", 260)
+    for name in ("stream_event_repeats", "stream_event_weeks"):
+        query = queries.queries()[name]
+        assert spark_rows(query(spark, str(tmp_path))) == spark_rows(query(spark, sf_dir))
+
+
+def test_late_rows_are_counted_or_refused(spark, tmp_path):
+    src, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+
+    def arrive(rows, **settings):
+        spark.createDataFrame(rows, EVENT).coalesce(1).write.mode("append").parquet(src)
+        stream = streaming.read_files(spark, src, spark.read.parquet(src).schema)
+        counted = streaming.weekly_counts(stream, ["key"], "ts", "1 day")
+        return streaming.run_available(counted, out, state, **settings)
+
+    assert arrive([(1, day(0))]) == 0
+    assert arrive([(1, day(40))]) == 0
+    assert arrive([(1, day(2)), (2, day(3))]) == 2
+    with pytest.raises(streaming.LateRowsError, match="1 rows"):
+        arrive([(1, day(4))], fail_on_late=True)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import argparse
 import json
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from weekwatch.plans.cleaning import run_cleaning
 from weekwatch.plans.detection import run_detection
@@ -33,6 +33,11 @@ def arguments(argv: list[str] | None = None) -> argparse.Namespace:
     return parser.parse_args(argv)
 
 
+def show_all(report: DataFrame, vertical: bool = False) -> None:
+    """Print a report whole: it has one row per table, or one per method."""
+    report.show(max(1, report.count()), truncate=False, vertical=vertical)
+
+
 def run(spark: SparkSession, args: argparse.Namespace) -> None:
     missing: list[str] = []
     if args.job == "validate":
@@ -42,7 +47,7 @@ def run(spark: SparkSession, args: argparse.Namespace) -> None:
     elif args.job == "detect":
         found, missing = run_detection(spark, args.raw, args.reports)
         for detection in found.values():
-            detection.totals.show(100, truncate=False)
+            show_all(detection.totals)
         result = None
     else:
         with open(args.properties, encoding="utf-8") as file:
@@ -50,7 +55,7 @@ def run(spark: SparkSession, args: argparse.Namespace) -> None:
         source = JdbcSource(spark, args.url, properties, args.schema, args.partitions)
         result = snapshot_tables(spark, source, args.raw, force=args.force)
     if result is not None:
-        result.show(1000, truncate=False, vertical=args.job == "validate")
+        show_all(result, vertical=args.job == "validate")
     for name in missing:
         print(f"no table {name}, skipped")
 

@@ -17,6 +17,7 @@ from weekwatch.functions import (
 )
 from weekwatch.specs import TableSpec
 
+# Names of the checks.
 CHECK_PREFIX = "_chk_"
 NULL_CHECK = "_chk_null__"
 NEGATIVE_CHECK = "_chk_neg__"

@@ -23,14 +23,22 @@ def deduplicate(
 ) -> DataFrame:
     """One row per key: the largest value of each metric, pass-through values of one row.
 
-    That row is the one with the smallest ``tie_break`` (by default the smallest
-    pass-through values), so the result does not depend on row order. With a
-    numeric ``tie_break`` and numeric pass-through columns all buffers are
-    fixed-width and Spark keeps hash aggregation on both sides of the shuffle.
+    That row has the smallest ``tie_break``, then the smallest pass-through values,
+    each with null last; so the result does not depend on row order, and no row is
+    left out for a missing value. Rows are first collapsed by key and pass-through
+    values, with buffers of fixed width, so raw rows are hashed and never sorted; the
+    choice is then among the few different rows that are left of a key.
     """
-    first = F.col(tie_break) if tie_break else F.struct(*passthrough) if passthrough else None
-    kept = [F.min_by(c, first).alias(c) for c in passthrough]
-    return df.groupBy(*key).agg(*(F.max(c).alias(c) for c in metrics), *kept)
+    largest = [F.max(c).alias(c) for c in metrics]
+    if not passthrough:
+        return df.groupBy(*key).agg(*largest) if largest else df.select(*key).distinct()
+    order = dict.fromkeys([tie_break, *passthrough] if tie_break else passthrough)
+    apart = [c for c in order if c not in key]
+    collapsed = df.groupBy(*key, *apart).agg(*largest) if largest else df.select(*key, *apart).distinct()
+    values = [part for i, c in enumerate(order) for part in (F.isnull(c).alias(f"n{i}"), F.col(c).alias(f"v{i}"))]
+    kept = collapsed.groupBy(*key).agg(*largest, F.min(F.struct(*values)).alias("__kept"))
+    at = {c: i for i, c in enumerate(order)}
+    return kept.select(*key, *metrics, *(F.col(f"__kept.v{at[c]}").alias(c) for c in passthrough))
 
 
 def flag_deaths_gt_hosp(

@@ -1,7 +1,7 @@
 """Isolation forest (Liu, Ting and Zhou, 2008) as a Spark job, one forest per group.
 
-Spark draws the pool of rows, spreads the trees over tasks, brings trees and
-rows together, and finds the threshold. Python sees a bounded pool per block of
+Spark draws the rows of each tree, spreads the trees over tasks, brings trees and
+rows together, and finds the threshold. Python sees the drawn rows of one block of
 trees and a bounded slice of rows per scoring call, never a whole table.
 """
 
@@ -44,18 +44,17 @@ def expected_path(n) -> np.ndarray:
     return np.where(n <= 1, 0.0, np.where(n == 2, 1.0, mean))
 
 
-def _grow(rows: np.ndarray, generators: Sequence[np.random.Generator], samples: int):
+def _grow(rows: np.ndarray, counts: Sequence[int], generators: Sequence[np.random.Generator]):
     """One tree per generator, all grown together, one level at a time.
 
-    Returns ``feature`` (-1 in a leaf), ``threshold`` and ``size`` with one row per
-    tree, the nodes in heap order: the children of i are 2i+1 and 2i+2.
+    ``rows`` holds the rows drawn by the first tree, then by the second, and so on; ``counts``
+    says how many each has. Returns ``feature`` (-1 in a leaf), ``threshold`` and ``size`` with
+    one row per tree, the nodes in heap order: the children of i are 2i+1 and 2i+2.
     """
-    depth = int(np.ceil(np.log2(max(samples, 2))))
+    depth = int(np.ceil(np.log2(max(*counts, 2))))
     slots = 2 ** (depth + 1) - 1
-    drawn = [g.choice(len(rows), samples, replace=False) for g in generators]
-    rows = rows[np.concatenate(drawn)]
     chance = np.stack([g.random((slots, 2)) for g in generators]).reshape(-1, 2)
-    root = np.repeat(np.arange(len(generators)) * slots, samples)
+    root = np.repeat(np.arange(len(generators)) * slots, counts)
     node = root.copy()
     feature = np.full(len(chance), -1, dtype=np.int32)
     threshold = np.zeros(len(chance))
@@ -113,13 +112,14 @@ def _chance(date_col: str, metrics: Sequence[str], seed: int) -> Column:
     return F.xxhash64(F.lit(seed), F.col(date_col), *(F.col(m) for m in metrics))
 
 
-def _with_size(rows: DataFrame, series: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Attach ``__rows``, the size of the row's group in the series; null keys match."""
-    sizes = series.groupBy(*(F.col(c).alias(f"__of_{c}") for c in keys)).agg(
-        F.count(F.lit(1)).alias("__rows")
-    )
-    same = [F.col(c).eqNullSafe(F.col(f"__of_{c}")) for c in keys]
-    return rows.join(sizes, same).drop(*(f"__of_{c}" for c in keys))
+def _with_size(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Attach ``__rows``, the size of the row's group; null keys are a group."""
+    return rows.withColumn("__rows", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
+
+
+def _reach(samples: int) -> float:
+    """So many rows of a group are expected below a hash that at least ``samples`` are there."""
+    return samples + 10.0 * samples**0.5 + 40.0
 
 
 def _spread(df: DataFrame, *keys: str) -> DataFrame:
@@ -147,53 +147,57 @@ def iforest_fit(
 ) -> DataFrame:
     """The trees: one row per group and tree, for groups with at least ``min_rows`` rows.
 
-    Trees of a group draw from a pool of as many rows as the whole forest can look
-    at (``n_trees * max_samples``), those with the smallest hash; a smaller group is
-    its own pool. Rows whose hash is beyond twice that share are dropped where they
-    are, before anything is shuffled by group. Every tree is seeded by group and
-    number, and the pool has a fixed order, so neither partitioning nor retries
-    change the forest.
+    Every tree draws its own ``max_samples`` rows from all rows of its group, or takes them
+    all if there are fewer: those with the smallest hash of seed, tree and row. Each row
+    finds out by itself which trees may draw it: a tree's hashes below ``_reach`` hold enough
+    rows but for a chance of about 1e-20. So neither partitioning nor retries change the
+    forest, and a long group sends few rows to each tree.
+
+    A group's size is a window over the group: pass a series, one row per group and date, as
+    ``weekly_series`` makes it. Its groups are as long as the calendar.
     """
     keys = list(group_keys)
-    looked_at = n_trees * max_samples
-    chance = F.col("__chance")
-    share = chance / F.lit(2.0**64) + 0.5
-    by_chance = Window.partitionBy(*keys).orderBy(chance, date_col)
-    pool = (
-        _with_size(series.select(*keys, date_col, *metrics), series, keys)
-        .withColumn("__chance", _chance(date_col, metrics, seed))
-        .filter((F.col("__rows") >= min_rows) & (share * F.col("__rows") < 2 * looked_at))
-        .withColumn("__place", F.row_number().over(by_chance))
-        .filter(F.col("__place") <= looked_at)
+    sized = _with_size(series.select(*keys, date_col, *metrics), keys).filter(F.col("__rows") >= min_rows)
+    hashed = lambda tree: F.xxhash64(F.lit(seed), tree, F.col(date_col), *(F.col(m) for m in metrics))
+    share = lambda tree: hashed(tree) / F.lit(2.0**64) + 0.5
+    drawing = F.filter(
+        F.sequence(F.lit(0), F.lit(n_trees - 1)),
+        lambda tree: share(tree) * F.col("__rows") <= _reach(max_samples),
     )
-    blocks = F.sequence(F.lit(0), F.lit((n_trees - 1) // TREES_PER_BLOCK))
-    work = pool.select(
+    drawn = sized.select(
         *keys,
-        "__place",
+        date_col,
+        *metrics,
         _features(metrics).alias("__x"),
         F.xxhash64(*keys).alias("__seed"),
         _slices().alias("__slices"),
-        F.explode(blocks).alias("__block"),
+        F.explode(drawing).alias("__tree"),
+    ).withColumn("__chance", hashed(F.col("__tree")))
+    dealt = _spread(drawn.withColumn("__block", F.floor(F.col("__tree") / TREES_PER_BLOCK)), *keys, "__block")
+    first = Window.partitionBy(*keys, "__block", "__tree").orderBy("__chance", date_col)
+    work = (
+        dealt.withColumn("__place", F.row_number().over(first))
+        .filter(F.col("__place") <= max_samples)
+        .select(*keys, "__block", "__tree", "__place", "__x", "__seed", "__slices")
     )
     schema = T.StructType([series.schema[c] for c in keys] + _TREE_FIELDS)
 
     def grow_block(table: pa.Table) -> pa.Table:
-        table = table.sort_by("__place")
-        rows = _vectors(table, "__x")
-        samples = min(max_samples, len(rows))
-        first, stream = table.column("__block")[0].as_py(), table.column("__seed")[0].as_py()
-        first *= TREES_PER_BLOCK
-        numbers = range(first, min(first + TREES_PER_BLOCK, n_trees))
-        seeds = [[seed, stream & (2**64 - 1), number] for number in numbers]
-        grown = _grow(rows, [np.random.default_rng(s) for s in seeds], samples)
-        out = table.select([*keys, "__slices"]).take(np.zeros(len(numbers), dtype="int64"))
-        out = out.append_column("__samples", pa.array([samples] * len(numbers), pa.int32()))
-        out = out.append_column("__tree", pa.array(list(numbers), pa.int32()))
+        table = table.sort_by([("__tree", "ascending"), ("__place", "ascending")])
+        numbers, first, counts = np.unique(
+            table.column("__tree").to_numpy(), return_index=True, return_counts=True
+        )
+        stream = table.column("__seed")[0].as_py() & (2**64 - 1)
+        seeds = [np.random.default_rng([seed, stream, int(number)]) for number in numbers]
+        grown = _grow(_vectors(table, "__x"), counts, seeds)
+        out = table.select([*keys, "__slices"]).take(first)
+        out = out.append_column("__samples", pa.array(counts, pa.int32()))
+        out = out.append_column("__tree", pa.array(numbers, pa.int32()))
         for (name, kind), nodes in zip(_NODE_ARRAYS.items(), grown):
             out = out.append_column(name, pa.array(list(nodes), pa.list_(kind)))
         return out
 
-    return _spread(work, *keys, "__block").groupBy(*keys, "__block").applyInArrow(grow_block, schema)
+    return work.groupBy(*keys, "__block").applyInArrow(grow_block, schema)
 
 
 def iforest_score(
@@ -210,7 +214,7 @@ def iforest_score(
     """
     keys = list(group_keys)
     slice_of_row = F.pmod(_chance(date_col, metrics, 0), _slices())
-    rows = _with_size(series, series, keys).select(
+    rows = _with_size(series, keys).select(
         *series.columns, slice_of_row.alias("__slice"), _features(metrics).alias("__x")
     )
     every_slice = F.sequence(F.lit(0).cast("bigint"), F.col("__slices") - 1)

@@ -12,6 +12,7 @@ from weekwatch.functions import count_true, long_form, percent, quoted, safe_div
 from weekwatch.operators.checks import CHECK_PREFIX, flag_expressions, flag_names
 from weekwatch.specs import TableSpec
 
+# Days of a week, and the limits of the reports in percent.
 WEEK_DAYS = 7
 LOW_COVERAGE = 95.0
 SEVERE_PERCENT = 1.0

@@ -11,7 +11,7 @@ from weekwatch.operators import outlier_reports as reports
 from weekwatch.operators.iforest import flag_isolation_forest
 from weekwatch.operators.outliers import flag_columns, flag_univariate, weekly_series
 from weekwatch.plans.common import each_table, together
-from weekwatch.sources.scratch import store
+from weekwatch.sources.scratch import job_folder, store
 from weekwatch.sources.tables import write_csv, write_parquet
 from weekwatch.specs import SURVEILLANCE, TableSpec
 
@@ -40,16 +40,10 @@ class Detection:
     peaks: DataFrame
 
 
-def detect(df: DataFrame, spec: TableSpec) -> Detection:
-    """Build the series, run the detectors, summarise.
-
-    The table is read once: the series and the flagged series are stored, both of
-    them as small as the calendar, and everything else reads those.
-    """
+def findings(flagged: DataFrame, spec: TableSpec) -> Detection:
+    """Everything that is read off a stored flagged series."""
     keys, metrics = spec.group_keys, spec.detect_metrics
     flags = flag_columns(metrics, forest=True)
-    series = store(series_of(df, spec), f"series-{spec.name}")
-    flagged = store(flag_all(series, spec), f"flagged-{spec.name}")
     summary = reports.outlier_summary(flagged, keys, flags)
     dated = [*keys, spec.year_col, spec.week_col, spec.date_col]
     primary = "cases_total" if "cases_total" in metrics else metrics[0]
@@ -63,14 +57,30 @@ def detect(df: DataFrame, spec: TableSpec) -> Detection:
     )
 
 
+def detect(df: DataFrame, spec: TableSpec) -> Detection:
+    """Build the series, run the detectors, summarise.
+
+    The table is read once: the series and the flagged series are stored, both of
+    them as small as the calendar, and everything else reads those.
+    """
+    series = store(series_of(df, spec), f"series-{spec.name}")
+    return findings(store(flag_all(series, spec), f"flagged-{spec.name}"), spec)
+
+
 def run_detection(
     spark: SparkSession, raw_dir: str, out_dir: str, specs: Sequence[TableSpec] = SURVEILLANCE
 ) -> tuple[dict[str, Detection], list[str]]:
-    """Detect outliers in the tables of a folder that name metrics, and write the findings."""
+    """Detect outliers in the tables of a folder that name metrics, and write the findings.
+
+    The flagged series is one of the written tables; what is returned reads it.
+    """
 
-    def work(df: DataFrame, spec: TableSpec) -> Detection:
+    def work(df: DataFrame, spec: TableSpec, scratch: str) -> Detection:
         name = spec.detect_name or spec.name
-        found = detect(df, spec)
+        series = store(series_of(df, spec), f"series-{spec.name}", scratch)
+        flagged, path = flag_all(series, spec), f"{out_dir}/outliers_flagged_{name}.parquet"
+        write_parquet(flagged, path)
+        found = findings(spark.read.schema(flagged.schema).parquet(path), spec)
         ordered = found.summary.orderBy(*spec.group_keys)
         together(
             lambda: write_csv(ordered, f"{out_dir}/outliers_summary_{name}.csv"),
@@ -82,4 +92,5 @@ def run_detection(
         return found
 
     wanted = [spec for spec in specs if spec.detect_metrics]
-    return each_table(spark, raw_dir, wanted, work)
+    with job_folder(spark) as scratch:
+        return each_table(spark, raw_dir, wanted, lambda df, spec: work(df, spec, scratch))

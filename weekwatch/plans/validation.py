@@ -15,8 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from weekwatch.operators import profile
 from weekwatch.operators.checks import issue_rows
 from weekwatch.plans.common import each_table, together
-from weekwatch.sources.scratch import store
-from weekwatch.sources.tables import write_csv, write_parquet
+from weekwatch.sources.scratch import job_folder, store
+from weekwatch.sources.tables import read_csv, write_csv, write_parquet
 from weekwatch.specs import SURVEILLANCE, TableSpec
 
 
@@ -89,11 +89,16 @@ REPORTS = {
 }
 
 
-def validate(df: DataFrame, spec: TableSpec) -> Validation:
-    """Count the cells and the duplicates of a table; the findings are derived when asked for."""
+def validate(df: DataFrame, spec: TableSpec, folder: str | None = None) -> Validation:
+    """Count the cells and the duplicates of a table; the findings are derived when asked for.
+
+    Both counts are stored in ``folder``, by default the session's scratch folder.
+    """
     cells, duplicates = together(
-        lambda: store(profile.integrity_cells(df, spec), f"cells-{spec.name}"),
-        lambda: store(profile.duplicate_count(df, spec.key_cols), f"duplicates-{spec.name}"),
+        lambda: store(profile.integrity_cells(df, spec), f"cells-{spec.name}", folder),
+        lambda: store(
+            profile.duplicate_count(df, spec.key_cols), f"duplicates-{spec.name}", folder
+        ),
     )
     return Validation(df, spec, cells, duplicates)
 
@@ -103,13 +108,20 @@ def run_validation(
 ) -> tuple[DataFrame | None, list[str]]:
     """Validate the tables in a folder and write the findings.
 
-    Returns the stored overview (one row per table) and the names of missing tables.
+    Returns the written overview (one row per table) and the names of missing tables;
+    intermediate tables are removed.
     """
+    with job_folder(spark) as scratch:
+        return _validate_all(spark, raw_dir, out_dir, specs, scratch)
+
 
+def _validate_all(
+    spark: SparkSession, raw_dir: str, out_dir: str, specs: Sequence[TableSpec], scratch: str
+) -> tuple[DataFrame | None, list[str]]:
     def work(df: DataFrame, spec: TableSpec) -> Validation:
         issues = f"{out_dir}/integrity_issues_{spec.name}.parquet"
         found, _ = together(
-            lambda: validate(df, spec), lambda: write_parquet(issue_rows(df, spec), issues)
+            lambda: validate(df, spec, scratch), lambda: write_parquet(issue_rows(df, spec), issues)
         )
         paths = {name: f"{out_dir}/integrity_{kind}_{spec.name}.csv" for kind, name in REPORTS.items()}
         together(
@@ -120,10 +132,9 @@ def run_validation(
     done, missing = each_table(spark, raw_dir, specs, work)
     if not done:
         return None, missing
-    overview = store(
-        profile.integrity_overview([found.overview for found in done.values()]), "overview"
-    )
+    overview = profile.integrity_overview([found.overview for found in done.values()])
     write_csv(overview, f"{out_dir}/integrity_overview.csv")
+    overview = read_csv(spark, f"{out_dir}/integrity_overview.csv", overview.schema)
     # Rows with issues are counted from the footers of what was written.
     issues = {
         name: spark.read.parquet(f"{out_dir}/integrity_issues_{name}.parquet").count()

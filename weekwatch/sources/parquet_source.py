@@ -18,5 +18,12 @@ class ParquetSource:
         names = [entry.getPath().getName() for entry in fs.listStatus(path)]
         return sorted(n.removesuffix(SUFFIX) for n in names if n.endswith(SUFFIX))
 
+    def count(self, table: str) -> int:
+        """Rows by the footers."""
+        return self._table(table).count()
+
     def read(self, table: str) -> DataFrame:
+        return self._table(table)
+
+    def _table(self, table: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{table}{SUFFIX}")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 from typing import Protocol
@@ -16,31 +17,42 @@ STATUS_SCHEMA = T.StructType(
         T.StructField("table", T.StringType(), False),
         T.StructField("status", T.StringType(), False),
         T.StructField("rows", T.LongType()),
+        T.StructField("source_rows", T.LongType()),
+        T.StructField("seconds", T.DoubleType()),
+        T.StructField("rows_per_second", T.DoubleType()),
         T.StructField("error", T.StringType()),
     ]
 )
 
 
 class Source(Protocol):
-    """Anything that can list its tables and hand one over as a DataFrame."""
+    """Anything that can list its tables, hand one over as a DataFrame, and count its rows."""
 
     def tables(self) -> list[str]: ...
 
     def read(self, table: str) -> DataFrame: ...
 
+    def count(self, table: str) -> int: ...
+
 
 def _copy(
     spark: SparkSession, source: Source, table: str, out_dir: str, force: bool
-) -> tuple[str, str, int | None, str | None]:
+) -> tuple[str, str, int | None, int | None, float | None, float | None, str | None]:
     path = f"{out_dir}/{table}.parquet"
+    start = time.perf_counter()
     try:
         if not force and table_complete(spark, path):
-            return table, "skipped", None, None
+            return table, "skipped", None, None, None, None, None
+        expected = source.count(table)
         write_parquet(source.read(table), path)
         # Counted from the footers of what was written.
-        return table, "written", spark.read.parquet(path).count(), None
+        rows = spark.read.parquet(path).count()
+        seconds = time.perf_counter() - start
+        wrong = None if rows == expected else f"{rows} rows written, {expected} in the source"
+        return table, "error" if wrong else "written", rows, expected, seconds, rows / seconds, wrong
     except Exception as error:  # one bad table must not stop the others
-        return table, "error", None, str(error).splitlines()[0][:500]
+        seconds = time.perf_counter() - start
+        return table, "error", None, None, seconds, None, f"{type(error).__name__}: {error}"
 
 
 def snapshot_tables(
@@ -51,8 +63,10 @@ def snapshot_tables(
     force: bool = False,
     jobs: int = 4,
 ) -> DataFrame:
-    """Copy whole tables to ``<out_dir>/<table>.parquet``; return ``table, status, rows, error``.
+    """Copy whole tables to ``<out_dir>/<table>.parquet`` and report on each.
 
+    Columns: ``table, status, rows`` written, ``source_rows`` counted there before,
+    ``seconds, rows_per_second, error``. A copy with other rows than the source is an error.
     A table that is already there is skipped unless ``force``; a copy that did not
     finish is not there. A failing table is reported and the rest go on. Tables
     are independent jobs, ``jobs`` of them at a time.

@@ -20,13 +20,16 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return hadoop.getFileSystem(conf).exists(hadoop)
 
 
-def table_complete(spark: SparkSession, path: str) -> bool:
-    """Whether a table is there whole: a single file, or a folder whose write was committed."""
+def is_file(spark: SparkSession, path: str) -> bool:
+    """Whether a single file is there, and not a folder."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(hadoop):
-        return False
-    return fs.getFileStatus(hadoop).isFile() or path_exists(spark, f"{path}/{SUCCESS}")
+    return fs.exists(hadoop) and fs.getFileStatus(hadoop).isFile()
+
+
+def table_complete(spark: SparkSession, path: str) -> bool:
+    """Whether a table is there whole: a single file, or a folder whose write was committed."""
+    return is_file(spark, path) or path_exists(spark, f"{path}/{SUCCESS}")
 
 
 def scan(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
@@ -38,8 +41,15 @@ def scan(spark: SparkSession, path: str, schema: T.StructType | None = None) ->
 def scan_present(
     spark: SparkSession, folder: str, specs: Sequence[TableSpec]
 ) -> list[tuple[TableSpec, DataFrame | None]]:
-    """Each spec with its table, or with None where there is no such table."""
+    """Each spec with its table, or with None where there is no such table.
+
+    A folder whose write was never committed is not a table, and is an error: read as
+    one, it would pass for the whole.
+    """
     paths = [(spec, f"{folder}/{spec.file_name}") for spec in specs]
+    for spec, path in paths:
+        if path_exists(spark, path) and not table_complete(spark, path):
+            raise ValueError(f"the write of table {spec.name!r} at {path} was never finished")
     return [
         (spec, conform(scan(spark, path), spec) if path_exists(spark, path) else None)
         for spec, path in paths

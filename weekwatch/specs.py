@@ -60,14 +60,31 @@ class TableSpec:
         return replace(self, **changes)
 
 
+# Columns of the surveillance tables.
 HOSP = Strata("hosp", ("hosp_under5", "hosp_60plus"), "hosp_total")
 DEATHS = Strata("deaths", ("deaths_under5", "deaths_60plus"), "deaths_total")
 
 _TOTALS = ("cases_total", "hosp_total", "deaths_total")
-_AGES = ("under5", "60plus", "total")
 _RESPIRATORY = (*_TOTALS, "pneumonia_under5", "pneumonia_60plus", *HOSP.parts, *DEATHS.parts)
-_PNEUMONIA = tuple(f"{m}_{a}" for m in ("cases", "hosp", "deaths") for a in _AGES) + tuple(
-    f"incidence_{m}_{a}" for m in ("cases", "hosp", "deaths") for a in _AGES
+_PNEUMONIA = (
+    "cases_under5",
+    "cases_60plus",
+    "cases_total",
+    "hosp_under5",
+    "hosp_60plus",
+    "hosp_total",
+    "deaths_under5",
+    "deaths_60plus",
+    "deaths_total",
+    "incidence_cases_under5",
+    "incidence_cases_60plus",
+    "incidence_cases_total",
+    "incidence_hosp_under5",
+    "incidence_hosp_60plus",
+    "incidence_hosp_total",
+    "incidence_deaths_under5",
+    "incidence_deaths_60plus",
+    "incidence_deaths_total",
 )
 _CARRIED = ("ubigeo", "ano", "semana")
 

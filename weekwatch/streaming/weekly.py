@@ -10,11 +10,17 @@ from pyspark.sql import types as T
 
 from weekwatch.operators.checks import add_flags
 from weekwatch.operators.cleaning import clamp_hosp_gt_cases, flag_deaths_gt_hosp
+from weekwatch.sources.tables import is_file
 from weekwatch.specs import TableSpec
 
 #: Offset of the first Monday after the epoch, so that weeks start on Mondays.
 MONDAY_OFFSET = "4 days"
 SECONDS_PER_DAY = 86_400
+POLL_SECONDS = 1
+
+
+class LateRowsError(ValueError):
+    """Rows came too late and would be missing from the result."""
 
 
 def read_files(
@@ -24,6 +30,14 @@ def read_files(
     return spark.readStream.schema(schema).options(**options).parquet(folder)
 
 
+def read_table(spark: SparkSession, path: str, schema: T.StructType | str, **options) -> DataFrame:
+    """A Parquet table as a stream, be it a folder of files or a single file."""
+    if not is_file(spark, path):
+        return read_files(spark, path, schema, **options)
+    folder, _, name = path.rpartition("/")
+    return read_files(spark, folder, schema, pathGlobFilter=name, **options)
+
+
 def utc_instant(name: str) -> Column:
     """A time without zone as the instant at which clocks in UTC show it; watermarks need instants."""
     return F.from_utc_timestamp(F.col(name).cast("timestamp"), F.current_timezone())
@@ -59,14 +73,31 @@ def weekly_counts(
     return counted.select(*group_keys, F.date_from_unix_date(days).alias("week_start"), "n")
 
 
-def run_available(stream: DataFrame, out_dir: str, checkpoint_dir: str) -> None:
-    """Process what is there now, exactly once, into Parquet; the next call goes on from here."""
-    (
+def run_available(
+    stream: DataFrame, out_dir: str, checkpoint_dir: str, fail_on_late: bool = False
+) -> int:
+    """Process what is there now, exactly once, into Parquet; the next call goes on from here.
+
+    Returns how many rows came too late for the watermark, over all batches; with
+    ``fail_on_late`` any such row is an error. Lateness shows in the order of arrival,
+    so it can only come up between batches: rows read together are never late.
+    """
+    query = (
         stream.writeStream.format("parquet")
         .option("path", out_dir)
         .option("checkpointLocation", checkpoint_dir)
         .outputMode("append")
         .trigger(availableNow=True)
         .start()
-        .awaitTermination()
     )
+    late: dict[int, int] = {}
+    ended = False
+    while not ended:
+        # Spark keeps the progress of the last batches only, so it is read as they go.
+        ended = query.awaitTermination(timeout=POLL_SECONDS)
+        for progress in query.recentProgress:
+            late[progress.batchId] = sum(s.numRowsDroppedByWatermark for s in progress.stateOperators)
+    dropped = sum(late.values())
+    if dropped and fail_on_late:
+        raise LateRowsError(f"{dropped} rows came later than the watermark allows")
+    return dropped
