@@ -123,3 +123,20 @@ def test_components(spark, links):
     linked = {n for u, v in links if u != v for n in (u, v)}
     got = components(spark.createDataFrame(links, "u long, v long")).collect()
     assert sorted(map(tuple, got)) == sorted((n, label[n]) for n in linked)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.data(), st.integers(1, 300), st.sampled_from([(4, 5), (9, 10)]))
+def test_similar_sets_share_a_signature(data, size, similarity):
+    num, den = similarity
+    rng = np.random.default_rng(data.draw(st.integers(0, 10**6)))
+    tokens = np.unique(rng.integers(0, 2**64, size + 100, dtype=np.uint64, endpoint=False))
+    rng.shuffle(tokens)
+    base, spare = tokens[:size], tokens[size:]
+    gone = data.draw(st.integers(0, max(0, size // 4)))
+    new = data.draw(st.integers(0, min(100, size // 4)))
+    other = np.concatenate([base[gone:], spare[:new]])
+    if len(other) and den * (size - gone) >= num * (size + new):
+        both = [near_dedup.signatures(np.sort(x), num, den) for x in (base, other)]
+        named = [{(r, h) for r, hashes in s for h in hashes.tolist()} for s in both]
+        assert named[0] & named[1]

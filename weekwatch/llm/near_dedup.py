@@ -1,9 +1,11 @@
 """Exact Jaccard join of word n-grams, and the groups it makes.
 
-Equal sets are one class. Sets of different classes can only be similar if they share one of their
-rarest shingles; those that do, directly or through others, form a cluster. Inside a cluster the
-join is exact: the index lists are sorted by set size, a window of sizes skips the rest of a list,
-and the overlaps of a set follow from those of a similar set by the few shingles that differ.
+Equal sets are one class. Similar sets of different classes differ in few shingles; so, if the space
+of shingles is cut into more parts than that, some part of both is the same. Sets that share a part,
+directly or through others, form a cluster. Inside a cluster the join is exact: lists of an inverted
+index are sorted by the position of the shingle in its set, and blocks behind the last position that
+allows enough overlap are skipped; the overlaps of a set follow from those of a highly similar set,
+by the few shingles that differ.
 """
 
 from __future__ import annotations
@@ -11,24 +13,24 @@ from __future__ import annotations
 import math
 from collections import deque
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weekwatch.llm.components import components
 from weekwatch.llm.text import whole
 from weekwatch.sources.scratch import store
 
-# Bits of the table that estimates how often a shingle occurs; its size is fixed.
-BUCKET_BITS = 20
-BLOCKS = 256
 # A cluster with more shingles is joined in pairs of blocks of about this size.
 BLOCK_SHINGLES = 1_500_000
 # So many sets' overlaps are kept to derive others from.
 PIVOTS = 32
+# A task that combines signatures holds about so many of them.
+BUFFERED = 2_000_000
 
 
 # ---- shingles -----------------------------------------------------------------------------------
@@ -52,90 +54,135 @@ def shingles(text: str | None, words: int) -> np.ndarray:
     return np.unique(np.array([hashed(line[a : b - 1]) for a, b in zip(starts, ends[words - 1 :], strict=True)], np.uint64))
 
 
-def _bucket(tokens: np.ndarray) -> np.ndarray:
-    return (tokens >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+@cache
+def parts_of(size: int, num: int, den: int) -> tuple[tuple[int, int, int], ...]:
+    """The ranges of sizes that a set is compared in, as ``(range, parts, most differences)``.
 
-
-def bucket_counts(texts: DataFrame, words: int) -> np.ndarray:
-    """How many texts hold a shingle of each bucket, added up over all texts.
-
-    Tasks hand on their counts in blocks; what reaches the driver has a fixed size.
+    A range spans two steps of the similarity. A set is in the range of its size, and in the next
+    one if that holds sizes it may be similar to. All sets of a range are cut into the same parts.
     """
-    width = (1 << BUCKET_BITS) // BLOCKS
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(1 << BUCKET_BITS, np.int64)
-        for batch in batches:
-            for text in batch["text"]:
-                np.add.at(total, _bucket(shingles(text, words)), 1)
-        if total.any():
-            parts = total.astype("<u4").reshape(BLOCKS, width)
-            yield pd.DataFrame({"block": range(BLOCKS), "counts": [p.tobytes() for p in parts]})
-
-    def add(part: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(c, "<u4").astype(np.int64) for c in part["counts"])
-        return pd.DataFrame({"block": [part["block"].iloc[0]], "counts": [total.astype("<i8").tobytes()]})
-
-    found = (
-        texts.select("text").mapInPandas(count, "block int, counts binary")
-        .groupBy("block").applyInPandas(add, "block int, counts binary")
-    )
-    counts = np.zeros((BLOCKS, width), np.int64)
-    for row in found.collect():  # BLOCKS rows
-        counts[row["block"]] = np.frombuffer(row["counts"], "<i8")
-    return counts.reshape(-1)
+    step = 2 * math.log(den / num) * 1.000001
+    own = math.floor(math.log(size) / step)
+    found = []
+    for r in (own, own + 1):
+        low, high = math.exp(r * step), math.exp((r + 1) * step)
+        if r == own or size * den * 1.000001 >= num * low:
+            differ = int(2 * high * (den - num) / (den + num) * 1.000001)
+            parts = differ + 1
+            while parts * -math.expm1(-low / parts) < differ + 1 and parts < 2 * differ:
+                parts += 1
+            found.append((r, parts, differ))
+    return tuple(found)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """Scramble 64-bit numbers."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def signatures(tokens: np.ndarray, num: int, den: int) -> list[tuple[int, np.ndarray]]:
+    """Per range, a hash for each part of the sorted set: of the part's number and shingles.
+
+    If sets differ in at most ``d`` shingles, and one of them has more than ``d`` parts that are not
+    empty, then such a part is the same in both. A set with fewer names its empty parts as well.
+    """
+    found = []
+    sums = np.concatenate([[np.uint64(0)], np.cumsum(_mixed(tokens), dtype=np.uint64)])
+    for r, parts, differ in parts_of(len(tokens), num, den):
+        # A part is a run of the sorted shingles.
+        part = ((tokens >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+        ends = np.append(np.flatnonzero(part[1:] != part[:-1]) + 1, len(part))
+        content = sums[ends] - sums[np.concatenate([[0], ends[:-1]])]
+        numbers = part[ends - 1]
+        if len(numbers) <= differ:
+            empty = np.setdiff1d(np.arange(parts, dtype=np.uint64), numbers)
+            numbers = np.concatenate([numbers, empty])
+            content = np.concatenate([content, np.zeros(len(empty), np.uint64)])
+        place = _mixed(numbers * np.uint64(0x9E3779B97F4A7C15) + np.uint64(r + 1))
+        found.append((r, _mixed(content + place)))
+    return found
 
 
 def sketches(texts: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """Per row: ``size`` of its set, the 128 bits ``a, b`` that name the set, and its ``prefix``.
-
-    The prefix holds the rarest shingles, so many that two sets of the wanted similarity share one.
-    """
-    counts = texts.sparkSession.sparkContext.broadcast(bucket_counts(texts, words))
+    """Per row: ``size`` of its set, the hash ``node`` that names the set, and its ``signatures``."""
 
     def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        order = counts.value
         for batch in batches:
-            rows = []
+            sizes, nodes, lists = [], [], []
             for text in batch["text"]:
                 tokens = shingles(text, words)
-                n = len(tokens)
-                a, b = np.frombuffer(xxhash.xxh3_128_digest(tokens.tobytes()), np.int64).tolist()
-                rarest = np.lexsort((tokens, order[_bucket(tokens)]))[: n - -(-num * n // den) + 1] if n else []
-                rows.append((n, a, b, tokens[rarest].view(np.int64)))
-            n, a, b, prefix = zip(*rows, strict=True) if rows else ((), (), (), ())
+                found = signatures(tokens, num, den) if len(tokens) else []
+                sizes.append(len(tokens))
+                nodes.append(xxhash.xxh3_64_intdigest(tokens.tobytes()) - 2**63)
+                lists.append([{"range": r, "parts": hashes.view(np.int64)} for r, hashes in found])
             yield pd.DataFrame(
-                {"doc_id": batch["doc_id"], "th": batch["th"], "size": n, "a": a, "b": b, "prefix": prefix}
+                {"doc_id": batch["doc_id"], "th": batch["th"], "size": sizes, "node": nodes, "signatures": lists}
             )
 
     id_type = texts.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {id_type}, th bigint, size bigint, a bigint, b bigint, prefix array<bigint>"
-    return texts.mapInPandas(sketch, schema)
+    return texts.mapInPandas(
+        sketch,
+        f"doc_id {id_type}, th bigint, size bigint, node bigint, "
+        "signatures array<struct<range:int,parts:array<bigint>>>",
+    )
 
 
 # ---- clusters of sets that may be similar -------------------------------------------------------
 
 
-def candidate_links(classes: DataFrame, num: int, den: int) -> DataFrame:
-    """``u, v``: links that connect all classes that share a shingle of their prefixes.
+def candidate_links(sketch: DataFrame) -> DataFrame:
+    """``u, v``: links that connect all sets which share a signature, as members of a range.
 
-    Postings meet by shingle and range of sizes: a set is listed in its own range and, unless the
-    position of the shingle leaves too little behind it for a larger partner, in the next. A list is
-    a star around its smallest member, so it gives no pairs.
+    A member is named by ``member_name``. Each task links its own members of a signature to the
+    smallest of them, and only that one is shuffled; so a signature that a third of all sets share
+    reaches the shuffle once a task. Then the smallest members of a signature are linked likewise.
     """
-    step = math.log(den / num) * 1.000001
-    postings = classes.select("node", "size", F.posexplode("prefix").alias("at", "token"))
-    shared = postings.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token")
-    ranged = postings.join(shared, "token").withColumn("range", F.floor(F.log("size") / step))
-    larger = (F.col("size") - F.col("at")) * (num + den) >= F.col("size") * (2 * num)
-    lists = ranged.select(
-        "token",
-        "node",
-        F.explode(F.when(larger, F.array("range", F.col("range") + 1)).otherwise(F.array("range"))).alias("range"),
+
+    def combine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def rows(held: list[tuple[np.ndarray, np.ndarray]]) -> pd.DataFrame:
+            part, member = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.lexsort((member, part))
+            part, member = part[order], member[order]
+            first = np.append(True, part[1:] != part[:-1])
+            hub = member[np.flatnonzero(first)][np.cumsum(first) - 1]
+            more = ~first & (member != hub)
+            pairs = np.unique(np.stack([member[more], hub[more]], axis=1), axis=0)
+            n = int(first.sum())
+            # Names are 64 bits long, so missing ones must not turn them into floats.
+            missing = np.arange(n + len(pairs)) >= n
+            return pd.DataFrame(
+                {
+                    "part": pd.arrays.IntegerArray(np.append(part[first], np.zeros(len(pairs), np.int64)), missing),
+                    "u": np.append(member[first], pairs[:, 0]),
+                    "v": pd.arrays.IntegerArray(np.append(np.zeros(n, np.int64), pairs[:, 1]), ~missing),
+                }
+            )
+
+        held, size = [], 0
+        for batch in batches:
+            for member, parts in zip(batch["member"], batch["parts"], strict=True):
+                held.append((parts, np.full(len(parts), member, np.int64)))
+                size += len(parts)
+            if size >= BUFFERED:
+                yield rows(held)
+                held, size = [], 0
+        if size:
+            yield rows(held)
+
+    each = sketch.select("node", F.explode("signatures").alias("s")).select(
+        member_name(F.col("s.range"), F.col("node")).alias("member"), F.col("s.parts").alias("parts")
     )
-    hubs = lists.groupBy("token", "range").agg(F.min("node").alias("hub"), F.max("node").alias("last"))
-    hubs = hubs.where("hub < last").drop("last")
-    return lists.join(hubs, ["token", "range"]).where("node > hub").select(F.col("node").alias("u"), F.col("hub").alias("v"))
+    combined = each.mapInPandas(combine, "part bigint, u bigint, v bigint")
+    hub = F.min("u").over(Window.partitionBy("part"))
+    across = combined.where("part is not null").withColumn("v", hub).where("u > v")
+    within = combined.where("part is null")
+    return across.select("u", "v").union(within.select("u", "v"))
+
+
+def member_name(range_: Column, node: Column) -> Column:
+    return F.xxhash64(range_, node)
 
 
 def _ranges(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -145,36 +192,59 @@ def _ranges(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 
 def similar_sets(sets: list[np.ndarray], num: int, den: int) -> Iterator[tuple[int, np.ndarray]]:
-    """For each set, those others whose Jaccard similarity to it is at least ``num / den``.
+    """For each set, those others whose Jaccard similarity to it is at least ``num / den``. Exact.
 
-    Exact. The overlaps of a set with all others are derived from those of a set like it where few
-    shingles differ, else read off the index lists.
+    Shingles are ordered from rare to frequent, and a set is listed under its first ones, so many
+    that similar sets share one. The lists are sorted by position. A set without candidates there
+    has no answer; one close to a set already answered takes over its overlaps, less the lists of
+    the shingles it lacks and plus those of the ones it has besides; others read all their lists.
     """
     sizes = np.array([len(s) for s in sets], np.int64)
     vocabulary, tokens = np.unique(np.concatenate(sets), return_inverse=True)
     held = np.bincount(tokens, minlength=len(vocabulary))
+    # Number the shingles by frequency.
+    rank = np.empty(len(held), np.int64)
+    rank[np.lexsort((np.arange(len(held)), held))] = np.arange(len(held))
+    held = np.sort(held)
     owner = np.repeat(np.arange(len(sets)), sizes)
-    common = held[tokens] > 1  # a shingle of one set only never adds to an overlap
-    tokens, owner = tokens[common], owner[common]
-    by_token = np.argsort(tokens, kind="stable")
-    lists, list_ends = owner[by_token], np.cumsum(np.where(held > 1, held, 0))
-    set_ends = np.cumsum(np.bincount(owner, minlength=len(sets)))
-    parts = np.split(tokens, set_ends[:-1])
+    order = np.lexsort((rank[tokens], owner))
+    tokens = rank[tokens][order]
+    starts = np.cumsum(sizes) - sizes
+    position = np.arange(len(tokens)) - np.repeat(starts, sizes)
+    lists, list_ends = owner[np.argsort(tokens, kind="stable")], np.cumsum(held)
+
+    prefix = sizes - -(-num * sizes // den) + 1
+    listed = (position < np.repeat(prefix, sizes)) & (held[tokens] > 1)
+    span = int(sizes.max()) + 1
+    keys = tokens[listed] * span + position[listed]
+    by_key = np.argsort(keys, kind="stable")
+    keys, key_owner = keys[by_key], owner[listed][by_key]
+
+    def candidates(x: int, first: np.ndarray) -> np.ndarray:
+        # A similar set has at most n * den / num shingles, and shares at least n * num / den of them.
+        last = int(sizes[x] * den / num - sizes[x] * num / den) + 1
+        at = np.searchsorted(keys, first * span)
+        return key_owner[_ranges(at, np.searchsorted(keys, first * span + min(last, span - 1), side="right"))]
 
     def overlaps(of: np.ndarray) -> np.ndarray:
-        at = _ranges(list_ends[of] - held[of], list_ends[of])
-        return np.bincount(lists[at], minlength=len(sets))
-
-    pivots: deque[tuple[np.ndarray, int, np.ndarray]] = deque(maxlen=PIVOTS)
-    for x, own in enumerate(parts):
-        near = min(pivots, key=lambda p: p[1] + len(own) - 2 * p[2][x], default=None)
-        if near is not None and 2 * (near[1] + len(own) - 2 * near[2][x]) < len(own):
-            gone = np.setdiff1d(near[0], own, assume_unique=True)
-            new = np.setdiff1d(own, near[0], assume_unique=True)
-            both = near[2] - overlaps(gone) + overlaps(new)
-        else:
+        of = of[held[of] > 1]  # a shingle of one set only never adds to an overlap
+        return np.bincount(lists[_ranges(list_ends[of] - held[of], list_ends[of])], minlength=len(sets))
+
+    pivots: deque[tuple[np.ndarray, np.ndarray]] = deque(maxlen=PIVOTS)
+    for x, start in enumerate(starts):
+        own = tokens[start : start + sizes[x]]
+        differ = [len(p) + len(own) - 2 * both[x] for p, both in pivots]
+        if differ and 2 * min(differ) < len(own):
+            near, overlap = pivots[int(np.argmin(differ))]
+            gone = np.setdiff1d(near, own, assume_unique=True)
+            new = np.setdiff1d(own, near, assume_unique=True)
+            both = overlap - overlaps(gone) + overlaps(new)
+        elif (candidates(x, own[: prefix[x]]) != x).any():
             both = overlaps(own)
-            pivots.append((own, len(own), both))
+            pivots.append((own, both))
+        else:
+            yield x, np.zeros(0, np.int64)
+            continue
         alike = np.flatnonzero(den * both >= num * (sizes[x] + sizes - both))
         yield x, alike[alike != x]
 
@@ -185,15 +255,16 @@ FOUND = "u bigint, v bigint, links bigint"
 def cluster_links(members: DataFrame, words: int, num: int, den: int) -> DataFrame:
     """The links inside clusters: ``u, v`` that connect what is similar, and ``u, links`` counts.
 
-    ``members`` has ``component, i, j, part, node, copies, text``: the cluster, the pair of blocks,
-    and the member's own block. A pair of blocks gives the links across them; a block with itself
-    those inside.
+    ``members`` has ``component, i, j, part, own, node, copies, text``: the cluster, the pair of
+    blocks, the member's own block, and whether the range is that of its size. A pair of blocks
+    gives the links across them; a block with itself those inside. Two sets of a lower range meet
+    there, and are passed over here.
     """
 
     def link(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("node", ignore_index=True)
         sets = [shingles(t, words) for t in rows["text"]]
-        nodes, parts, copies = (rows[c].to_numpy() for c in ("node", "part", "copies"))
+        nodes, parts, own, copies = (rows[c].to_numpy() for c in ("node", "part", "own", "copies"))
         across = rows["i"].iloc[0] != rows["j"].iloc[0]
         root = list(range(len(sets)))
 
@@ -203,17 +274,27 @@ def cluster_links(members: DataFrame, words: int, num: int, den: int) -> DataFra
                 k = root[k]
             return k
 
-        out = []
+        joined, counted = [], []
         for x, alike in similar_sets(sets, num, den):
             if across:
                 alike = alike[parts[alike] != parts[x]]
+            if not own[x]:
+                alike = alike[own[alike]]
             if len(alike):
-                out.append((nodes[x], None, int(copies[alike].sum())))
+                counted.append((nodes[x], int(copies[alike].sum())))
             for y in alike[alike < x].tolist():
                 if top(x) != top(y):
                     root[top(x)] = top(y)
-                    out.append((nodes[x], nodes[y], 0))
-        return pd.DataFrame(out, columns=["u", "v", "links"]).astype({"v": "Int64"})
+                    joined.append((nodes[x], nodes[y]))
+        counts, links = np.array(counted, np.int64).reshape(-1, 2), np.array(joined, np.int64).reshape(-1, 2)
+        missing = np.arange(len(counts) + len(links)) < len(counts)
+        return pd.DataFrame(
+            {
+                "u": np.append(counts[:, 0], links[:, 0]),
+                "v": pd.arrays.IntegerArray(np.append(np.zeros(len(counts), np.int64), links[:, 1]), missing),
+                "links": np.append(counts[:, 1], np.zeros(len(links), np.int64)),
+            }
+        )
 
     return members.groupBy("component", "i", "j").applyInPandas(link, FOUND)
 
@@ -242,33 +323,25 @@ def near_groups(
     texts = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
     sketch = store(sketches(texts, words, num, den), "sketches")
     first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th")
-    classes = store(
-        sketch.where("size > 0")
-        .groupBy("a", "b")
-        .agg(
-            F.min(first).alias("rep"),
-            F.count("*").alias("copies"),
-            F.max("size").alias("size"),
-            F.any_value("prefix").alias("prefix"),
-        )
-        .withColumn("node", F.monotonically_increasing_id()),
-        "classes",
+    classes = sketch.where("size > 0").groupBy("node").agg(
+        F.min(first).alias("rep"), F.count("*").alias("copies"), F.max("size").alias("size")
     )
-    clusters = components(candidate_links(classes, num, den))
-    found = store(_joined(texts, classes, clusters, words, num, den), "found")
+    classes = store(classes, "classes")
+    clusters = components(candidate_links(sketch))
+    found = store(_joined(texts, sketch, classes, clusters, words, num, den), "found")
     groups = components(found.where("v is not null").select("u", "v"))
     links = found.groupBy(F.col("u").alias("node")).agg(F.sum("links").alias("links"))
     named = (
-        classes.select("node", "a", "b", "rep", "copies")
+        classes.select("node", "rep", "copies")
         .join(groups, "node", "left")
         .join(links, "node", "left")
         .withColumn("component", F.coalesce("component", "node"))
     )
     keeps = named.groupBy("component").agg(F.min("rep").alias("keep"))
-    named = named.join(keeps, "component").select("a", "b", "keep", "copies", "links")
+    named = named.join(keeps, "component").select("node", "keep", "copies", "links")
     alone = F.col("keep").isNull()
     is_kept = F.col("doc_id").eqNullSafe(F.col("keep.doc_id")) & (F.col("th") == F.col("keep.th"))
-    return sketch.drop("prefix").join(named, ["a", "b"], "left").select(
+    return sketch.drop("signatures").join(named, "node", "left").select(
         "doc_id",
         F.col("size").alias("n_shingles"),
         F.when(alone, F.col("doc_id")).otherwise(F.col("keep.doc_id")).alias("component_id"),
@@ -278,24 +351,35 @@ def near_groups(
     )
 
 
-def _joined(texts: DataFrame, classes: DataFrame, clusters: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """Bring one text of each clustered class to its cluster, or to its cluster's pairs of blocks."""
-    sized = clusters.join(classes.select("node", "size", "copies", "rep"), "node")
+def _joined(
+    texts: DataFrame, sketch: DataFrame, classes: DataFrame, clusters: DataFrame, words: int, num: int, den: int
+) -> DataFrame:
+    """Bring one text of each clustered set to its cluster, or to its cluster's pairs of blocks."""
+    members = sketch.select("node", F.posexplode("signatures").alias("at", "s")).select(
+        "node", (F.col("at") == 0).alias("own"), member_name(F.col("s.range"), F.col("node")).alias("member")
+    )
+    sized = (
+        clusters.withColumnRenamed("node", "member")
+        .join(members.distinct(), "member")
+        .join(classes, "node")
+        .select("component", "node", "own", "size", "copies", "rep")
+    )
+    sized = store(sized, "members")
     blocks = sized.groupBy("component").agg(F.ceil(F.sum("size") / BLOCK_SHINGLES).cast("int").alias("blocks"))
     wanted = sized.join(blocks, "component").select(
-        "component", "node", "copies", "blocks",
+        "component", "node", "own", "copies", "blocks",
         F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("part"),
-        F.col("rep.doc_id").alias("rep_id"), F.col("rep.th").alias("rep_th"),
     )
-    wanted = store(wanted, "wanted")
-    same = texts["doc_id"].eqNullSafe(wanted["rep_id"]) & (texts["th"] == wanted["rep_th"])
-    held = texts.join(wanted, same).dropDuplicates(["node"])
+    reps = store(sized.select("node", "rep.doc_id", "rep.th").distinct(), "reps")
+    reps = reps.select("node", F.col("doc_id").alias("rep_id"), F.col("th").alias("rep_th"))
+    same = texts["doc_id"].eqNullSafe(reps["rep_id"]) & (texts["th"] == reps["rep_th"])
+    held = texts.join(reps, same).dropDuplicates(["node"]).select("node", "text")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    paired = held.select("component", "part", "node", "copies", "text", other)
+    paired = held.join(wanted, "node").select("component", "part", "own", "node", "copies", "text", other)
     return cluster_links(
         paired.select(
             "component", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"),
-            "part", "node", "copies", "text",
+            "part", "own", "node", "copies", "text",
         ),
         words, num, den,
     )
