@@ -136,7 +136,10 @@ def _null_shares(key: str) -> str:
 
 def _dedup(keys: str) -> str:
     largest = ", ".join(f"max({m}) as {m}" for m in MEASURES + INCIDENCES)
-    kept = ", ".join(f"arg_min({c}, ubigeo) as {c}" for c in ("ubigeo", "ano", "semana"))
+    kept = ", ".join(
+        f"list({c} order by ubigeo nulls last, ano nulls last, semana nulls last)[1] as {c}"
+        for c in ("ubigeo", "ano", "semana")
+    )
     return f"{PROV},\ndedup as (select {keys}, {largest}, {kept} from prov group by {keys})"
 
 
@@ -235,13 +238,6 @@ summary as (
   select department, {', '.join(f'count(*) filter (where {f}) as {f}' for f in OUTLIER_FLAGS)},
     count(*) as n_obs
   from detected group by department)"""
-FOREST = f"""{SUMMARY},
-forest as (
-  select *, case when n_obs < 30 then 0 else cast(floor(0.01 * (n_obs - 1)) as bigint) + 1 end
-    as is_iforest
-  from summary)"""
-
-
 def _method(suffixes: list[str]) -> str:
     def portable(m: str, s: str) -> str:
         name = f"{m}__{s}"
@@ -273,6 +269,9 @@ _PEAKS = " union all ".join(
     f"join leaders using (department) where {_PEAK_METRIC}__is_{k}"
     for label, k in _LABELS.items()
 )
+_PLANTED = (
+    "case when department = 'NATION_0' or n < 30 then 0 else cast(floor(n * 0.01 - 0.01) as bigint) end"
+)
 _SHARE = "count * 100 / n_rows as pct"
 _STREAMED_WEEK = "cast(date_trunc('week', ts) as date)"
 
@@ -286,7 +285,8 @@ _DATES: dict[str, tuple[str, ...]] = {
             "integrity_flags integrity_issues integrity_cells dedup_province dedup_department "
             "flag_deaths clamp_cases clean_province series_department outlier_iqr "
             "outlier_iqr_linear outlier_mad outlier_rolling outlier_seasonal outlier_detail "
-            "outlier_series outlier_peaks parquet_roundtrip stream_row_checks stream_event_weeks"
+            "outlier_series outlier_peaks parquet_roundtrip stream_row_checks stream_event_weeks "
+            "outlier_detail_forest dedup_passthrough"
         ).split(),
         ("week_start",),
     ),
@@ -377,11 +377,43 @@ def _sqls() -> dict[str, str]:
         "outlier_series": f"with {DETECTED} select week_start, cases_total, "
         f"{', '.join(f'cases_total__is_{k} as {label}' for label, k in _LABELS.items())} "
         "from detected where department = 'NATION_0'",
-        # The forest flags the scores beyond a percentile: their number follows from the length.
-        "iforest_summary": f"with {FOREST} select department, is_iforest, n_obs from forest",
-        "iforest_top_groups": f"with {FOREST} select department, is_iforest, n_obs from forest "
-        "order by is_iforest desc, department limit 5",
-        "outlier_all_methods": f"with {FOREST} select * from forest",
+        # The forest's random numbers cannot be drawn here; what must hold for any of them can be said.
+        "iforest_summary": f"with {SUMMARY} select department, n_obs, true as within_quota from summary",
+        "iforest_top_groups": f"with {SUMMARY} select cast(place as int) as place, true as is_top "
+        "from range(1, 6) as places(place) where place <= (select count(*) from summary)",
+        "iforest_planted": f"with {DEPT}, sized as (select department, count(*) as n from dept group by all) "
+        "select department, case when department = 'NATION_0' then least(n, 29) else n end as n_obs, "
+        f"{_PLANTED} as planted, {_PLANTED} as planted_flagged, "
+        "department <> 'NATION_0' and n >= 30 as is_scored from sized",
+        "outlier_all_methods": f"with {SUMMARY} select *, true as within_quota from summary",
+        "outlier_detail_forest": f"with {DETECTED} select department, week_start, {', '.join(DETECT)}, "
+        f"{', '.join(OUTLIER_FLAGS)}, true as is_scored from detected where {' or '.join(OUTLIER_FLAGS)}",
+        "outlier_totals_forest": f"with {SUMMARY}, totals as (select cast(sum(n_obs) as bigint) as n_rows, "
+        f"{', '.join(f'cast(sum({f}) as bigint) as {f}' for f in OUTLIER_FLAGS)} from summary) "
+        "select method, flagged, round_even(flagged * 100 / n_rows, 2) as pct, "
+        f"cast(null as boolean) as within_quota from {_long(OUTLIER_FLAGS, 'totals', 'method', 'flagged')} "
+        "union all select 'is_iforest', null, null, true",
+        "outlier_top_mad": f"with {SUMMARY} select department, cases_total__is_mad, n_obs from summary "
+        "order by cases_total__is_mad desc, department limit 4",
+        "dedup_passthrough": f"with {PROV}, copied as (select department, province, week_start, "
+        "case when (semana + copy) % 4 > 0 then ubigeo - semana % 2 end as ubigeo, "
+        "case when (semana + copy) % 5 > 0 then ano - copy end as ano, semana, "
+        "cases_total + copy % 2 as cases_total, hosp_total from prov cross join range(1, 4) as copies(copy)), "
+        "placed as (select *, row_number() over (partition by department, province, week_start "
+        "order by ubigeo nulls last, ano nulls last, semana nulls last) as place, "
+        "max(cases_total) over k as most_cases, max(hosp_total) over k as most_hosp from copied "
+        "window k as (partition by department, province, week_start)) "
+        "select department, province, week_start, most_cases as cases_total, most_hosp as hosp_total, "
+        "ubigeo, ano, semana from placed where place = 1",
+        "overview_tables": f"with {TOTALS}, dept as (select department, week_start, "
+        "cast(extract(year from week_start) as int) as ano, cast(weekofyear(week_start) as int) as semana, "
+        f"{', '.join(f'cast(sum({m}) as bigint) as {m}' for m in MEASURES)} from cells group by department, week_start), "
+        f"dept_flagged as (select *, {_FLAGS} from dept), "
+        f"dept_totals as (select count(*) as n_rows, {_SUMS} from dept_flagged) "
+        f"select 'weekly_prov' as tabla, n_rows as filas, {_DUPLICATES} as duplicados, {overview} from totals "
+        f"union all select 'weekly_dept', n_rows, 0, {overview} from dept_totals",
+        "missing_inputs": f"with {PROV} select 'weekly_prov' as \"table\", true as present, count(*) as rows "
+        "from prov union all select 'not_there', false, null",
         "validation_overview": f"with {TOTALS} select 'weekly_prov' as tabla, n_rows as filas, "
         f"{_DUPLICATES} as duplicados, {overview} from totals",
         "stream_row_checks": f"with {FLAGGED} select ubigeo, week_start, "
@@ -393,8 +425,12 @@ def _sqls() -> dict[str, str]:
         f"from events where {_STREAMED_WEEK} + interval 8 day <= (select max(ts) from events) "
         "group by all",
         "snapshot_status": " union all ".join(
-            f"select '{t}' as \"table\", 'written' as status, count(*) as rows from {t}" for t in TABLES
-        ),
+            f"select '{t}' as \"table\", 'written' as status, count(*) as rows, count(*) as source_rows, "
+            f"true as is_timed, cast(null as varchar) as error from {t}"
+            for t in TABLES
+        )
+        + " union all select 'region', 'skipped', null, null, null, null"
+        + " union all select 'unreadable', 'error', null, null, true, 'ConnectionError: '",
         "csv_roundtrip": _coverage(_REGION),
         "parquet_roundtrip": f"with {CLEAN} select {clean_columns}, flag_death_no_hosp, "
         "flag_hosp_corrected from clean",

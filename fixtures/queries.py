@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fixtures.weekly import (
@@ -16,8 +16,10 @@ from fixtures.weekly import (
     weekly_dept,
     weekly_prov,
 )
+from weekwatch.functions import any_true
 from weekwatch.operators import checks, cleaning, iforest, outlier_reports, profile, silence
 from weekwatch.operators import outliers as detectors
+from weekwatch.plans.common import each_table
 from weekwatch.plans.detection import flag_all, series_of
 from weekwatch.plans.validation import validate
 from weekwatch.sources.parquet_source import ParquetSource
@@ -90,6 +92,22 @@ def _dedup_department(df: DataFrame) -> DataFrame:
     )
 
 
+def _dedup_passthrough(df: DataFrame) -> DataFrame:
+    """Copies of a cell that differ in what is passed through, with missing and equal tie-breaks."""
+    copy = F.explode(F.sequence(F.lit(1), F.lit(3))).alias("copy")
+    shifted = df.select("*", copy).withColumns(
+        {
+            "ubigeo": F.when((F.col("semana") + F.col("copy")) % 4 > 0, F.col("ubigeo") - F.col("semana") % 2),
+            "ano": F.when((F.col("semana") + F.col("copy")) % 5 > 0, F.col("ano") - F.col("copy")),
+            "cases_total": F.col("cases_total") + F.col("copy") % 2,
+        }
+    )
+    spec = WEEKLY_PROV
+    return cleaning.deduplicate(
+        shifted, spec.natural_key, ["cases_total", "hosp_total"], spec.passthrough, spec.tie_break
+    )
+
+
 def _audit(df: DataFrame) -> DataFrame:
     return cleaning.cleaning_audit(df, cleaning.clean_table(df, WEEKLY_PROV), "weekly_prov")
 
@@ -134,14 +152,92 @@ def _forest(series: DataFrame) -> DataFrame:
     return iforest.flag_isolation_forest(store(series, "series"), DEPARTMENT, METRICS)
 
 
-def _forest_summary(series: DataFrame) -> DataFrame:
+def _quota() -> Column:
+    """At most so many of ``n_obs`` rows lie beyond the threshold; equal scores make it fewer."""
+    most = F.floor(F.col("n_obs") * F.lit(0.01) - F.lit(0.01)).cast("bigint") + 1
+    return F.when(F.col("n_obs") < iforest.MIN_ROWS, 0).otherwise(most)
+
+
+def _within_quota(summary: DataFrame) -> DataFrame:
+    kept = [c for c in summary.columns if c != "is_iforest"]
+    return summary.select(*kept, (F.col("is_iforest") <= _quota()).alias("within_quota"))
+
+
+def _forest_counts(series: DataFrame) -> DataFrame:
     return outlier_reports.outlier_summary(_forest(series), DEPARTMENT, ["is_iforest"])
 
 
+def _forest_summary(series: DataFrame) -> DataFrame:
+    return _within_quota(_forest_counts(series))
+
+
+def _forest_top(series: DataFrame) -> DataFrame:
+    """The places of the ranking, and whether a department outside of it has more flags."""
+    summary = store(_forest_counts(series), "summary")
+    top = outlier_reports.top_groups(summary, DEPARTMENT).select("department", F.lit(True).alias("in_top"))
+    everyone, best = Window.partitionBy(), Window.orderBy(F.desc("is_iforest"), "department")
+    outside = F.max(F.when(F.col("in_top").isNull(), F.col("is_iforest"))).over(everyone)
+    held = F.coalesce(F.col("is_iforest") >= outside, F.lit(True)).alias("is_top")
+    placed = summary.join(top, "department", "left").select("in_top", F.row_number().over(best).alias("place"), held)
+    return placed.where("in_top").select("place", "is_top")
+
+
+def _with_forest(series: DataFrame) -> DataFrame:
+    return store(flag_all(store(series, "series"), WEEKLY_DEPT), "flagged")
+
+
+ALL_FLAGS = detectors.flag_columns(METRICS, forest=True)
+
+
 def _all_methods(series: DataFrame) -> DataFrame:
-    flags = detectors.flag_columns(METRICS, forest=True)
-    return outlier_reports.outlier_summary(
-        flag_all(store(series, "series"), WEEKLY_DEPT), DEPARTMENT, flags
+    return _within_quota(outlier_reports.outlier_summary(_with_forest(series), DEPARTMENT, ALL_FLAGS))
+
+
+def _detail_with_forest(series: DataFrame) -> DataFrame:
+    """The weeks that a univariate method flags, out of those that any method flags."""
+    keys = ["department", "week_start"]
+    detail = outlier_reports.outlier_detail(_with_forest(series), keys, METRICS, ALL_FLAGS)
+    scored = F.col("iforest_score").between(0.0, 1.0) & F.col("is_iforest").isNotNull()
+    return detail.where(any_true(UNIVARIATE)).select(*keys, *METRICS, *UNIVARIATE, scored.alias("is_scored"))
+
+
+def _totals_with_forest(series: DataFrame) -> DataFrame:
+    """Totals per method; of the forest only that it flags at most one percent and one row a department."""
+    flagged = _with_forest(series)
+    totals = outlier_reports.method_totals(
+        outlier_reports.outlier_summary(flagged, DEPARTMENT, ALL_FLAGS), ALL_FLAGS
+    )
+    forest = F.col("method") == "is_iforest"
+    return totals.select(
+        "method",
+        F.when(~forest, F.col("flagged")).alias("flagged"),
+        F.when(~forest, F.col("pct")).alias("pct"),
+        F.when(forest, F.col("pct") <= 1.0 + 100.0 / iforest.MIN_ROWS).alias("within_quota"),
+    )
+
+
+def _forest_planted(series: DataFrame) -> DataFrame:
+    """The earliest weeks of each department are made extreme, as many as the forest may flag.
+
+    One department is cut to fewer rows than a forest needs; its scores are zero.
+    """
+    early = Window.partitionBy("department").orderBy("week_start")
+    rows = series.withColumns(
+        {
+            "place": F.row_number().over(early),
+            "n_obs": F.count(F.lit(1)).over(Window.partitionBy("department")),
+        }
+    )
+    short = (F.col("department") == "NATION_0") & (F.col("place") >= iforest.MIN_ROWS)
+    planted = (F.col("place") < _quota()) & (F.col("department") != "NATION_0")
+    extreme = {m: F.when(planted, 1_000_000 + F.col("place") * 1000).otherwise(F.col(m)) for m in METRICS}
+    rows = rows.where(~short).withColumns({"planted": planted, **extreme})
+    found = iforest.flag_isolation_forest(store(rows.drop("n_obs"), "planted"), DEPARTMENT, METRICS)
+    return found.groupBy("department").agg(
+        F.count(F.lit(1)).alias("n_obs"),
+        F.count_if("planted").alias("planted"),
+        F.count_if(F.col("planted") & F.col("is_iforest")).alias("planted_flagged"),
+        (F.max("iforest_score") > 0).alias("is_scored"),
     )
 
 
@@ -188,10 +284,45 @@ def stream_event_weeks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def snapshot_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Copy every given table and report how many rows each copy has."""
-    out = _new_path(spark, "snapshot")
-    done = snapshot_tables(spark, ParquetSource(spark, sf_dir), out, force=True)
-    return done.select("table", "status", "rows")
+    """Copy every given table, one of them again, and one that cannot be read."""
+    out, source = _new_path(spark, "snapshot"), _Unreadable(spark, sf_dir)
+    done = snapshot_tables(spark, source, out)
+    again = snapshot_tables(spark, source, out, ["region"])
+    broken = snapshot_tables(spark, source, out, ["unreadable"])
+    timed = (F.col("seconds") > 0).alias("is_timed")
+    return done.union(again).union(broken).select("table", "status", "rows", "source_rows", timed, "error")
+
+
+class _Unreadable(ParquetSource):
+    """The given tables, and one that fails without a text."""
+
+    def count(self, table: str) -> int:
+        if table == "unreadable":
+            raise ConnectionError
+        return super().count(table)
+
+
+def missing_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A job over two tables of which one is not there."""
+    folder = _new_path(spark, "raw")
+    _prov(spark, sf_dir).write.parquet(f"{folder}/{WEEKLY_PROV.file_name}")
+    specs = [WEEKLY_PROV, WEEKLY_PROV.with_(name="not_there")]
+    done, missing = each_table(spark, folder, specs, lambda df, spec: df.count())
+    rows = [(name, True, n) for name, n in done.items()] + [(name, False, None) for name in missing]
+    return spark.createDataFrame(rows, "table string, present boolean, rows bigint")
+
+
+def overview_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The overview of two tables."""
+    both = ((_prov(spark, sf_dir), WEEKLY_PROV), (conform(weekly_dept(spark, sf_dir), WEEKLY_DEPT), WEEKLY_DEPT))
+    return profile.integrity_overview(
+        [
+            profile.table_overview(
+                checks.flag_totals(df, spec), profile.duplicate_count(df, spec.key_cols), spec
+            )
+            for df, spec in both
+        ]
+    )
 
 
 def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -287,10 +418,17 @@ def _queries() -> dict[str, Query]:
         "outlier_peaks": _on_series(_peaks),
         "iforest_scores": _on_series(lambda s: _rounded(_forest(s), "iforest_score")),
         "iforest_summary": _on_series(_forest_summary),
-        "iforest_top_groups": _on_series(
-            lambda s: outlier_reports.top_groups(_forest_summary(s), DEPARTMENT)
-        ),
+        "iforest_top_groups": _on_series(_forest_top),
+        "iforest_planted": _on_series(_forest_planted),
         "outlier_all_methods": _on_series(_all_methods),
+        "outlier_detail_forest": _on_series(_detail_with_forest),
+        "outlier_totals_forest": _on_series(_totals_with_forest),
+        "outlier_top_mad": _on_series(
+            lambda s: outlier_reports.top_groups(_summary(s), DEPARTMENT, "cases_total__is_mad", 4)
+        ),
+        "dedup_passthrough": _on_prov(_dedup_passthrough),
+        "overview_tables": overview_tables,
+        "missing_inputs": missing_inputs,
         "snapshot_status": snapshot_status,
         "csv_roundtrip": csv_roundtrip,
         "parquet_roundtrip": parquet_roundtrip,

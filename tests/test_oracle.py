@@ -13,22 +13,14 @@ def test_every_sql_has_a_query():
     assert set(SQL) <= set(QUERIES)
 
 
-# Their SQL counts flags from the length of a series, which holds without equal scores at the
-# threshold; the smallest tables have some.
-NEEDS_LARGER = {"iforest_summary", "iforest_top_groups", "outlier_all_methods"}
-LARGER = "/root/testdata/sf0.01"
-
-
 @pytest.fixture(scope="module")
-def cons(sf_dir):
-    return {folder: connect(folder) for folder in (sf_dir, LARGER)}
+def con(sf_dir):
+    return connect(sf_dir)
 
 
 @pytest.mark.parametrize("name", SQL)
-def test_same_rows_as_sql(spark, sf_dir, cons, name):
-    folder = LARGER if name in NEEDS_LARGER else sf_dir
-    con = cons[folder]
-    df = QUERIES[name](spark, folder)
+def test_same_rows_as_sql(spark, sf_dir, con, name):
+    df = QUERIES[name](spark, sf_dir)
     assert difference(df, con, SQL[name]) is None
     assert type_difference(df, con, SQL[name]) is None
 
