@@ -1,0 +1,99 @@
+"""Each stage against what it must do to its own input."""
+
+import re
+from collections import Counter
+
+import pytest
+
+import corpus_pipeline as cp
+from weekwatch.llm import quality
+from weekwatch.llm.mixing import mix
+from weekwatch.llm.near_dedup import near_groups
+
+DIR = "/root/testdata/sf0.01"
+
+
+@pytest.fixture(scope="module")
+def stages(spark, tmp_path_factory):
+    """The documents, and the stored result of every stage."""
+    docs, out = spark.read.parquet(f"{DIR}/documents.parquet"), []
+    for number, (_, stage) in enumerate(cp.STAGES):
+        path = str(tmp_path_factory.mktemp("stages") / str(number))
+        out.append(docs)
+        stage(spark, docs, DIR).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return [*out, docs]
+
+
+def rows(df):
+    return Counter(map(tuple, df.collect()))
+
+
+def test_stages_keep_the_columns(stages):
+    assert [name for name, _ in cp.STAGES] == [
+        "quality classifier", "exact dedup", "n-gram Jaccard join", "mixing sources to target weights", "best-fit packing"
+    ]
+    assert all(s.columns == stages[0].columns for s in stages[:5])
+
+
+def test_good_texts_stay(spark, stages):
+    docs, kept = stages[:2]
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{DIR}/labels.parquet").collect()}
+    ids = {r["doc_id"] for r in kept.collect()}
+    good = [i for i, q in labels.items() if q == 1]
+    bad = [i for i, q in labels.items() if q == 0]
+    assert sum(i in ids for i in good) >= 0.98 * len(good) and sum(i in ids for i in bad) <= 0.2 * len(bad)
+    scores = quality.score(docs, quality.fit(docs, spark.read.parquet(f"{DIR}/labels.parquet")))
+    assert ids == {r["doc_id"] for r in scores.where("score >= 0.3").collect()}
+
+
+def test_one_of_equal_texts_stays(stages):
+    before, after = stages[1].collect(), stages[2].collect()
+    first = {}
+    for r in before:
+        text = re.sub("[\x20\x09-\x0d]+", " ", r["text"] or "")
+        first[text] = min(r["doc_id"], first.get(text, r["doc_id"]))
+    assert sorted(r["doc_id"] for r in after) == sorted(first.values())
+
+
+def test_one_of_near_copies_stays(stages):
+    groups = near_groups(stages[2], 5, 4, 5).collect()
+    expected = {r["component_id"] for r in groups if r["n_shingles"]} | {r["doc_id"] for r in groups if not r["n_shingles"]}
+    assert sorted(r["doc_id"] for r in stages[3].collect()) == sorted(expected)
+    assert all(not r["n_links"] for r in near_groups(stages[3], 5, 4, 5).collect())
+
+
+def test_sources_are_mixed(stages):
+    times = {r["doc_id"]: r["times"] for r in mix(stages[3]).collect()}
+    assert Counter(r["doc_id"] for r in stages[4].collect()) == Counter({i: n for i, n in times.items() if n})
+
+
+def test_every_word_is_packed_once(stages):
+    words = Counter()
+    for r in stages[4].collect():
+        words[r["doc_id"]] += len((r["text"] or "").split())
+    packed, held = Counter(), Counter()
+    for r in stages[5].collect():
+        packed[r["doc_id"]] += r["length"]
+        held[r["bin"], r["bin_length"]] += r["length"]
+    assert packed == Counter({i: n for i, n in words.items() if n})
+    assert all(n <= size for (_, size), n in held.items()) and len({b for b, _ in held}) == len(held)
+
+
+def test_run(spark, stages):
+    got = cp.run(spark, DIR)
+    assert rows(got.select("doc_id", "piece", "start", "length")) == rows(stages[5].select("doc_id", "piece", "start", "length"))
+
+
+def test_extra_and_missing_values(spark, tmp_path):
+    docs = spark.createDataFrame(
+        [(1, "a b c", "en", None, 5, "x"), (1, "a b c", "en", None, 5, "x"), (None, None, None, None, None, None),
+         (3, "", None, "s", 0, "y"), (4, "word " * 9000, "en", "s", 1, "z")],
+        "doc_id long, text string, lang string, source string, n_chars long, size string",
+    )
+    for _, stage in cp.STAGES[1:]:
+        assert stage(spark, docs.limit(0), DIR).count() == 0
+        out = stage(spark, docs, DIR)
+        if stage is not cp.packed_sequences:
+            assert out.columns == docs.columns
+        out.write.mode("overwrite").parquet(f"{tmp_path}/o")

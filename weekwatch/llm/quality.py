@@ -143,8 +143,9 @@ def fit(
     label 1, or 0.5.
     """
     known = training_rows(docs, labels, label_col, id_col, rows)
-    labelled = docs.withColumnRenamed(id_col, "doc_id").join(F.broadcast(known), "doc_id")
-    numbers = with_statistics(labelled, text_col, F.col("doc_id"), F.col("label"))
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    labelled = texts.join(F.broadcast(known), "doc_id")
+    numbers = with_statistics(labelled, "text", F.col("doc_id"), F.col("label"))
     numbers = store(numbers.dropDuplicates(["doc_id"]), "statistics")
     found = numbers.agg(F.count("*").alias("n"), F.sum("label").alias("ones")).first()
     if not found["n"] or found["ones"] in (0, found["n"]):

@@ -73,14 +73,13 @@ class FactorModel:
         return pd.Series(1.0 / (1.0 + np.exp(-margin)))
 
 
-def _term_rows(labelled: DataFrame, text_col: str) -> DataFrame:
+def _term_rows(labelled: DataFrame) -> DataFrame:
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             terms = [sorted(hashed_terms(t)) for t in batch["text"]]
             yield pd.DataFrame({"doc_id": batch["doc_id"], "label": batch["label"], "terms": terms})
 
-    rows = labelled.select("doc_id", "label", F.col(text_col).alias("text"))
-    return rows.mapInPandas(cut, "doc_id bigint, label double, terms array<bigint>")
+    return labelled.mapInPandas(cut, "doc_id bigint, label double, terms array<bigint>")
 
 
 def telling_terms(rows: DataFrame, most: int = MAX_TERMS, least: float = LEAST_RATIO) -> list[int]:
@@ -119,8 +118,9 @@ def fit(
     1, or 0.5 without labelled rows.
     """
     known = training_rows(docs, labels, label_col, id_col, rows)
-    labelled = docs.withColumnRenamed(id_col, "doc_id").join(F.broadcast(known), "doc_id")
-    cut = store(_term_rows(labelled, text_col).dropDuplicates(["doc_id"]), "terms")
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    labelled = texts.join(F.broadcast(known), "doc_id")
+    cut = store(_term_rows(labelled).dropDuplicates(["doc_id"]), "terms")
     terms = telling_terms(cut)
     if not terms:
         share = cut.agg(F.avg("label")).first()[0]
