@@ -193,4 +193,4 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     )
     # A row repeated with the same id and text joins the same line; one of them is enough.
     same = F.col("id").eqNullSafe(F.col("__id")) & (F.col("sha") == F.col("__sha"))
-    return packed.join(kept, same, "left_semi").dropDuplicates(["id", "sha"]).select("doc.*")
+    return packed.join(kept.hint("merge"), same, "left_semi").dropDuplicates(["id", "sha"]).select("doc.*")

@@ -373,7 +373,8 @@ def _joined(
     reps = store(sized.select("node", "rep.doc_id", "rep.th").distinct(), "reps")
     reps = reps.select("node", F.col("doc_id").alias("rep_id"), F.col("th").alias("rep_th"))
     same = texts["doc_id"].eqNullSafe(reps["rep_id"]) & (texts["th"] == reps["rep_th"])
-    held = texts.join(reps, same).dropDuplicates(["node"]).select("node", "text")
+    # The wanted texts grow with the corpus, so they are never broadcast.
+    held = texts.join(reps.hint("merge"), same).dropDuplicates(["node"]).select("node", "text")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     paired = held.join(wanted, "node").select("component", "part", "own", "node", "copies", "text", other)
     return cluster_links(
@@ -394,4 +395,4 @@ def keep_one(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5, id_col
     kept = groups.select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"))
     packed = docs.select(F.struct("*").alias("doc"), F.col(id_col).alias("id"), F.xxhash64(whole(text_col)).alias("th"))
     same = F.col("id").eqNullSafe(F.col("__id")) & (F.col("th") == F.col("__th"))
-    return packed.join(kept, same, "left_semi").dropDuplicates(["id", "th"]).select("doc.*")
+    return packed.join(kept.hint("merge"), same, "left_semi").dropDuplicates(["id", "th"]).select("doc.*")
