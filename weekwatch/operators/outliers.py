@@ -59,7 +59,7 @@ def flag_iqr(
     k: float = IQR_K,
     interpolation: str = "nearest",
 ) -> DataFrame:
-    """Tukey's fences around the quartiles of the group."""
+    """Tukey's fences around the quartiles of the group, a series as ``weekly_series`` makes it."""
     metrics = _listed(metrics)
     quartiles = group_quantiles(
         df, group_keys, metrics, {"__q1_": 0.25, "__q3_": 0.75}, interpolation
@@ -104,7 +104,7 @@ def flag_mad(
     metrics: str | Sequence[str],
     threshold: float = MAD_THRESHOLD,
 ) -> DataFrame:
-    """Modified z-score against the whole series."""
+    """Modified z-score against the whole series, as ``weekly_series`` makes it."""
     return _flag_robust(df, group_keys, metrics, "__mad_score", "__is_mad", threshold)
 
 
@@ -115,7 +115,7 @@ def flag_seasonal(
     season_col: str = "semana",
     threshold: float = SEASONAL_THRESHOLD,
 ) -> DataFrame:
-    """Modified z-score against the same week of other years."""
+    """Modified z-score against the same week of other years, in a series of ``weekly_series``."""
     keys = [*group_keys, season_col]
     return _flag_robust(df, keys, metrics, "__seas_score", "__is_seas", threshold)
 
@@ -134,7 +134,7 @@ def flag_rolling_z(
     window: int = ROLLING_WINDOW,
     threshold: float = ROLLING_THRESHOLD,
 ) -> DataFrame:
-    """z-score against a centred frame of rows; missing weeks are not filled in.
+    """z-score against a centred frame of rows of a series; missing weeks are not filled in.
 
     Null when the frame has fewer than ``max(3, window // 2)`` values or no spread.
     """
@@ -159,7 +159,7 @@ def flag_univariate(
     season_col: str = "semana",
     interpolation: str = "nearest",
 ) -> DataFrame:
-    """All four detectors on all metrics."""
+    """All four detectors on all metrics of a series as long as the calendar; ``detect`` builds it."""
     flagged = flag_iqr(series, group_keys, metrics, interpolation=interpolation)
     flagged = flag_mad(flagged, group_keys, metrics)
     flagged = flag_rolling_z(flagged, group_keys, metrics, date_col)
