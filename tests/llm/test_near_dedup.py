@@ -137,6 +137,6 @@ def test_similar_sets_share_a_signature(data, size, similarity):
     new = data.draw(st.integers(0, min(100, size // 4)))
     other = np.concatenate([base[gone:], spare[:new]])
     if len(other) and den * (size - gone) >= num * (size + new):
-        both = [near_dedup.signatures(np.sort(x), num, den) for x in (base, other)]
+        both = [near_dedup.signatures(np.sort(x), near_dedup.parts_of(len(x), num, den)) for x in (base, other)]
         named = [{(r, h) for r, hashes in s for h in hashes.tolist()} for s in both]
         assert named[0] & named[1]

@@ -1,0 +1,16 @@
+"""The text operators run in tasks that do not have the package."""
+
+import os
+import subprocess
+import sys
+from pathlib import Path
+
+ROOT = Path(__file__).resolve().parent.parent.parent
+
+
+def test_queries_run_from_another_folder(tmp_path):
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    names = ["op1_toxicity", "op4_packing", "op7_exact_dedup", "op8_neighbours", "op9_ngram_join"]
+    call = [sys.executable, str(ROOT / "tools/check_queries.py"), "/root/testdata/sf0.001", *names]
+    done = subprocess.run(call, cwd=tmp_path, env=env, capture_output=True, text=True, timeout=600)
+    assert done.returncode == 0, done.stdout + done.stderr[-2000:]

@@ -13,7 +13,6 @@ from __future__ import annotations
 import math
 from collections import deque
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -54,7 +53,6 @@ def shingles(text: str | None, words: int) -> np.ndarray:
     return np.unique(np.array([hashed(line[a : b - 1]) for a, b in zip(starts, ends[words - 1 :], strict=True)], np.uint64))
 
 
-@cache
 def parts_of(size: int, num: int, den: int) -> tuple[tuple[int, int, int], ...]:
     """The ranges of sizes that a set is compared in, as ``(range, parts, most differences)``.
 
@@ -82,15 +80,17 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def signatures(tokens: np.ndarray, num: int, den: int) -> list[tuple[int, np.ndarray]]:
-    """Per range, a hash for each part of the sorted set: of the part's number and shingles.
+def signatures(
+    tokens: np.ndarray, ranges: tuple[tuple[int, int, int], ...]
+) -> list[tuple[int, np.ndarray]]:
+    """Per range of ``parts_of``, a hash for each part of the sorted set: of the part's number and shingles.
 
     If sets differ in at most ``d`` shingles, and one of them has more than ``d`` parts that are not
     empty, then such a part is the same in both. A set with fewer names its empty parts as well.
     """
     found = []
     sums = np.concatenate([[np.uint64(0)], np.cumsum(_mixed(tokens), dtype=np.uint64)])
-    for r, parts, differ in parts_of(len(tokens), num, den):
+    for r, parts, differ in ranges:
         # A part is a run of the sorted shingles.
         part = ((tokens >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
         ends = np.append(np.flatnonzero(part[1:] != part[:-1]) + 1, len(part))
@@ -109,11 +109,14 @@ def sketches(texts: DataFrame, words: int, num: int, den: int) -> DataFrame:
     """Per row: ``size`` of its set, the hash ``node`` that names the set, and its ``signatures``."""
 
     def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ranges: dict[int, tuple] = {0: ()}
         for batch in batches:
             sizes, nodes, lists = [], [], []
             for text in batch["text"]:
                 tokens = shingles(text, words)
-                found = signatures(tokens, num, den) if len(tokens) else []
+                if len(tokens) not in ranges:
+                    ranges[len(tokens)] = parts_of(len(tokens), num, den)
+                found = signatures(tokens, ranges[len(tokens)])
                 sizes.append(len(tokens))
                 nodes.append(xxhash.xxh3_64_intdigest(tokens.tobytes()) - 2**63)
                 lists.append([{"range": r, "parts": hashes.view(np.int64)} for r, hashes in found])
