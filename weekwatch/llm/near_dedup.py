@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weekwatch.llm.components import components
@@ -25,11 +25,13 @@ from weekwatch.llm.text import whole
 from weekwatch.sources.scratch import store
 
 # A cluster with more shingles is joined in pairs of blocks of about this size.
-BLOCK_SHINGLES = 1_500_000
+BLOCK_SHINGLES = 3_000_000
 # So many sets' overlaps are kept to derive others from.
 PIVOTS = 32
 # A task that combines signatures holds about so many of them.
 BUFFERED = 2_000_000
+# Bits of the names of parts and of members. Equal names of different ones only add candidates.
+PART_BITS, MEMBER_BITS = 48, 40
 
 
 # ---- shingles -----------------------------------------------------------------------------------
@@ -56,10 +58,10 @@ def shingles(text: str | None, words: int) -> np.ndarray:
 def parts_of(size: int, num: int, den: int) -> tuple[tuple[int, int, int], ...]:
     """The ranges of sizes that a set is compared in, as ``(range, parts, most differences)``.
 
-    A range spans two steps of the similarity. A set is in the range of its size, and in the next
+    A range spans one step of the similarity. A set is in the range of its size, and in the next
     one if that holds sizes it may be similar to. All sets of a range are cut into the same parts.
     """
-    step = 2 * math.log(den / num) * 1.000001
+    step = math.log(den / num) * 1.000001
     own = math.floor(math.log(size) / step)
     found = []
     for r in (own, own + 1):
@@ -101,44 +103,62 @@ def signatures(
             numbers = np.concatenate([numbers, empty])
             content = np.concatenate([content, np.zeros(len(empty), np.uint64)])
         place = _mixed(numbers * np.uint64(0x9E3779B97F4A7C15) + np.uint64(r + 1))
-        found.append((r, _mixed(content + place)))
+        found.append((r, _mixed(content + place) >> np.uint64(64 - PART_BITS)))
     return found
 
 
+def set_name(tokens: np.ndarray) -> int:
+    """The 64-bit hash of a sorted set, signed."""
+    return xxhash.xxh3_64_intdigest(tokens.tobytes()) - 2**63
+
+
+def member_names(node: int, ranges: tuple[tuple[int, int, int], ...]) -> np.ndarray:
+    """What a set is called in each of its ranges."""
+    of = np.array([node + 2**63], np.uint64) + np.array([r + 1 for r, _, _ in ranges], np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return (_mixed(of) >> np.uint64(64 - MEMBER_BITS)).astype(np.int64)
+
+
+class Ranges(dict):
+    """The ranges of each size that comes up, found once a task."""
+
+    def __init__(self, num: int, den: int):
+        super().__init__({0: ()})
+        self.num, self.den = num, den
+
+    def __missing__(self, size: int) -> tuple:
+        self[size] = parts_of(size, self.num, self.den)
+        return self[size]
+
+
 def sketches(texts: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """Per row: ``size`` of its set, the hash ``node`` that names the set, and its ``signatures``."""
+    """Per row: ``size`` of its set, the hash ``node`` that names it, and its ``members``: its names
+    in the ranges it is compared in, that of its own size first."""
 
     def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ranges: dict[int, tuple] = {0: ()}
+        ranges = Ranges(num, den)
         for batch in batches:
-            sizes, nodes, lists = [], [], []
+            sizes, nodes, members = [], [], []
             for text in batch["text"]:
                 tokens = shingles(text, words)
-                if len(tokens) not in ranges:
-                    ranges[len(tokens)] = parts_of(len(tokens), num, den)
-                found = signatures(tokens, ranges[len(tokens)])
                 sizes.append(len(tokens))
-                nodes.append(xxhash.xxh3_64_intdigest(tokens.tobytes()) - 2**63)
-                lists.append([{"range": r, "parts": hashes.view(np.int64)} for r, hashes in found])
+                nodes.append(set_name(tokens))
+                members.append(member_names(nodes[-1], ranges[len(tokens)]))
             yield pd.DataFrame(
-                {"doc_id": batch["doc_id"], "th": batch["th"], "size": sizes, "node": nodes, "signatures": lists}
+                {"doc_id": batch["doc_id"], "th": batch["th"], "size": sizes, "node": nodes, "members": members}
             )
 
     id_type = texts.schema["doc_id"].dataType.simpleString()
-    return texts.mapInPandas(
-        sketch,
-        f"doc_id {id_type}, th bigint, size bigint, node bigint, "
-        "signatures array<struct<range:int,parts:array<bigint>>>",
-    )
+    schema = f"doc_id {id_type}, th bigint, size bigint, node bigint, members array<bigint>"
+    return texts.mapInPandas(sketch, schema)
 
 
 # ---- clusters of sets that may be similar -------------------------------------------------------
 
 
-def candidate_links(sketch: DataFrame) -> DataFrame:
+def candidate_links(texts: DataFrame, words: int, num: int, den: int) -> DataFrame:
     """``u, v``: links that connect all sets which share a signature, as members of a range.
 
-    A member is named by ``member_name``. Each task links its own members of a signature to the
+    Signatures are made here from the texts and not stored, as they are many. Each task links its own members of a signature to the
     smallest of them, and only that one is shuffled; so a signature that a third of all sets share
     reaches the shuffle once a task. Then the smallest members of a signature are linked likewise.
     """
@@ -163,31 +183,30 @@ def candidate_links(sketch: DataFrame) -> DataFrame:
                 }
             )
 
+        ranges = Ranges(num, den)
         held, size = [], 0
         for batch in batches:
-            for member, parts in zip(batch["member"], batch["parts"], strict=True):
-                held.append((parts, np.full(len(parts), member, np.int64)))
-                size += len(parts)
-            if size >= BUFFERED:
-                yield rows(held)
-                held, size = [], 0
+            for text in batch["text"]:
+                tokens = shingles(text, words)
+                if not len(tokens):
+                    continue
+                names = member_names(set_name(tokens), ranges[len(tokens)])
+                for member, (_, hashes) in zip(names, signatures(tokens, ranges[len(tokens)]), strict=True):
+                    held.append((hashes.astype(np.int64), np.full(len(hashes), member, np.int64)))
+                    size += len(hashes)
+                if size >= BUFFERED:
+                    yield rows(held)
+                    held, size = [], 0
         if size:
             yield rows(held)
 
-    each = sketch.select("node", F.explode("signatures").alias("s")).select(
-        member_name(F.col("s.range"), F.col("node")).alias("member"), F.col("s.parts").alias("parts")
-    )
-    combined = each.mapInPandas(combine, "part bigint, u bigint, v bigint")
+    combined = texts.select("text").mapInPandas(combine, "part bigint, u bigint, v bigint")
     hub = F.min("u").over(Window.partitionBy("part"))
     across = combined.where("part is not null").withColumn("v", hub).where("u > v")
     within = combined.where("part is null")
     return across.select("u", "v").union(within.select("u", "v"))
 
 
-def member_name(range_: Column, node: Column) -> Column:
-    return F.xxhash64(range_, node)
-
-
 def _ranges(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """All positions of several ranges, one after another."""
     sizes = ends - starts
@@ -330,7 +349,7 @@ def near_groups(
         F.min(first).alias("rep"), F.count("*").alias("copies"), F.max("size").alias("size")
     )
     classes = store(classes, "classes")
-    clusters = components(candidate_links(sketch))
+    clusters = components(candidate_links(texts, words, num, den))
     found = store(_joined(texts, sketch, classes, clusters, words, num, den), "found")
     groups = components(found.where("v is not null").select("u", "v"))
     links = found.groupBy(F.col("u").alias("node")).agg(F.sum("links").alias("links"))
@@ -344,7 +363,7 @@ def near_groups(
     named = named.join(keeps, "component").select("node", "keep", "copies", "links")
     alone = F.col("keep").isNull()
     is_kept = F.col("doc_id").eqNullSafe(F.col("keep.doc_id")) & (F.col("th") == F.col("keep.th"))
-    return sketch.drop("signatures").join(named, "node", "left").select(
+    return sketch.drop("members").join(named, "node", "left").select(
         "doc_id",
         F.col("size").alias("n_shingles"),
         F.when(alone, F.col("doc_id")).otherwise(F.col("keep.doc_id")).alias("component_id"),
@@ -358,9 +377,8 @@ def _joined(
     texts: DataFrame, sketch: DataFrame, classes: DataFrame, clusters: DataFrame, words: int, num: int, den: int
 ) -> DataFrame:
     """Bring one text of each clustered set to its cluster, or to its cluster's pairs of blocks."""
-    members = sketch.select("node", F.posexplode("signatures").alias("at", "s")).select(
-        "node", (F.col("at") == 0).alias("own"), member_name(F.col("s.range"), F.col("node")).alias("member")
-    )
+    members = sketch.select("node", F.posexplode("members").alias("at", "member"))
+    members = members.select("node", (F.col("at") == 0).alias("own"), "member")
     sized = (
         clusters.withColumnRenamed("node", "member")
         .join(members.distinct(), "member")
