@@ -68,8 +68,12 @@ def parts_of(size: int, num: int, den: int) -> tuple[tuple[int, int, int], ...]:
         low, high = math.exp(r * step), math.exp((r + 1) * step)
         if r == own or size * den * 1.000001 >= num * low:
             differ = int(2 * high * (den - num) / (den + num) * 1.000001)
-            parts = differ + 1
-            while parts * -math.expm1(-low / parts) < differ + 1 and parts < 2 * differ:
+            parts, smallest = differ + 1, low * num / den
+            # So many that even the smallest sets hardly ever have too few that are not empty.
+            while parts < 3 * differ:
+                empty = parts * math.exp(-smallest / parts)
+                if parts - empty - 3 * math.sqrt(empty) > differ:
+                    break
                 parts += 1
             found.append((r, parts, differ))
     return tuple(found)
@@ -339,10 +343,10 @@ def near_groups(
     row per component is ``kept``: that with the smallest id, null last. ``n_links`` counts linked
     rows, copies too. Null and empty texts have no shingles and link with nothing. Repeated rows
     are copies of one another, and all of those that share the kept id and text are marked. Other
-    columns are not read. ``th`` is a hash of the text that tells rows of one id apart.
+    columns are not read. ``th`` is a hash of id and text that tells rows of one id apart.
     """
     text = whole(text_col)
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(id_col), text).alias("th"), text.alias("text"))
     sketch = store(sketches(texts, words, num, den), "sketches")
     first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th")
     classes = sketch.where("size > 0").groupBy("node").agg(
@@ -391,11 +395,10 @@ def _joined(
         "component", "node", "own", "copies", "blocks",
         F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("part"),
     )
-    reps = store(sized.select("node", "rep.doc_id", "rep.th").distinct(), "reps")
-    reps = reps.select("node", F.col("doc_id").alias("rep_id"), F.col("th").alias("rep_th"))
-    same = texts["doc_id"].eqNullSafe(reps["rep_id"]) & (texts["th"] == reps["rep_th"])
-    # The wanted texts grow with the corpus, so they are never broadcast.
-    held = texts.join(reps.hint("merge"), same).dropDuplicates(["node"]).select("node", "text")
+    reps = store(sized.select("node", "rep.th").distinct(), "reps")
+    # The wanted texts grow with the corpus, so they are never broadcast. Repeated rows are dropped by
+    # the key of the join, without another shuffle.
+    held = texts.join(reps.hint("merge"), "th").dropDuplicates(["th"]).select("node", "text")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     paired = held.join(wanted, "node").select("component", "part", "own", "node", "copies", "text", other)
     return cluster_links(
@@ -414,6 +417,7 @@ def keep_one(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5, id_col
     """
     groups = near_groups(docs, words, num, den, id_col, text_col).where("kept")
     kept = groups.select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"))
-    packed = docs.select(F.struct("*").alias("doc"), F.col(id_col).alias("id"), F.xxhash64(whole(text_col)).alias("th"))
+    th = F.xxhash64(F.col(id_col), whole(text_col)).alias("th")
+    packed = docs.select(F.struct("*").alias("doc"), F.col(id_col).alias("id"), th)
     same = F.col("id").eqNullSafe(F.col("__id")) & (F.col("th") == F.col("__th"))
     return packed.join(kept.hint("merge"), same, "left_semi").dropDuplicates(["id", "th"]).select("doc.*")
