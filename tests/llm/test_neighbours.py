@@ -97,3 +97,41 @@ def test_regions_split_at_medians():
     points = np.random.default_rng(1).normal(size=(1024, 4))
     counts = np.bincount(region_of(points, top_cuts(points, 3)), minlength=8)
     assert counts.sum() == 1024 and counts.min() >= 120
+
+
+def check_whole(rows, every, k, got):
+    """Each query has ``k`` answers, or all there are, with verified distances."""
+    expected = brute(rows, every, k)
+    assert {q: len(v) for q, v in got.items()} == {q: len(v) for q, v in expected.items() if v}
+    check_scores(rows, got)
+    return expected
+
+
+def test_every_query_has_all_its_rows_on_the_given_vectors(spark):
+    given = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = [(r["vec_id"], r["embedding"], None, None) for r in given.collect()]
+    got = found(spark, rows, 10, 10)
+    assert recall(got, check_whole(rows, 10, 10, got)) >= 0.9
+
+
+def test_every_query_has_all_its_rows_in_near_copies_and_groups(spark):
+    rng = np.random.default_rng(11)
+    rows = []
+    for _ in range(60):  # clusters of near copies: the bound is tight, and the home block holds the cluster
+        center = rng.normal(size=32)
+        rows += [(len(rows) + j, (center + rng.normal(scale=1e-3, size=32)).tolist(), None, None) for j in range(12)]
+    rows += [(10_000 + i, [0.1] * 32, None, None) for i in range(1, 300)]  # copies, and a lone query beside them
+    rows += [(10_000, [0.1] * 31 + [0.100001], None, None)]
+    got = found(spark, rows, 10, 10)
+    assert recall(got, check_whole(rows, 10, 10, got)) >= 0.9
+    assert [i for i, _ in got[10_000]] == list(range(10_001, 10_011))
+
+
+def test_projections_of_equal_vectors_are_within_rounding():
+    rng = np.random.default_rng(2)
+    matrix = neighbours.directions(384)
+    vectors = rng.normal(size=(500, 384)) * 10.0 ** rng.integers(-6, 7, size=(500, 1))
+    alone = np.stack([v @ matrix for v in vectors])
+    apart = ((vectors @ matrix - alone) ** 2).sum(axis=1)
+    assert apart.max() > 0
+    assert (apart <= neighbours.reach(0.0, chi_square_limit(8, 0.98), neighbours.rounding(vectors, matrix))).all()

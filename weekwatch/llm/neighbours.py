@@ -4,7 +4,8 @@ Vectors are projected to a few dimensions by random directions, and cut into blo
 kd-tree of the projections. In a block, a kd-tree gives the neighbours of a query in order of their
 projected distance; each is verified on the whole vectors. The squared projected distance of a
 point, over its squared distance, follows a chi-square law; so the search stops at a projected
-distance that a point nearer than the k-th found would exceed with a small probability only.
+distance that a point nearer than the k-th found would exceed with a small probability only. The
+test decides where to look; what was found and verified before stays an answer.
 """
 
 from __future__ import annotations
@@ -43,6 +44,17 @@ def directions(length: int, dimensions: int = DIMENSIONS, seed: int = SEED) -> n
     return np.random.default_rng(seed).normal(size=(length, dimensions))
 
 
+def rounding(queries: np.ndarray, matrix: np.ndarray) -> np.ndarray:
+    """How far the projections of each query and of a vector equal to it may lie apart as computed."""
+    size = np.sqrt((queries**2).sum(axis=-1)) * np.sqrt((matrix**2).sum())
+    return 4 * len(matrix) * np.finfo(float).eps * size
+
+
+def reach(bound: float | np.ndarray, limit: float, slack: float | np.ndarray) -> float | np.ndarray:
+    """The squared projected distance up to which a point within ``bound`` is looked for."""
+    return (math.sqrt(limit) * bound * (1 + 1e-9) + slack) ** 2
+
+
 # ---- trees --------------------------------------------------------------------------------------
 
 
@@ -90,7 +102,7 @@ class Block:
         leaves = tree_order(projected := vectors @ matrix, np.arange(len(vectors)))
         order = np.concatenate(leaves)
         self.vectors, self.projected = vectors[order], projected[order]
-        self.ids = [ids[i] for i in order]
+        self.ids, self.matrix = [ids[i] for i in order], matrix
         self.ends = np.cumsum([len(leaf) for leaf in leaves])
         self.starts = self.ends - [len(leaf) for leaf in leaves]
         self.low = np.minimum.reduceat(self.projected, self.starts)
@@ -103,12 +115,14 @@ class Block:
         """
         gap = np.maximum(0.0, np.maximum(self.low - place, place - self.high))
         far = (gap**2).sum(axis=1)
+        slack = rounding(query, self.matrix)
         found: list[tuple[float, int]] = []
         for leaf in np.argsort(far, kind="stable"):
-            if far[leaf] > limit * bound**2:
+            most = reach(bound, limit, slack)
+            if far[leaf] > most:
                 break
             rows = slice(self.starts[leaf], self.ends[leaf])
-            near = np.flatnonzero(((self.projected[rows] - place) ** 2).sum(axis=1) <= limit * bound**2)
+            near = np.flatnonzero(((self.projected[rows] - place) ** 2).sum(axis=1) <= most)
             near += self.starts[leaf]
             distance = np.sqrt(((self.vectors[near] - query) ** 2).sum(axis=1))
             real = distance <= bound
@@ -192,7 +206,7 @@ def nearest(
         "batch", F.pmod(F.xxhash64("q"), F.lit(batches)).cast("int")
     )
     home = lined.select("region", F.lit(0).alias("block"), "batch", "q", "vector", F.lit(float("inf")).alias("bound"))
-    first = _search(placed.where("block = 0"), home, k + 1, matrix, sure, batches)
+    first = store(_search(placed.where("block = 0"), home, k + 1, matrix, sure, batches), "first")
     bounds = first.groupBy("q").agg(
         F.when(F.count("*") == k + 1, F.max("score")).otherwise(float("inf")).alias("bound")
     )
@@ -200,7 +214,8 @@ def nearest(
     boxes = _boxes(placed, matrix)
     known = lined.join(bounds, "q", "left").withColumn("bound", F.coalesce("bound", F.lit(float("inf"))))
     everywhere = _routed(known, boxes, matrix, sure)
-    answers = _search(placed, everywhere, k + 1, matrix, sure, batches)
+    # A point is in one block and the home block is not searched again, so no answer comes twice.
+    answers = first.unionByName(_search(placed, everywhere, k + 1, matrix, sure, batches))
     best = Window.partitionBy("q").orderBy("score", "vec_id")
     answers = answers.withColumn("at", F.row_number().over(best)).where(F.col("at") <= k + 1).drop("at")
 
@@ -238,18 +253,22 @@ def _boxes(placed: DataFrame, matrix: np.ndarray) -> dict[int, tuple[np.ndarray,
 
 
 def _routed(known: DataFrame, boxes: dict, matrix: np.ndarray, sure: float) -> DataFrame:
-    """A row for each query and block that may hold a nearer point, by the stopping test."""
+    """A row for each query and block that may hold a nearer point, by the stopping test.
+
+    The home block, where the bound comes from, is left out: its answers are known.
+    """
     limit = chi_square_limit(matrix.shape[1], sure)
 
     def route(batches):
         for batch in batches:
             if not len(batch):
                 continue
-            places, bound = np.stack(batch["vector"].to_list()) @ matrix, batch["bound"].to_numpy()
+            wanted, home = np.stack(batch["vector"].to_list()), batch["region"].to_numpy()
+            places, most = wanted @ matrix, reach(batch["bound"].to_numpy(), limit, rounding(wanted, matrix))
             for r, (low, high, blocks) in boxes.items():
                 far = (np.maximum(0.0, np.maximum(low - places, places - high)) ** 2).sum(axis=1)
-                going = batch[far <= limit * bound**2]
-                for block in range(blocks if len(going) else 0):
+                for block in range(blocks):
+                    going = batch[(far <= most) & ((home != r) | (block > 0))]
                     yield going.assign(region=r, block=block)[["region", "block", "batch", "q", "vector", "bound"]]
 
     return known.select("region", "batch", "q", "vector", "bound").mapInPandas(
