@@ -98,3 +98,58 @@ def test_licences(spark):
     named = {r[0]: r[2] for r in got}
     assert named[3] == ["MIT"] and named[4] == ["MIT", "CC-BY-NC-4.0"] and named[6] == ["GPL-3.0"] and named[0] == []
     assert licenses.scan(docs.limit(0)).collect() == []
+
+
+FSF = "you can redistribute it and/or modify\nit under the terms of the GNU {} as published by\nthe Free Software Foundation{} {}version {} of the License{}\n"
+LATER = ", or\n(at your option) any later version."
+DETAILS = ("\nThis program is distributed in the hope that it will be useful,\nbut WITHOUT ANY WARRANTY; without even the implied "
+           "warranty of\nMERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the\nGNU General Public License for more details.\n")
+APACHE = ('you may not use this file except in compliance with the License.\nYou may obtain a copy of the License at\n\n'
+          "    http://www.apache.org/licenses/LICENSE-2.0\n\nUnless required by applicable law or agreed to in writing, software\n"
+          'distributed under the License is distributed on an "AS IS" BASIS,\nWITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, '
+          "either express or implied.\n")
+MIT = ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation "
+       'files (the "Software"), to deal in the Software without restriction, subject to the following conditions:\n\nThe above '
+       "copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.\n\n"
+       'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED. IN NO EVENT SHALL THE AUTHORS BE LIABLE.')
+NOTICES = [
+    ("This program is free software: " + FSF.format("General Public License", ",", "either ", "3", LATER) + DETAILS, ["GPL-3.0-or-later"]),
+    ("This program is free software; " + FSF.format("General Public License", ";", "either ", "2", LATER) + DETAILS, ["GPL-2.0-or-later"]),
+    ("This program is free software; " + FSF.format("General Public License", ";", "", "2", ".") + DETAILS, ["GPL-2.0"]),
+    ("This program is free software: " + FSF.format("General Public License", ",", "", "3", ".") + DETAILS, ["GPL-3.0"]),
+    ("This library is free software; " + FSF.format("Lesser General Public License", ";", "either ", "2.1", LATER) + DETAILS, ["LGPL-2.1-or-later"]),
+    ("This library is free software: " + FSF.format("Lesser General Public License", ",", "either ", "3", LATER) + DETAILS, ["LGPL-3.0-or-later"]),
+    ("This library is free software; " + FSF.format("Library General Public License", ";", "either ", "2", LATER) + DETAILS, ["LGPL-2.0-or-later"]),
+    ("This program is free software: " + FSF.format("Affero General Public License", ",", "either ", "3", LATER) + DETAILS, ["AGPL-3.0-or-later"]),
+    ("GNU General Public License, version 2, or (at your option) any later version", ["GPL-2.0-or-later"]),
+    ("GNU Lesser General Public License, version 2.1, or (at your option) any later version", ["LGPL-2.1-or-later"]),
+    ("you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the "
+     "Free Software Foundation.", ["GPL-2.0"]),
+    ('Licensed under the Apache License, Version 2.0 (the "License");\n' + APACHE, ["Apache-2.0"]),
+    ('The ASF licenses this file\nto you under the Apache License, Version 2.0 (the\n"License"); ' + APACHE, ["Apache-2.0"]),
+    (MIT, ["MIT"]),
+    ("Released under the MIT License, the pictures are licensed under CC BY 4.0", ["MIT", "CC-BY-4.0"]),
+]
+
+
+def test_verbatim_notices(spark):
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(NOTICES)], "doc_id long, text string")
+    got = {r["doc_id"]: r["licences"] for r in licenses.scan(docs).collect()}
+    assert got == {i: expected for i, (_, expected) in enumerate(NOTICES)}
+
+
+def test_a_sentence_yields_all_its_wordings(spark):
+    wordings = [w for _, w in licenses.SENTENCES if ". " not in w]
+    texts = [f"{a} and {b}" for a in wordings for b in wordings] + [t for t, _ in NOTICES]
+    texts += ["you can redistribute it and or modify it under the terms of the " + w for w in wordings]
+
+    def plain_ids(text):
+        ids = []
+        for sentence in re.split("[.!?;]+(?: |$)", re.sub("[^a-z0-9.!?;]+", " ", text.lower())):
+            held = [(m.start(), m.start() + len(w), n) for n, w in licenses.SENTENCES for m in re.finditer(f"(?={re.escape(w)})", sentence)]
+            ids += [n for a, b, n in sorted(held) if not any(c <= a and b <= d and d - c > b - a for c, d, _ in held)]
+        return ids
+
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["sentence_ids"] for r in licenses.scan(docs).collect()}
+    assert got == {i: plain_ids(t) for i, t in enumerate(texts)}

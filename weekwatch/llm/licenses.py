@@ -1,19 +1,22 @@
 """Find licences by their sentences.
 
-A text is normalised and cut into sentences; a sentence that holds a known wording becomes the
-identifier of that wording. The identifiers of a text, in order, are then matched against licence
+A text is normalised and cut into sentences; a sentence becomes the identifiers of all known
+wordings it holds, by position; those that lie within a longer one do not count. The identifiers of a text, in order, are then matched against licence
 rules, the first rule first; what a rule has matched is not matched again.
 """
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weekwatch.llm.text import whole
 
-# Wordings of licence sentences after ``normalise``, each with its identifier. The
-# first wording that a sentence holds names it.
+# Wordings of licence sentences after ``normalise``, each with its identifier. A wording
+# stands before those that lie within it.
 SENTENCES = (
     ("spdx_mit", "spdx license identifier mit"),
     ("spdx_apache2", "spdx license identifier apache 2.0"),
@@ -25,8 +28,14 @@ SENTENCES = (
     ("mit_grant", "permission is hereby granted free of charge to any person obtaining a copy"),
     ("mit_notice", "the above copyright notice and this permission notice shall be included"),
     ("apache2_ref", "licensed under the apache license version 2.0"),
+    ("apache2_ref", "licenses this file to you under the apache license version 2.0"),
     ("apache2_obtain", "you may obtain a copy of the license at"),
     ("apache2_comply", "you may not use this file except in compliance with the license"),
+    ("agpl3_or_later", "gnu affero general public license version 3 or at your option any later version"),
+    ("lgpl3_or_later", "gnu lesser general public license version 3 or at your option any later version"),
+    ("lgpl21_or_later", "gnu lesser general public license version 2.1 or at your option any later version"),
+    ("gpl3_or_later", "gnu general public license version 3 or at your option any later version"),
+    ("gpl2_or_later", "gnu general public license version 2 or at your option any later version"),
     ("agpl3_ref", "gnu affero general public license version 3"),
     ("lgpl3_ref", "gnu lesser general public license version 3"),
     ("lgpl21_ref", "gnu lesser general public license version 2.1"),
@@ -34,6 +43,12 @@ SENTENCES = (
     ("gpl2_ref", "gnu general public license version 2"),
     ("gpl_later", "or at your option any later version"),
     ("gpl_redistribute", "you can redistribute it and or modify it under the terms of the gnu general public license"),
+    ("lgpl_redistribute", "you can redistribute it and or modify it under the terms of the gnu lesser general public license"),
+    ("lgpl_redistribute", "you can redistribute it and or modify it under the terms of the gnu library general public license"),
+    ("agpl_redistribute", "you can redistribute it and or modify it under the terms of the gnu affero general public license"),
+    ("version_3", "version 3 of the license"),
+    ("version_21", "version 2.1 of the license"),
+    ("version_2", "version 2 of the license"),
     ("bsd_redistribute", "redistribution and use in source and binary forms with or without modification are permitted"),
     ("bsd_source", "redistributions of source code must retain the above copyright notice"),
     ("bsd_binary", "redistributions in binary form must reproduce the above copyright notice"),
@@ -69,6 +84,26 @@ RULES = (
     ("GPL-3.0-or-later", ("gpl_redistribute", "gpl3_ref", "gpl_later", "no_warranty")),
     ("GPL-3.0-or-later", ("gpl3_ref", "gpl_later")),
     ("GPL-2.0-or-later", ("gpl2_ref", "gpl_later")),
+    ("AGPL-3.0-or-later", ("agpl3_ref", "gpl_later")),
+    ("LGPL-3.0-or-later", ("lgpl3_ref", "gpl_later")),
+    ("LGPL-2.1-or-later", ("lgpl21_ref", "gpl_later")),
+    ("GPL-3.0-or-later", ("gpl3_or_later",)),
+    ("GPL-2.0-or-later", ("gpl2_or_later",)),
+    ("AGPL-3.0-or-later", ("agpl3_or_later",)),
+    ("LGPL-3.0-or-later", ("lgpl3_or_later",)),
+    ("LGPL-2.1-or-later", ("lgpl21_or_later",)),
+    ("GPL-3.0-or-later", ("gpl_redistribute", "version_3", "gpl_later")),
+    ("GPL-2.0-or-later", ("gpl_redistribute", "version_2", "gpl_later")),
+    ("AGPL-3.0-or-later", ("agpl_redistribute", "version_3", "gpl_later")),
+    ("LGPL-3.0-or-later", ("lgpl_redistribute", "version_3", "gpl_later")),
+    ("LGPL-2.1-or-later", ("lgpl_redistribute", "version_21", "gpl_later")),
+    ("LGPL-2.0-or-later", ("lgpl_redistribute", "version_2", "gpl_later")),
+    ("GPL-3.0", ("gpl_redistribute", "version_3")),
+    ("GPL-2.0", ("gpl_redistribute", "version_2")),
+    ("AGPL-3.0", ("agpl_redistribute", "version_3")),
+    ("LGPL-3.0", ("lgpl_redistribute", "version_3")),
+    ("LGPL-2.1", ("lgpl_redistribute", "version_21")),
+    ("LGPL-2.0", ("lgpl_redistribute", "version_2")),
     ("AGPL-3.0", ("agpl3_ref",)),
     ("LGPL-3.0", ("lgpl3_ref",)),
     ("LGPL-2.1", ("lgpl21_ref",)),
@@ -99,17 +134,39 @@ def normalise(text: Column) -> Column:
     return F.regexp_replace(F.lower(text), r"[^a-z0-9.!?;]+", " ")
 
 
+def wordings_pattern(wordings: list[str]) -> str:
+    """A pattern that finds, at every position, the longest wording that starts there.
+
+    Wordings may overlap, so they are looked ahead for. One that lies within a longer one is passed
+    over there: what comes before it and what follows are compared with the longer one's.
+    """
+
+    def alone(wording: str) -> str:
+        inside = [
+            f"(?!(?<={re.escape(longer[: at.start()])}){re.escape(longer[at.start() :])})"
+            for longer in wordings
+            if longer != wording
+            for at in re.finditer(f"(?={re.escape(wording)})", longer)
+            if at.start()
+        ]
+        return "".join(inside) + re.escape(wording)
+
+    return f"(?=({'|'.join(alone(w) for w in sorted(wordings, key=lambda w: (-len(w), w)))}))"
+
+
 def sentence_ids(text: Column) -> Column:
-    """The identifiers of the known sentences of a text, in order."""
+    """The identifiers of the known wordings of a text, in order."""
+    wordings = [wording for _, wording in SENTENCES]
+    # Most sentences hold none: plain search for the wordings that hold no other comes first.
+    least = [w for w in wordings if not any(other != w and other in w for other in wordings)]
+    names = F.create_map(*(F.lit(x) for name, wording in SENTENCES for x in (wording, name)))
 
     def known(sentence: Column) -> Column:
-        found = F.lit(None).cast("string")
-        for name, wording in reversed(SENTENCES):
-            found = F.when(F.contains(sentence, F.lit(wording)), name).otherwise(found)
-        return found
+        found = F.regexp_extract_all(sentence, F.lit(wordings_pattern(wordings)), F.lit(1))
+        holds = reduce(lambda a, b: a | b, (F.contains(sentence, F.lit(w)) for w in least))
+        return F.when(holds, F.transform(found, lambda w: names[w])).otherwise(F.array().cast("array<string>"))
 
-    named = F.transform(F.split(normalise(text), SENTENCE_END), known)
-    return F.filter(named, lambda name: name.isNotNull())
+    return F.flatten(F.transform(F.split(normalise(text), SENTENCE_END), known))
 
 
 def licences_of(ids: Column) -> Column:
