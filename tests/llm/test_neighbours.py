@@ -135,3 +135,13 @@ def test_projections_of_equal_vectors_are_within_rounding():
     apart = ((vectors @ matrix - alone) ** 2).sum(axis=1)
     assert apart.max() > 0
     assert (apart <= neighbours.reach(0.0, chi_square_limit(8, 0.98), neighbours.rounding(vectors, matrix))).all()
+
+
+def test_the_length_is_that_of_the_vectors(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=6).tolist(), None, None) for i in range(1, 101)]
+    short = [(i, rng.normal(size=2).tolist(), None, None) for i in range(200, 400, 10)]  # most of the queries
+    got, expected = found(spark, rows + short, 10, 5), brute(rows, 10, 5)
+    assert set(got) == set(expected) == set(range(10, 101, 10))
+    assert all(len(v) == 5 for v in got.values())
+    check_scores(rows, got)

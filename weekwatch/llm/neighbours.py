@@ -142,15 +142,19 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """``vec_id, vector`` in double precision, of the rows that take part.
 
     Vectors that are null, empty or zero, or hold a null or a value that is not finite, take no
-    part; neither do rows without an id, and vectors of another length than the most frequent one.
+    part; neither do rows without an id.
     """
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     rows = vectors.select(F.col(id_col).alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vector"))
-    rows = rows.where(
+    return rows.where(
         F.col("vec_id").isNotNull() & F.forall("vector", finite) & F.exists("vector", lambda x: x != 0)
     )
-    lengths = rows.groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    return rows.where(F.size("vector") == (lengths["n"] if lengths else 0))
+
+
+def usual_length(rows: DataFrame) -> int:
+    """The most frequent length of the vectors, the smallest of equally frequent ones; 0 without rows."""
+    found = rows.groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count"), "n").first()
+    return found["n"] if found else 0
 
 
 def nearest(
@@ -165,12 +169,15 @@ def nearest(
 
     ``queries`` has the same columns as ``vectors``; a row with the query's own id is no answer.
     The score is the Euclidean distance of the whole vectors; equal ones go by id. Rows repeated
-    with the same id and vector count once. With fewer candidates than ``k`` all come out.
+    with the same id and vector count once. With fewer candidates than ``k`` all come out. Vectors
+    and queries of another length than the most frequent one of the vectors take no part.
 
     Equal vectors are one point with its ``k + 1`` smallest ids, as no other of them can be an
     answer; so are equal queries. A point is compared with batches of queries in its block.
     """
     rows = usable(vectors, id_col, vector_col)
+    length = usual_length(rows)
+    rows = rows.where(F.size("vector") == length)
     smallest = Window.partitionBy("vector").orderBy("vec_id")
     points = (
         rows.withColumn("at", F.dense_rank().over(smallest))
@@ -179,12 +186,11 @@ def nearest(
         .agg(F.sort_array(F.collect_set("vec_id")).alias("ids"))
     )
     points = store(points, "points")
-    asked = usable(queries, id_col, vector_col).distinct()
+    asked = usable(queries, id_col, vector_col).where(F.size("vector") == length).distinct()
     distinct = store(asked.select("vector").distinct().withColumn("q", F.monotonically_increasing_id()), "queries")
 
     sample = points.select("vector").orderBy(F.xxhash64("vector")).limit(SAMPLE_ROWS).toPandas()["vector"]
-    length = len(sample.iloc[0]) if len(sample) else 1
-    matrix = directions(length)
+    matrix = directions(max(1, length))
     n, n_queries = points.count(), distinct.count()
     depth = max(0, math.ceil(math.log2(max(1, min(n / BLOCK_ROWS, len(sample) / REGION_SAMPLE)))))
     cuts = top_cuts(np.stack(sample.to_list()) @ matrix if len(sample) else np.zeros((0, DIMENSIONS)), depth)
