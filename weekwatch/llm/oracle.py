@@ -156,3 +156,12 @@ from k
 SQL["op6_secrets"] = secrets_sql(secrets.RULES, secrets.BASE)
 SQL["op2_sharding"] = sharding_sql(list(sharding.SHARDS), sharding.table_size(len(sharding.SHARDS)))
 SQL["op10_licenses"] = licences_sql(licenses.SENTENCES, licenses.RULES)
+SQL["op12_warc"] = """
+with p as (select page_id, coalesce(html, '') as html from pages),
+r as (select page_id, strlen(html) as payload_bytes, sha1(html) as payload_digest, max(page_id) over (partition by html) as top from p),
+s as (select *, payload_bytes >= 1000 and page_id < top as again from r)
+select page_id, payload_bytes, payload_digest,
+       case when again then 'revisit' else 'response' end as record_type,
+       case when again then top end as refers_to
+from s
+"""

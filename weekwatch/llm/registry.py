@@ -2,14 +2,31 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from weekwatch.llm import exact_dedup, licenses, mixing, near_dedup, neighbours, oracle, packing, quality, secrets, sharding, toxicity
+from weekwatch.llm import (
+    alignment,
+    conversations,
+    exact_dedup,
+    licenses,
+    mixing,
+    near_dedup,
+    neighbours,
+    oracle,
+    packing,
+    quality,
+    secrets,
+    sharding,
+    toxicity,
+    warc,
+)
 from weekwatch.llm.text import table
+from weekwatch.sources.scratch import scratch_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -64,8 +81,26 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *(F.array_join(c, ",").alias(c) for c in ("sentence_ids", "licences")))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.cross_tokenizer(table(spark, sf_dir, "documents"))
+
+
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{scratch_dir(spark)}/warc-{uuid.uuid4().hex}"
+    warc.write_warc(table(spark, sf_dir, "pages"), path)
+    return warc.page_records(warc.read_warc(spark, path))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = conversations.damaged(table(spark, sf_dir, "conversations"))
+    return conversations.report(conversations.repair(rows))
+
+
 def queries() -> dict[str, Query]:
-    every = [op1_toxicity, op2_sharding, op3_quality, op4_packing, op5_mixing, op6_secrets, op7_exact_dedup, op8_neighbours, op9_ngram_join, op10_licenses]
+    every = [
+        op1_toxicity, op2_sharding, op3_quality, op4_packing, op5_mixing, op6_secrets, op7_exact_dedup, op8_neighbours,
+        op9_ngram_join, op10_licenses, op11_alignment, op12_warc, op13_conversation_repair,
+    ]
     return {f.__name__: f for f in every} | {"pipeline": corpus_pipeline.run}
 
 
