@@ -6,10 +6,13 @@ import datetime
 import math
 from collections import Counter
 from pathlib import Path
+from typing import TYPE_CHECKING
 
-import duckdb
 from pyspark.sql import DataFrame
 
+if TYPE_CHECKING:  # a run without SQL needs no database
+    import duckdb
+
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings "
     "pages benchmark labels conversations"
@@ -17,6 +20,8 @@ TABLES = (
 
 
 def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
+    import duckdb
+
     con = duckdb.connect()
     for table in TABLES:
         if Path(f"{sf_dir}/{table}.parquet").exists():
