@@ -10,7 +10,8 @@ from typing import Protocol
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from weekwatch.sources.tables import table_complete, write_parquet
+from weekwatch.sources.publish import discard, publish, recover, stage
+from weekwatch.sources.tables import table_complete
 
 STATUS_SCHEMA = T.StructType(
     [
@@ -41,18 +42,22 @@ def _copy(
     path = f"{out_dir}/{table}.parquet"
     start = time.perf_counter()
     try:
+        recover(spark, path)
         if not force and table_complete(spark, path):
             return table, "skipped", None, None, None, None, None
         expected = source.count(table)
-        write_parquet(source.read(table), path)
         # Counted from the footers of what was written.
-        rows = spark.read.parquet(path).count()
+        rows = spark.read.parquet(stage(source.read(table), path)).count()
+        if rows == expected:
+            publish(spark, path)
         seconds = time.perf_counter() - start
         wrong = None if rows == expected else f"{rows} rows written, {expected} in the source"
         return table, "error" if wrong else "written", rows, expected, seconds, rows / seconds, wrong
     except Exception as error:  # one bad table must not stop the others
         seconds = time.perf_counter() - start
         return table, "error", None, None, seconds, None, f"{type(error).__name__}: {error}"
+    finally:
+        discard(spark, path)
 
 
 def snapshot_tables(
@@ -66,10 +71,10 @@ def snapshot_tables(
     """Copy whole tables to ``<out_dir>/<table>.parquet`` and report on each.
 
     Columns: ``table, status, rows`` written, ``source_rows`` counted there before,
-    ``seconds, rows_per_second, error``. A copy with other rows than the source is an error.
-    A table that is already there is skipped unless ``force``; a copy that did not
-    finish is not there. A failing table is reported and the rest go on. Tables
-    are independent jobs, ``jobs`` of them at a time.
+    ``seconds, rows_per_second, error``. A copy is written aside, counted, and put in its place
+    only if it has as many rows as the source; else it is an error, and what was there before, if
+    anything, is there still. A table that is already there is skipped unless ``force``. A failing
+    table is reported and the rest go on. Tables are independent jobs, ``jobs`` of them at a time.
     """
     names = list(source.tables() if tables is None else tables)
     with ThreadPoolExecutor(max_workers=max(1, jobs)) as pool:
