@@ -276,6 +276,38 @@ _SHARE = "count * 100 / n_rows as pct"
 _STREAMED_WEEK = "cast(date_trunc('week', ts) as date)"
 
 
+def _raw(rows: str, keys: str, group: str, order: str, metrics: list[str], suffixes: list[str]) -> str:
+    """The detectors on the rows of a group, whatever its length."""
+    ranked = ", ".join(f"row_number() over (partition by {group} order by {m}) as {m}_rank" for m in metrics)
+    places = ", ".join(
+        f"max(case when {m}_rank = floor((n - 1) * {q} + 0.5) + 1 then {m} end) over g as {m}_{name}"
+        for m in metrics for name, q in (("q1", 0.25), ("q3", 0.75))
+    )
+    medians = ", ".join(f"median({m}) over g as {m}_median" for m in metrics)
+    rolled = ", ".join(f"avg({m}) over r as {m}_avg, stddev_samp({m}) over r as {m}_sd, count({m}) over r as {m}_n" for m in metrics)
+    spreads = ", ".join(f"median(abs({m} - {m}_median)) over (partition by {group}) as {m}_mad" for m in metrics)
+    columns = []
+    for m in metrics:
+        low, high = (f"({m}_q{i} {sign} cast(1.5 as double) * ({m}_q3 - {m}_q1))" for i, sign in ((1, "-"), (3, "+")))
+        mad = f"(cast(0.6745 as double) * ({m} - {m}_median) / nullif({m}_mad, 0))"
+        roll = f"(case when {m}_n >= 6 then ({m} - {m}_avg) / nullif({m}_sd, 0) end)"
+        every = {
+            "iqr_low": low, "iqr_high": high, "is_iqr": f"({m} < {low} or {m} > {high})",
+            "mad_score": _positive_zero(f"round({mad}, 6)"), "is_mad": f"(abs({mad}) > 3.5)",
+            "roll_z": _positive_zero(f"round({roll}, 6)"), "is_roll": f"(abs({roll}) > 3.0)",
+        }
+        columns += [f"{every[x]} as {m}__{x}" for x in suffixes]
+    return f"""with ranked as (select *, count(*) over (partition by {group}) as n, {ranked} from ({rows}) as raw_rows),
+measured as (select *, {places}, {medians}, {rolled} from ranked
+  window g as (partition by {group}), r as (partition by {group} order by {order} rows between 6 preceding and 6 following)),
+spread as (select *, {spreads} from measured)
+select {keys}, {', '.join(columns)} from spread"""
+
+
+_LINES = ("select * from lineitem", "l_orderkey, l_linenumber, l_returnflag", "l_returnflag", "l_shipdate, l_orderkey, l_linenumber, l_quantity, l_extendedprice", ["l_quantity", "l_extendedprice"])
+_EVENT_DAYS = "select event_type, cast(ts as date) as day, count(*) as n from events group by all"
+
+
 # The dates in the results, which both sides give as text.
 _SPAN = ("date_min", "date_max")
 _DATES: dict[str, tuple[str, ...]] = {
@@ -290,6 +322,8 @@ _DATES: dict[str, tuple[str, ...]] = {
         ).split(),
         ("week_start",),
     ),
+    "stream_dedup": ("week_start",),
+    "stream_live_series": ("day",),
 }
 
 
@@ -420,6 +454,21 @@ def _sqls() -> dict[str, str]:
         "greatest(cases_total, coalesce(hosp_total, 0)) as cases_total, "
         f"{', '.join(CHECKS)}, _chk_logic__deaths_gt_hosp as flag_death_no_hosp, "
         "_chk_logic__hosp_gt_cases as flag_hosp_corrected from flagged",
+        "outlier_iqr_raw": _raw(*_LINES, ["iqr_low", "iqr_high", "is_iqr"]),
+        "outlier_mad_raw": _raw(*_LINES, ["mad_score", "is_mad"]),
+        "outlier_rolling_raw": _raw(*_LINES, ["roll_z", "is_roll"]),
+        "stream_live_series": _raw(
+            _EVENT_DAYS.replace("as n ", "as m "), "event_type, day, m as n", "event_type", "day", ["m"],
+            ["iqr_low", "iqr_high", "is_iqr", "mad_score", "is_mad", "roll_z", "is_roll"],
+        ).replace("as m__", "as n__"),
+        "stream_dedup": f"with {DEDUP_PROV} select {clean_columns} from dedup",
+        "snapshot_rerun": "with sizes as (select (select count(*) from customer) as c, (select count(*) from orders) as o, "
+        "(select count(*) from customer where c_custkey % 10 <> 3) as cs, (select count(*) from orders where o_orderkey % 10 <> 3) as os) "
+        "select 'first' as step, 'customer' as \"table\", 'written' as status, c as rows, c as source_rows, c as rows_there from sizes "
+        "union all select 'short', 'customer', 'error', cs, c, c from sizes "
+        "union all select 'short', 'orders', 'error', os, o, null from sizes "
+        "union all select 'again', 'customer', 'skipped', null, null, c from sizes "
+        "union all select 'again', 'orders', 'written', o, o, o from sizes",
         "stream_event_repeats": "select event_id, user_id, event_type from events",
         "stream_event_weeks": f"select event_type, {_STREAMED_WEEK} as week_start, count(*) as n "
         f"from events where {_STREAMED_WEEK} + interval 8 day <= (select max(ts) from events) "

@@ -17,7 +17,7 @@ from fixtures.weekly import (
     weekly_prov,
 )
 from weekwatch.functions import any_true
-from weekwatch.operators import checks, cleaning, iforest, outlier_reports, profile, silence
+from weekwatch.operators import checks, cleaning, iforest, outlier_reports, profile, raw_outliers, silence
 from weekwatch.operators import outliers as detectors
 from weekwatch.plans.common import each_table
 from weekwatch.plans.detection import flag_all, series_of
@@ -25,7 +25,9 @@ from weekwatch.plans.validation import validate
 from weekwatch.sources.parquet_source import ParquetSource
 from weekwatch.sources.scratch import scratch_dir, store
 from weekwatch.sources.snapshot import snapshot_tables
-from weekwatch.sources.tables import conform, read_csv, write_csv
+from weekwatch.sources.tables import conform, path_exists, read_csv, write_csv
+from weekwatch.sources.upsert import UpsertTable
+from weekwatch.streaming import stored
 from weekwatch.streaming import weekly as streaming
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -302,6 +304,95 @@ class _Unreadable(ParquetSource):
         return super().count(table)
 
 
+class _Short(ParquetSource):
+    """The given tables, with rows lost on the way while ``short``."""
+
+    short = True
+
+    def read(self, table: str) -> DataFrame:
+        rows = super().read(table)
+        return rows.where(F.col(rows.columns[0]) % 10 != 3) if self.short else rows
+
+
+def snapshot_rerun(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Copies that come short, of a table that is there and of one that is not, and what a rerun makes of them."""
+    out, source = _new_path(spark, "snapshot"), _Short(spark, sf_dir)
+    steps = []
+
+    def step(name: str, tables: list[str], short: bool, force: bool = False) -> None:
+        source.short = short
+        done = {r["table"]: r for r in snapshot_tables(spark, source, out, tables, force).collect()}
+        for table in tables:
+            path, r = f"{out}/{table}.parquet", done[table]
+            there = spark.read.parquet(path).count() if path_exists(spark, path) else None
+            steps.append((name, table, r["status"], r["rows"], r["source_rows"], there))
+
+    step("first", ["customer"], short=False)
+    step("short", ["customer", "orders"], short=True, force=True)
+    step("again", ["customer", "orders"], short=False)
+    return spark.createDataFrame(steps, "step string, table string, status string, rows bigint, source_rows bigint, rows_there bigint")
+
+
+def _arriving(spark: SparkSession, rows: DataFrame, files: int) -> DataFrame:
+    """The rows as a stream of several batches, in any order."""
+    path = _new_path(spark, "arriving")
+    rows.repartition(files).write.parquet(path)
+    return streaming.read_files(spark, path, spark.read.parquet(path).schema, maxFilesPerTrigger=1)
+
+
+EVENT_METRICS = ["n"]
+EVENT_FLAGS = ["iqr_low", "iqr_high", "is_iqr", "mad_score", "is_mad", "roll_z", "is_roll"]
+EVENT_FLAG_SCHEMA = (
+    "event_type string, day date, n bigint, n__iqr_low double, n__iqr_high double, n__is_iqr boolean, "
+    "n__mad_score double, n__is_mad boolean, n__roll_z double, n__is_roll boolean"
+)
+
+
+def _flag_events(series: DataFrame) -> DataFrame:
+    flagged = detectors.flag_iqr(series, ["event_type"], EVENT_METRICS)
+    flagged = detectors.flag_mad(flagged, ["event_type"], EVENT_METRICS)
+    return detectors.flag_rolling_z(flagged, ["event_type"], EVENT_METRICS, "day")
+
+
+def stream_live_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily counts per event type kept up by a stream, and the flags that follow them; compacted on the way."""
+    events = spark.read.schema(EVENT_SCHEMA).parquet(f"{sf_dir}/events.parquet")
+    stream = _arriving(spark, events.select("event_type", F.to_date("ts").alias("day"), F.lit(1).alias("n")), 4)
+    live = stored.LiveSeries(spark, _new_path(spark, "live"), "event_type string", "day", EVENT_METRICS, _flag_events, EVENT_FLAG_SCHEMA)
+    stored.keep_up(stream, live.add, _new_path(spark, "live-state"))
+    live.compact()
+    return _rounded(live.flags(), "n__mad_score", "n__roll_z")
+
+
+def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The weekly table, each row of it repeated, arriving in several batches in any order."""
+    spec, rows = WEEKLY_PROV, _prov(spark, sf_dir)
+    stream = stored.deduplicate_stream(
+        _arriving(spark, rows, 3), spec.natural_key, spec.metrics, spec.passthrough, spec.tie_break, "week_start", "36500 days"
+    )
+    table = UpsertTable(spark, _new_path(spark, "kept"), stream.schema, spec.natural_key)
+    stored.keep_up(stream, table.put, _new_path(spark, "kept-state"), "update", fail_on_late=True)
+    table.compact()
+    return table.latest()
+
+
+LINE_GROUP, LINE_KEY = ["l_returnflag"], ["l_orderkey", "l_linenumber"]
+LINE_METRICS = ["l_quantity", "l_extendedprice"]
+
+
+def _on_lines(flag: Callable[[DataFrame], DataFrame], *suffixes: str) -> Query:
+    """A detector on all lines of all orders, in groups that each hold a third of them."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+        added = [f"{m}__{s}" for m in LINE_METRICS for s in suffixes]
+        flagged = flag(lines.select(*LINE_KEY, *LINE_GROUP, "l_shipdate", *LINE_METRICS))
+        scores = [c for c in added if c.endswith(("_score", "_z"))]
+        return _rounded(flagged.select(*LINE_KEY, *LINE_GROUP, *added), *scores)
+
+    return run
+
+
 def missing_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A job over two tables of which one is not there."""
     folder = _new_path(spark, "raw")
@@ -433,6 +524,20 @@ def _queries() -> dict[str, Query]:
         "csv_roundtrip": csv_roundtrip,
         "parquet_roundtrip": parquet_roundtrip,
         "validation_overview": _on_prov(lambda df: validate(df, spec).overview),
+        "snapshot_rerun": snapshot_rerun,
+        "outlier_iqr_raw": _on_lines(
+            lambda df: raw_outliers.flag_iqr(df, LINE_GROUP, LINE_METRICS), "iqr_low", "iqr_high", "is_iqr"
+        ),
+        "outlier_mad_raw": _on_lines(
+            lambda df: raw_outliers.flag_mad(df, LINE_GROUP, LINE_METRICS), "mad_score", "is_mad"
+        ),
+        "outlier_rolling_raw": _on_lines(
+            lambda df: raw_outliers.flag_rolling_z(df, LINE_GROUP, LINE_METRICS, ["l_shipdate", *LINE_KEY, *LINE_METRICS], bucket_rows=5_000),
+            "roll_z",
+            "is_roll",
+        ),
+        "stream_live_series": stream_live_series,
+        "stream_dedup": stream_dedup,
         "stream_row_checks": stream_row_checks,
         "stream_event_repeats": stream_event_repeats,
         "stream_event_weeks": stream_event_weeks,

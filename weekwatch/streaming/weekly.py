@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
 
 from weekwatch.operators.checks import add_flags
 from weekwatch.operators.cleaning import clamp_hosp_gt_cases, flag_deaths_gt_hosp
@@ -90,6 +91,11 @@ def run_available(
         .trigger(availableNow=True)
         .start()
     )
+    return finish(query, fail_on_late)
+
+
+def finish(query: StreamingQuery, fail_on_late: bool = False) -> int:
+    """Wait for a query that ends by itself; how many rows it passed over as too late."""
     late: dict[int, int] = {}
     ended = False
     while not ended:
