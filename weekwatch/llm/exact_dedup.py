@@ -15,13 +15,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weekwatch.llm.text import SPACE, whole
+from weekwatch.functions.ordered import attach
+from weekwatch.llm.text import SPACE, rows_that_stay, whole
 from weekwatch.sources.scratch import store
 
 # At most so many fingerprints are held by a task before it hands on its filters.
 BUFFERED = 1_000_000
 # About so many rows meet in the merge of one range.
 RANGE_ROWS = 250_000
+# At most so many fingerprints or classes are broadcast; beyond them rows are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
 
 
 def normalised(text: str | Column) -> Column:
@@ -75,13 +78,24 @@ def read_filter(f: dict) -> tuple[np.ndarray, np.ndarray]:
     return prints, counts
 
 
+def merge_sorted(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Two sorted lists of fingerprints with counts as one; equal fingerprints add up."""
+    (prints, counts), (others, more) = (a, b) if len(a[0]) >= len(b[0]) else (b, a)
+    at = np.searchsorted(prints, others)
+    known = at < len(prints)
+    known[known] = prints[at[known]] == others[known]
+    counts = counts.copy()
+    counts[at[known]] += more[known]
+    return np.insert(prints, at[~known], others[~known]), np.insert(counts, at[~known], more[~known])
+
+
 def merge_filters(filters: list[dict]) -> tuple[np.ndarray, np.ndarray]:
-    """The fingerprints of all filters in order, with their counts added up."""
+    """The fingerprints of all filters in order, with their counts added up, merged two by two."""
     read = [read_filter(f) for f in filters]
-    prints, where = np.unique(np.concatenate([p for p, _ in read]), return_inverse=True)
-    counts = np.zeros(len(prints), np.int64)
-    np.add.at(counts, where, np.concatenate([c for _, c in read]))
-    return prints, counts
+    while len(read) > 1:
+        pairs = [merge_sorted(*read[i : i + 2]) for i in range(0, len(read) - 1, 2)]
+        read = pairs + read[len(read) // 2 * 2 :]
+    return read[0]
 
 
 FILTER_SCHEMA = (
@@ -144,8 +158,9 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     texts are empty texts. One row comes out per row; an empty table gives none. Other columns of
     ``docs`` are not read, whatever their names.
 
-    The narrow table of ids and fingerprints is written once to the shared folder; whole texts are
-    moved only to compare those whose fingerprint occurs more than once.
+    The narrow table of ids and fingerprints is written once to the shared folder. Whole texts are moved
+    only where their fingerprint occurs more than once, which each task tells by a broadcast of those
+    fingerprints, while they are at most ``BROADCAST_ROWS``; beyond, texts meet them by a shuffle.
     """
     texts = docs.select(F.col(id_col).alias("doc_id"), normalised(text_col).alias("norm"))
     texts = texts.withColumn("print", F.xxhash64("norm"))
@@ -156,24 +171,26 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         "prints",
     )
     range_bits = max(4, math.ceil(math.log2(max(1, narrow.count() / RANGE_ROWS))))
-    repeated = repeated_prints(narrow.select("print"), range_bits).select("print")
+    repeated = store(repeated_prints(narrow.select("print"), range_bits).select("print"), "repeated")
 
     # Grouping by the text itself compares the bytes; copies within a task collapse before the shuffle.
     equal = (
-        texts.join(repeated, "print", "left_semi")
+        texts.join(_small(repeated), "print", "left_semi")
         .groupBy("norm")
         .agg(F.count("*").alias("copies"), F.any_value("print").alias("print"))
         .where("copies > 1")
         .select("print", F.sha2("norm", 256).alias("sha"))
     )
+    equal = store(equal, "equal")
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
     classes = (
-        narrow.join(equal, ["print", "sha"], "left_semi")
+        narrow.join(_small(equal), ["print", "sha"], "left_semi")
         .groupBy("print", "sha")
         .agg(F.min(order).alias("first"), F.count("*").alias("size"))
     )
+    classes = store(classes, "classes")
     alone = F.col("size").isNull()
-    return narrow.join(classes, ["print", "sha"], "left").select(
+    return attach(narrow, classes, ["print", "sha"]).select(
         "doc_id",
         F.when(alone, F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("keep_id"),
         F.coalesce("size", F.lit(1)).cast("bigint").alias("group_size"),
@@ -182,15 +199,16 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
 
 
+def _small(table: DataFrame) -> DataFrame:
+    """The stored table, broadcast if it is small enough."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
+    """The rows of ``docs`` that stay, with all their columns.
+
+    Rows repeated with the same id and text are one; of those with other columns the same one stays in every run.
+    """
     groups = exact_groups(docs, id_col, text_col)
-    kept = groups.where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
-    packed = docs.select(
-        F.struct("*").alias("doc"),
-        F.col(id_col).alias("id"),
-        F.sha2(normalised(text_col), 256).alias("sha"),
-    )
-    # A row repeated with the same id and text joins the same line; one of them is enough.
-    same = F.col("id").eqNullSafe(F.col("__id")) & (F.col("sha") == F.col("__sha"))
-    return packed.join(kept.hint("merge"), same, "left_semi").dropDuplicates(["id", "sha"]).select("doc.*")
+    keys = {"doc_id": F.col(id_col), "text_sha256": F.sha2(normalised(text_col), 256)}
+    return rows_that_stay(docs, groups, keys)
