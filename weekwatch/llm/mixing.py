@@ -2,7 +2,8 @@
 
 A document's place is a fixed hash of its id and text. Per source, tokens are added up by hash
 bucket; the bucket in which the budget runs out is divided again by the next bits of the hash, and
-so on. What lies below the final threshold is taken once more. Nothing is sorted but the buckets.
+so on. What lies below the final threshold is taken once more. Nothing is sorted but the buckets, and
+rows are compared with their source's threshold where they are.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weekwatch.functions.ordered import attach
 from weekwatch.llm.text import WORD, unit_hash, whole
 from weekwatch.sources.scratch import store
 
@@ -31,7 +33,7 @@ def source_targets(
     """One row per ``source``: ``source_size``, its ``target``, and what of that whole repeats leave.
 
     ``sizes`` has ``source`` and ``size``. Sources in order of code points, null last, get the
-    weights in turn. They share ``share`` (a fraction) of all sizes by weight; a target stops at
+    weights in turn. All sources stand in one ordered window, so there may be as many as a task sorts. They share ``share`` (a fraction) of all sizes by weight; a target stops at
     ``cap`` times its source, and the excess goes to the others by weight until none is above: with
     the sources in the order of their room per weight, those that stop come first.
     """
@@ -67,13 +69,13 @@ def source_targets(
     )
 
 
-def bucket_plan(rows: DataFrame, targets: DataFrame) -> DataFrame:
-    """What to take, per ``source`` and first-level ``bucket``.
+def source_plan(rows: DataFrame, targets: DataFrame) -> DataFrame:
+    """What to take, one row per ``source``.
 
-    ``rows`` has ``source, size, h``. A row of a bucket is taken ``repeats`` times, and once more
-    when its ``h`` is at most ``last``. Only the boundary bucket of a source is looked at again.
+    ``rows`` has ``source, size, h``. A row is taken ``repeats`` times, and once more when its ``h``
+    is at most ``last``. Only the boundary bucket of a source is looked at again.
     """
-    bounds, first = None, None
+    bounds = None
     for level in range(LEVELS):
         shift = LEVEL_BITS * (LEVELS - 1 - level)
         cells = rows.withColumn("bucket", F.shiftright("h", shift))
@@ -88,8 +90,6 @@ def bucket_plan(rows: DataFrame, targets: DataFrame) -> DataFrame:
         cells = cells.groupBy("source", "bucket").agg(F.sum("size").alias("size"), F.max("below").alias("below"))
         upto = Window.partitionBy("source").orderBy("bucket")
         cells = cells.withColumn("upto", F.col("below") + F.sum("size").over(upto))
-        if first is None:
-            first = cells.select("source", "bucket")
         goal = targets.select(F.col("source").alias("s"), "rest")
         bounds = (
             cells.join(goal, cells["source"].eqNullSafe(goal["s"]))
@@ -102,33 +102,20 @@ def bucket_plan(rows: DataFrame, targets: DataFrame) -> DataFrame:
     last = bounds.select(
         F.col("source").alias("s"), F.when(nearer, F.col("bucket")).otherwise(F.col("bucket") - 1).alias("last")
     )
-    goal = targets.withColumnRenamed("source", "t")
-    return (
-        first.join(goal, first["source"].eqNullSafe(goal["t"]))
-        .join(last, F.col("source").eqNullSafe(F.col("s")), "left")
-        .select(
-            "source", "bucket", "source_size", "target", F.col("repeats").cast("bigint").alias("repeats"),
-            F.coalesce("last", F.lit(-1)).cast("bigint").alias("last"),
-        )
+    return targets.join(last, F.col("source").eqNullSafe(F.col("s")), "left").select(
+        "source", "source_size", "target", F.col("repeats").cast("bigint").alias("repeats"),
+        F.coalesce("last", F.lit(-1)).cast("bigint").alias("last"),
     )
 
 
 def _times(rows: DataFrame, plan: DataFrame, keep: Sequence[str]) -> DataFrame:
-    """Rows with ``source`` and ``h`` and how often each is taken."""
-    known = plan.select(*(F.col(c).alias(f"p_{c}") for c in plan.columns))
-    first = F.shiftright("h", LEVEL_BITS * (LEVELS - 1))
-    same = F.col("source").eqNullSafe(F.col("p_source")) & (F.col("first") == F.col("p_bucket"))
-    times = F.col("p_repeats") + F.when(F.col("h") <= F.col("p_last"), 1).otherwise(0)
-    return (
-        rows.withColumn("first", first)
-        .join(known, same)
-        .select(
-            *keep,
-            F.col("p_source_size").alias("source_size"),
-            F.col("p_target").alias("target"),
-            times.cast("bigint").alias("times"),
-        )
-    )
+    """Rows with ``source`` and ``h`` and how often each is taken: a comparison with their source's threshold.
+
+    The plan is broadcast, unless there are very many sources; then rows meet it by a shuffle, spread by salts.
+    """
+    known = attach(rows, store(plan, "plan"), ["source"])
+    times = F.col("repeats") + F.when(F.col("h") <= F.col("last"), 1).otherwise(0)
+    return known.select(*keep, "source_size", "target", times.cast("bigint").alias("times"))
 
 
 def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
@@ -151,7 +138,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     rows = _sized(docs, id_col, text_col, source_col)
     targets = store(source_targets(rows, **shares), "targets")
     taken = (F.col("size") * F.col("times")).alias("taken")
-    return _times(rows, bucket_plan(rows, targets), ["doc_id", "source", "size"]).select("*", taken)
+    return _times(rows, source_plan(rows, targets), ["doc_id", "source", "size"]).select("*", taken)
 
 
 def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **shares) -> DataFrame:
@@ -163,7 +150,7 @@ def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
     times = F.col("times").cast("int")
     return (
-        _times(packed, bucket_plan(rows, targets), ["doc"])
+        _times(packed, source_plan(rows, targets), ["doc"])
         .where("times > 0")
         .select("doc", F.explode(F.array_repeat(F.lit(0), times)).alias("copy"))
         .select("doc.*")
