@@ -108,10 +108,13 @@ def trigram_query(pattern: str) -> list[frozenset[str]]:
 
 
 def postings(docs: DataFrame, trigrams: Sequence[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``trigram, doc_id``: which documents hold which of the trigrams, in lower case."""
+    """``trigram, doc_id``: which documents hold which of the trigrams, in lower case; null where none.
+
+    The outer form keeps Spark from testing first, with all trigrams over again, whether there are any.
+    """
     low = docs.select(F.col(id_col).alias("doc_id"), F.lower(whole(text_col)).alias("low"))
     held = F.array_compact(F.array(*(F.when(F.contains("low", F.lit(t)), F.lit(t)) for t in trigrams)))
-    return low.select("doc_id", held.alias("held")).select("doc_id", F.explode("held").alias("trigram"))
+    return low.select("doc_id", held.alias("held")).select("doc_id", F.explode_outer("held").alias("trigram"))
 
 
 def candidates(index: DataFrame, rules: Sequence[Rule]) -> DataFrame:
@@ -170,7 +173,27 @@ def spans_of(text: Column, rule: Rule, number: int) -> Column:
             end.alias("at"), F.when(real, F.array_append(state["spans"], span)).otherwise(state["spans"]).alias("spans")
         )
 
-    found = F.aggregate(parts, F.struct(F.lit(0).alias("at"), none.alias("spans")), step)["spans"]
+    def advance(at: Column, part: Column) -> Column:
+        return at + F.length(part["before"]) + F.coalesce(F.length(part["match"]), F.lit(0))
+
+    def in_blocks(every: Column) -> Column:
+        # A list that grows is copied as it grows. So blocks of about the root of their number are walked
+        # one by one, each from where the ones before it end.
+        root = F.ceil(F.sqrt(F.size(every))).cast("int")
+        blocks = F.transform(
+            F.sequence(F.lit(0), F.size(every) - 1, root), lambda i: F.slice(every, i + 1, root)
+        )
+        begun = F.aggregate(
+            blocks, F.array(F.lit(0)),
+            lambda ends, block: F.array_append(ends, F.aggregate(block, F.element_at(ends, -1), advance)),
+        )
+        walked = lambda pair: F.aggregate(
+            pair["block"], F.struct(pair["at"].alias("at"), none.alias("spans")), step
+        )["spans"]
+        return F.flatten(F.transform(F.arrays_zip(blocks.alias("block"), F.slice(begun, 1, F.size(begun) - 1).alias("at")), walked))
+
+    # A list of one, so that the parts are found once and bound to a name.
+    found = F.transform(F.array(parts), in_blocks)[0]
     return F.when(F.rlike(text, pattern), found).otherwise(none)
 
 
