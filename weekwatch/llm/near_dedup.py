@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weekwatch.llm.components import components
-from weekwatch.llm.text import whole
+from weekwatch.llm.text import rows_that_stay, whole
 from weekwatch.sources.scratch import store
 
 # A cluster with more shingles is joined in pairs of blocks of about this size.
@@ -413,11 +413,7 @@ def _joined(
 def keep_one(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each group of near copies, with all its columns; rows without words all stay.
 
-    Rows repeated with the same id and text count once.
+    Rows repeated with the same id and text are one; of those with other columns the same one stays in every run.
     """
-    groups = near_groups(docs, words, num, den, id_col, text_col).where("kept")
-    kept = groups.select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"))
-    th = F.xxhash64(F.col(id_col), whole(text_col)).alias("th")
-    packed = docs.select(F.struct("*").alias("doc"), F.col(id_col).alias("id"), th)
-    same = F.col("id").eqNullSafe(F.col("__id")) & (F.col("th") == F.col("__th"))
-    return packed.join(kept.hint("merge"), same, "left_semi").dropDuplicates(["id", "th"]).select("doc.*")
+    groups = near_groups(docs, words, num, den, id_col, text_col)
+    return rows_that_stay(docs, groups, {"doc_id": F.col(id_col), "th": F.xxhash64(F.col(id_col), whole(text_col))})
