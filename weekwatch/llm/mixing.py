@@ -133,7 +133,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
     A null text has no words, a null source is a source. A row is taken whole, ``times`` times.
     Rows that repeat with the same id and text share a place, so all of them are in or out. Reruns
-    agree, as the hash is fixed. An empty table gives an empty mix.
+    agree, as the hash is fixed. An empty table gives an empty mix. Texts of any length are counted
+    whole, and columns besides the three are not read.
     """
     rows = _sized(docs, id_col, text_col, source_col)
     targets = store(source_targets(rows, **shares), "targets")

@@ -167,7 +167,8 @@ def fit(
 def score(docs: DataFrame, model: RuleModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, held_out, score`` of every row: null and empty texts too, with all statistics 0.
 
-    Rows are never moved or joined, so repeated rows and ids stay as they are.
+    Rows are never moved or joined, so repeated rows and ids stay as they are. Texts of any length are
+    measured whole, an empty table gives no rows, and other columns are not read.
     """
     numbers = with_statistics(docs, text_col, F.col(id_col).alias("doc_id"))
     return numbers.select("doc_id", held_out("doc_id").alias("held_out"), model.score().alias("score"))

@@ -205,6 +205,7 @@ def find_secrets(
     A span has ``start``, ``number`` of the rule, ``end`` (exclusive) and ``kind``, in code points.
     Null and empty texts hold none; one row comes out per row, repeated rows included. Null ids are
     one id for the index, which only adds candidates. Positions cover whole texts of any length.
+    An empty table gives no rows, and other columns are not read.
     """
     queries = {rule.kind: trigram_query(rule.pattern) for rule in rules}
     trigrams = sorted({t for clauses in queries.values() for clause in clauses for t in clause})
