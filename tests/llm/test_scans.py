@@ -112,6 +112,17 @@ MIT = ("Permission is hereby granted, free of charge, to any person obtaining a
        'files (the "Software"), to deal in the Software without restriction, subject to the following conditions:\n\nThe above '
        "copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.\n\n"
        'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED. IN NO EVENT SHALL THE AUTHORS BE LIABLE.')
+BSD = ("Copyright (c) 2020, A. Person\nAll rights reserved.\n\nRedistribution and use in source and binary forms, with or without\n"
+       "modification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain "
+       "the above copyright notice, this\n   list of conditions and the following disclaimer.\n\n2. Redistributions in binary form must "
+       "reproduce the above copyright notice,\n   this list of conditions and the following disclaimer in the documentation\n   and/or "
+       "other materials provided with the distribution.\n\n{}THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "
+       '"AS IS"\nAND ANY EXPRESS OR IMPLIED WARRANTIES ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER BE LIABLE.')
+ENDORSE = ("3. Neither the name of the copyright holder nor the names of its\n   contributors may be used to endorse or promote products "
+           "derived from\n   this software without specific prior written permission.\n\n")
+ISC = ("Copyright (c) 2020, A. Person\n\nPermission to use, copy, modify, and/or distribute this software for any\npurpose with or without "
+       "fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.\n\n"
+       'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES\nWITH REGARD TO THIS SOFTWARE. IN NO EVENT SHALL THE AUTHOR BE LIABLE.')
 NOTICES = [
     ("This program is free software: " + FSF.format("General Public License", ",", "either ", "3", LATER) + DETAILS, ["GPL-3.0-or-later"]),
     ("This program is free software; " + FSF.format("General Public License", ";", "either ", "2", LATER) + DETAILS, ["GPL-2.0-or-later"]),
@@ -129,6 +140,32 @@ NOTICES = [
     ('The ASF licenses this file\nto you under the Apache License, Version 2.0 (the\n"License"); ' + APACHE, ["Apache-2.0"]),
     (MIT, ["MIT"]),
     ("Released under the MIT License, the pictures are licensed under CC BY 4.0", ["MIT", "CC-BY-4.0"]),
+    (BSD.format(""), ["BSD-2-Clause"]),
+    (BSD.format(ENDORSE), ["BSD-3-Clause"]),
+    ("This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not "
+     "distributed with this\nfile, You can obtain one at https://mozilla.org/MPL/2.0/.", ["MPL-2.0"]),
+    (ISC, ["ISC"]),
+    (ISC.replace(", provided that the above\ncopyright notice and this permission notice appear in all copies", ""), ["0BSD"]),
+    (MIT.replace(", subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included "
+                 "in all copies or substantial portions of the Software", ""), ["MIT-0"]),
+    ("# SPDX-License-Identifier: GPL-3.0-or-later\n", ["GPL-3.0-or-later"]),
+    ("# SPDX-License-Identifier: GPL-2.0+ */", ["GPL-2.0-or-later"]),
+    ("/* SPDX-License-Identifier: MIT-0 */", ["MIT-0"]),
+    ("// SPDX-License-Identifier: LGPL-2.1-only", ["LGPL-2.1-only"]),
+    ("SPDX-License-Identifier: BSD-2-Clause. Copyright, all rights reserved.", ["BSD-2-Clause"]),
+    ("SPDX-License-Identifier: (MIT OR Apache-2.0) AND GPL-2.0-only WITH Classpath-exception-2.0",
+     ["Apache-2.0", "GPL-2.0-only", "MIT"]),
+    ("SPDX-License-Identifier: MIT isc is a word of the next sentence", ["MIT"]),
+    ("SPDX-License-Identifier: LicenseRef-own", []),
+    ("SPDX-License-Identifier: " + "MIT OR " * 20_000 + "ISC.", ["ISC", "MIT"]),
+    ("SPDX-License-Identifier: x" + ".1" * 20_000 + " OR ISC", ["ISC"]),
+    ("SPDX-License-Identifier:\tISC\nx SPDX-License-Identifier: Zlib", ["ISC", "Zlib"]),
+    ("Copyright 2020 A. Person. All rights reserved.", ["proprietary"]),
+    ("Licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License", ["CC-BY-NC-SA-4.0"]),
+    ("under the Creative Commons Attribution 4.0 licence", ["CC-BY-4.0"]),
+    ("made available under the terms of the Eclipse Public License v2.0", ["EPL-2.0"]),
+    ("all rights reservedly, in no event shalll, licensed under cc by 4.01", []),
+    ("the GNU General Public License version 20", []),
 ]
 
 
@@ -138,18 +175,49 @@ def test_verbatim_notices(spark):
     assert got == {i: expected for i, (_, expected) in enumerate(NOTICES)}
 
 
+def spaced(text):
+    """Whole words of one space each, versions written out, in sentences."""
+    flat = re.sub("[^a-z0-9.!?;]+", " ", text.lower())
+    flat = re.sub(r"(^| )(?:version|vers|ver|v)[.]? ?([0-9])", r"\1version \2", flat)
+    return [f" {x} " for x in re.split("[.!?;]+(?: |$)", flat)]
+
+
 def test_a_sentence_yields_all_its_wordings(spark):
-    wordings = [w for _, w in licenses.SENTENCES if ". " not in w]
-    texts = [f"{a} and {b}" for a in wordings for b in wordings] + [t for t, _ in NOTICES]
+    wordings = [w for _, w in licenses.SENTENCES]
+    texts = [f"{a} and {b}" for a in wordings for b in wordings] + [t for t, _ in NOTICES if "SPDX" not in t]
     texts += ["you can redistribute it and or modify it under the terms of the " + w for w in wordings]
+    texts += [f"x{w} {w}x {w} 2 {w}.0" for w in wordings]
 
     def plain_ids(text):
         ids = []
-        for sentence in re.split("[.!?;]+(?: |$)", re.sub("[^a-z0-9.!?;]+", " ", text.lower())):
-            held = [(m.start(), m.start() + len(w), n) for n, w in licenses.SENTENCES for m in re.finditer(f"(?={re.escape(w)})", sentence)]
+        for x in spaced(text):
+            held = [(m.start(), m.start() + len(w), n) for n, w in licenses.SENTENCES for m in re.finditer(f"(?= {re.escape(w)} )", x)]
             ids += [n for a, b, n in sorted(held) if not any(c <= a and b <= d and d - c > b - a for c, d, _ in held)]
         return ids
 
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r["doc_id"]: r["sentence_ids"] for r in licenses.scan(docs).collect()}
     assert got == {i: plain_ids(t) for i, t in enumerate(texts)}
+
+
+def test_telling_words_leave_no_wording_out():
+    wordings = [w for _, w in licenses.SENTENCES]
+    assert len(set(wordings)) == len(wordings)
+    words = licenses.telling_words(wordings)
+    assert all(set(words) & set(w.split()) for w in wordings)
+    # The name of every rule's identifier is one that a text can have.
+    known = {n for n, _ in licenses.SENTENCES} | {f"spdx:{n}" for n in licenses.SPDX_NAMES}
+    assert {i for _, ids in licenses.RULES for i in ids} | {licenses.LAST_RULE[1]} <= known
+
+
+def test_sql_names_the_same_licences(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    from weekwatch.llm.oracle import licences_sql
+
+    rows = [(i, t) for i, (t, _) in enumerate(NOTICES)] + [(None, NOTICES[0][0]), (0, NOTICES[0][0]), (98, None), (99, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    got = [(r["doc_id"], ",".join(r["sentence_ids"]), ",".join(r["licences"])) for r in licenses.scan(docs).collect()]
+    assert sorted(got, key=str) == sorted(con.execute(f"select doc_id, sentence_ids, licences from ({licences_sql()})").fetchall(), key=str)

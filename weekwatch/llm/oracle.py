@@ -96,29 +96,73 @@ join slots l using (slot) join s using (i)
 """
 
 
-def licences_sql(sentences, rules) -> str:
-    """Sentences become identifiers; the rules are a chain of replacements."""
-    cases = " ".join(f"when contains(x, '{wording}') then '{name}'" for name, wording in sentences)
-    ordered = ", ".join(f"{{'name': '{n}', 'ids': '|{'|'.join(i)}|'}}" for n, i in rules)
+def licences_sql() -> str:
+    """Tags and sentences become identifiers; the rules are a chain of replacements.
+
+    Wordings are found at every position by comparison, and those within a longer one are left out afterwards.
+    """
+    wordings = ", ".join(f"{{'n': '{name}', 't': ' {wording} '}}" for name, wording in licenses.SENTENCES)
+    ordered = ", ".join(f"{{'name': '{n}', 'ids': '|{'|'.join(i)}|'}}" for n, i in licenses.RULES)
+    names = ", ".join(f"'{n}'" for n in licenses.SPDX_NAMES)
+    licence, sentence = licenses.LAST_RULE
     return f"""
-with s as (
-  select doc_id, list_filter(
-    list_transform(
-      string_split_regex(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9.!?;]+', ' ', 'g'), '[.!?;]+( |$)'),
-      lambda x: case {cases} end), lambda x: x is not null) as ids
-  from documents
+with docs as (select doc_id, row_number() over () as d, lower(coalesce(text, '')) as text from documents),
+numbered as (
+  select d, doc_id, unnest(list_zip(range(len(p)), p)) as np
+  from (select *, string_split_regex(text, '{licenses.SPDX_TAG}') as p from docs)
+),
+worded as (
+  select d, doc_id, np[1] as i, np[2] as part, list_transform(
+    regexp_extract_all(regexp_extract(np[2], '{licenses.SPDX_LINE}'), '{licenses.SPDX_WORD}'), lambda x: rtrim(x, '.')) as w
+  from numbered
+),
+ended as (
+  select *, list_position(list_transform(w, lambda y, m: m % 2 = 0 and y not in ('and', 'or', 'with')), true) as bad
+  from worded
+),
+tagged as (
+  select *, case when i = 0 then [] else list_transform(
+    list_filter(case when bad > 0 then w[:bad - 1] else w end, lambda x, n: n % 2 = 1 and x in ({names})),
+    lambda x: 'spdx:' || x) end as tags
+  from ended
 ),
+sentences as (
+  select d, doc_id, i, tags, list_transform(string_split_regex(
+      regexp_replace(regexp_replace(part, '{licenses.NO_WORD}', ' ', 'g'), '{licenses.VERSION}', '\\1version \\2', 'g'),
+      '{licenses.SENTENCE_END}'), lambda x: ' ' || x || ' ') as said
+  from tagged
+),
+found as (
+  select *, list_transform(said, lambda x: flatten(list_transform(
+      list_filter([{wordings}], lambda w: contains(x, w.t)),
+      lambda w: list_transform(
+        list_filter(range(1, len(x) + 1), lambda j: substr(x, j, len(w.t)) = w.t),
+        lambda j: {{'s': j, 'e': j + len(w.t), 'n': w.n}})))) as f
+  from sentences
+),
+alone as (
+  select d, doc_id, i, list_concat(tags, flatten(list_transform(f, lambda x: list_transform(list_sort(
+      list_filter(x, lambda a: len(list_filter(x, lambda b: b.s <= a.s and a.e <= b.e and b.e - b.s > a.e - a.s)) = 0)),
+      lambda a: a.n)))) as ids
+  from found
+),
+s as (select doc_id, flatten(list(ids order by i)) as ids from alone group by d, doc_id),
 r as (
   select *, list_reduce([{ordered}],
     lambda a, b: {{'name': a.name || case when contains(a.ids, b.ids) then '|' || b.name else '' end,
                    'ids': replace(a.ids, b.ids, '|#|')}},
     {{'name': '', 'ids': '|' || array_to_string(ids, '|') || '|'}}).name as found
   from s
+),
+t as (
+  select doc_id, ids, list_filter(string_split(found, '|'), lambda x, i: x <> ''
+         and list_position(string_split(found, '|'), x) = i) as licences
+  from r
 )
 select doc_id, array_to_string(ids, ',') as sentence_ids,
-       array_to_string(list_filter(string_split(found, '|'), lambda x, i: x <> ''
-         and list_position(string_split(found, '|'), x) = i), ',') as licences
-from r
+       case when len(licences) = 0 and list_contains(ids, '{sentence}') then '{licence}'
+            else array_to_string(licences, ',') end as licences
+from t
 """
 
 
@@ -155,7 +199,7 @@ from k
 
 SQL["op6_secrets"] = secrets_sql(secrets.RULES, secrets.BASE)
 SQL["op2_sharding"] = sharding_sql(list(sharding.SHARDS), sharding.table_size(len(sharding.SHARDS)))
-SQL["op10_licenses"] = licences_sql(licenses.SENTENCES, licenses.RULES)
+SQL["op10_licenses"] = licences_sql()
 SQL["op12_warc"] = """
 with p as (select page_id, coalesce(html, '') as html from pages),
 r as (select page_id, strlen(html) as payload_bytes, sha1(html) as payload_digest, max(page_id) over (partition by html) as top from p),
