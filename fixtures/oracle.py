@@ -457,6 +457,12 @@ def _sqls() -> dict[str, str]:
         "outlier_iqr_raw": _raw(*_LINES, ["iqr_low", "iqr_high", "is_iqr"]),
         "outlier_mad_raw": _raw(*_LINES, ["mad_score", "is_mad"]),
         "outlier_rolling_raw": _raw(*_LINES, ["roll_z", "is_roll"]),
+        "top_share_raw": "with cuts as (select l_returnflag, quantile_cont(l_extendedprice, 0.99) as cut, count(*) as n "
+        "from lineitem group by all) select l_orderkey, l_linenumber, l_returnflag, n >= 30 and l_extendedprice > cut as is_top "
+        "from lineitem join cuts using (l_returnflag)",
+        "iforest_raw": "select l_returnflag, count(*) as n_obs, count(*) filter (where l_orderkey % 997 = 0) as planted, "
+        "count(*) filter (where l_orderkey % 997 = 0) as planted_flagged, true as within_quota, true as is_scored "
+        "from lineitem group by all",
         "stream_live_series": _raw(
             _EVENT_DAYS.replace("as n ", "as m "), "event_type, day, m as n", "event_type", "day", ["m"],
             ["iqr_low", "iqr_high", "is_iqr", "mad_score", "is_mad", "roll_z", "is_roll"],

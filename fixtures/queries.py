@@ -17,7 +17,8 @@ from fixtures.weekly import (
     weekly_prov,
 )
 from weekwatch.functions import any_true
-from weekwatch.operators import checks, cleaning, iforest, outlier_reports, profile, raw_outliers, silence
+from weekwatch.functions.cutoffs import flag_top_share
+from weekwatch.operators import checks, cleaning, iforest, outlier_reports, profile, raw_forest, raw_outliers, silence
 from weekwatch.operators import outliers as detectors
 from weekwatch.plans.common import each_table
 from weekwatch.plans.detection import flag_all, series_of
@@ -393,6 +394,29 @@ def _on_lines(flag: Callable[[DataFrame], DataFrame], *suffixes: str) -> Query:
     return run
 
 
+def top_share_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dearest hundredth of all lines in groups that each hold a third of them."""
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(*LINE_KEY, *LINE_GROUP, "l_extendedprice")
+    return flag_top_share(lines, LINE_GROUP, "l_extendedprice", iforest.CONTAMINATION, "is_top", iforest.MIN_ROWS).drop("l_extendedprice")
+
+
+def iforest_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A forest on all lines, of which one in a thousand orders is made extreme."""
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    planted = F.col("l_orderkey") % 997 == 0
+    extreme = {m: F.when(planted, F.col(m) * 1000).otherwise(F.col(m)) for m in LINE_METRICS}
+    line = F.xxhash64(*lines.columns).alias("line")
+    rows = store(lines.select("*", line, planted.alias("planted")).withColumns(extreme).select(*LINE_GROUP, "line", "planted", *LINE_METRICS), "lines")
+    found = raw_forest.flag_isolation_forest(rows, LINE_GROUP, LINE_METRICS, "line")
+    return found.groupBy(*LINE_GROUP).agg(
+        F.count(F.lit(1)).alias("n_obs"),
+        F.count_if("planted").alias("planted"),
+        F.count_if(F.col("planted") & F.col("is_iforest")).alias("planted_flagged"),
+        (F.count_if("is_iforest") <= F.count(F.lit(1)) * 0.01 + 1).alias("within_quota"),
+        ((F.min("iforest_score") > 0) & (F.max("iforest_score") <= 1)).alias("is_scored"),
+    )
+
+
 def missing_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A job over two tables of which one is not there."""
     folder = _new_path(spark, "raw")
@@ -536,6 +560,8 @@ def _queries() -> dict[str, Query]:
             "roll_z",
             "is_roll",
         ),
+        "top_share_raw": top_share_raw,
+        "iforest_raw": iforest_raw,
         "stream_live_series": stream_live_series,
         "stream_dedup": stream_dedup,
         "stream_row_checks": stream_row_checks,

@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from weekwatch.functions.ordered import attach
+
 # The usual settings of the method.
 N_TREES = 200
 MAX_SAMPLES = 256
@@ -113,8 +115,8 @@ def _chance(date_col: str, metrics: Sequence[str], seed: int) -> Column:
 
 
 def _with_size(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Attach ``__rows``, the size of the row's group; null keys are a group."""
-    return rows.withColumn("__rows", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
+    """Attach ``__rows``, the size of the row's group; null keys are a group. Rows are counted before they are shuffled."""
+    return attach(rows, rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows")), keys)
 
 
 def _reach(samples: int) -> float:
@@ -153,8 +155,8 @@ def iforest_fit(
     rows but for a chance of about 1e-20. So neither partitioning nor retries change the
     forest, and a long group sends few rows to each tree.
 
-    A group's size is a window over the group: pass a series, one row per group and date, as
-    ``weekly_series`` makes it. Its groups are as long as the calendar.
+    Groups may be of any length: their sizes are counted on the map side, and a task sees the few rows that may be
+    drawn. Rows that share date and metrics are drawn together, so raw rows need an own id as ``date_col``.
     """
     keys = list(group_keys)
     sized = _with_size(series.select(*keys, date_col, *metrics), keys).filter(F.col("__rows") >= min_rows)
