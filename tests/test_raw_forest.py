@@ -93,5 +93,5 @@ def test_empty_table(lines):
 
 
 def test_sizes_take_no_window_over_a_group(lines):
-    plan = iforest._with_size(lines, ["g"])._jdf.queryExecution().executedPlan().toString()
+    plan = iforest._with_size(lines, ["g"], counted=True)._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan and "partial_count" in plan

@@ -114,9 +114,14 @@ def _chance(date_col: str, metrics: Sequence[str], seed: int) -> Column:
     return F.xxhash64(F.lit(seed), F.col(date_col), *(F.col(m) for m in metrics))
 
 
-def _with_size(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Attach ``__rows``, the size of the row's group; null keys are a group. Rows are counted before they are shuffled."""
-    return attach(rows, rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows")), keys)
+def _with_size(rows: DataFrame, keys: Sequence[str], counted: bool = False) -> DataFrame:
+    """Attach ``__rows``, the size of the row's group; null keys are a group.
+
+    Over a window, or ``counted`` before the shuffle, where no task may hold a whole group.
+    """
+    if counted:
+        return attach(rows, rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows")), keys)
+    return rows.withColumn("__rows", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
 
 
 def _reach(samples: int) -> float:
@@ -146,53 +151,66 @@ def iforest_fit(
     max_samples: int = MAX_SAMPLES,
     seed: int = SEED,
     min_rows: int = MIN_ROWS,
+    counted: bool = False,
 ) -> DataFrame:
     """The trees: one row per group and tree, for groups with at least ``min_rows`` rows.
 
     Every tree draws its own ``max_samples`` rows from all rows of its group, or takes them
     all if there are fewer: those with the smallest hash of seed, tree and row. Each row
-    finds out by itself which trees may draw it: a tree's hashes below ``_reach`` hold enough
-    rows but for a chance of about 1e-20. So neither partitioning nor retries change the
-    forest, and a long group sends few rows to each tree.
-
-    Groups may be of any length: their sizes are counted on the map side, and a task sees the few rows that may be
-    drawn. Rows that share date and metrics are drawn together, so raw rows need an own id as ``date_col``.
+    finds out by itself which trees may draw it, and is sent once to each block of them: a
+    tree's hashes below ``_reach`` hold enough rows but for a chance of about 1e-20. So neither
+    partitioning nor retries change the forest, and a long group sends few rows to each tree.
+
+    A group's size is a window over the group: pass a series, one row per group and date, as
+    ``weekly_series`` makes it. Its groups are as long as the calendar. With ``counted`` groups may
+    be of any length; rows that share date and metrics are drawn together, so raw rows need an own
+    id as ``date_col``.
     """
     keys = list(group_keys)
-    sized = _with_size(series.select(*keys, date_col, *metrics), keys).filter(F.col("__rows") >= min_rows)
+    sized = _with_size(series.select(*keys, date_col, *metrics), keys, counted).filter(F.col("__rows") >= min_rows)
     hashed = lambda tree: F.xxhash64(F.lit(seed), tree, F.col(date_col), *(F.col(m) for m in metrics))
-    share = lambda tree: hashed(tree) / F.lit(2.0**64) + 0.5
+    first, last = F.col("__block") * TREES_PER_BLOCK, (F.col("__block") + 1) * TREES_PER_BLOCK - 1
+    chances = F.transform(
+        F.sequence(first, F.least(last, F.lit(n_trees - 1))),
+        lambda tree: F.struct(tree.alias("tree"), hashed(tree).alias("chance")),
+    )
     drawing = F.filter(
-        F.sequence(F.lit(0), F.lit(n_trees - 1)),
-        lambda tree: share(tree) * F.col("__rows") <= _reach(max_samples),
+        chances, lambda draw: (draw["chance"] / F.lit(2.0**64) + 0.5) * F.col("__rows") <= _reach(max_samples)
     )
-    drawn = sized.select(
-        *keys,
-        date_col,
-        *metrics,
-        _features(metrics).alias("__x"),
-        F.xxhash64(*keys).alias("__seed"),
-        _slices().alias("__slices"),
-        F.explode(drawing).alias("__tree"),
-    ).withColumn("__chance", hashed(F.col("__tree")))
-    dealt = _spread(drawn.withColumn("__block", F.floor(F.col("__tree") / TREES_PER_BLOCK)), *keys, "__block")
-    first = Window.partitionBy(*keys, "__block", "__tree").orderBy("__chance", date_col)
-    work = (
-        dealt.withColumn("__place", F.row_number().over(first))
-        .filter(F.col("__place") <= max_samples)
-        .select(*keys, "__block", "__tree", "__place", "__x", "__seed", "__slices")
+    blocks = F.sequence(F.lit(0), F.lit((n_trees - 1) // TREES_PER_BLOCK))
+    # One row per row and block of trees, however many of the block's trees may draw it.
+    drawn = (
+        sized.withColumn("__block", F.explode(blocks))
+        .withColumn("__draws", drawing)
+        .filter(F.size("__draws") > 0)
+        .select(
+            *keys,
+            "__block",
+            date_col,
+            _features(metrics).alias("__x"),
+            F.xxhash64(*keys).alias("__seed"),
+            _slices().alias("__slices"),
+            F.col("__draws.tree").alias("__trees"),
+            F.col("__draws.chance").alias("__chances"),
+        )
     )
+    work = _spread(drawn, *keys, "__block")
     schema = T.StructType([series.schema[c] for c in keys] + _TREE_FIELDS)
 
     def grow_block(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("__tree", "ascending"), ("__place", "ascending")])
-        numbers, first, counts = np.unique(
-            table.column("__tree").to_numpy(), return_index=True, return_counts=True
-        )
+        table = table.sort_by(date_col)
+        lists = [table.column(name).combine_chunks() for name in ("__trees", "__chances")]
+        trees, chances = (x.flatten().to_numpy(zero_copy_only=False) for x in lists)
+        row = np.repeat(np.arange(len(table)), lists[0].value_lengths().to_numpy(zero_copy_only=False))
+        order = np.lexsort((row, chances, trees))
+        trees, row = trees[order], row[order]
+        place = np.arange(len(trees)) - np.searchsorted(trees, trees)
+        trees, row = trees[place < max_samples], row[place < max_samples]
+        numbers, counts = np.unique(trees, return_counts=True)
         stream = table.column("__seed")[0].as_py() & (2**64 - 1)
         seeds = [np.random.default_rng([seed, stream, int(number)]) for number in numbers]
-        grown = _grow(_vectors(table, "__x"), counts, seeds)
-        out = table.select([*keys, "__slices"]).take(first)
+        grown = _grow(_vectors(table, "__x")[row], counts, seeds)
+        out = table.select([*keys, "__slices"]).take(pa.array(np.zeros(len(numbers), dtype=np.int64)))
         out = out.append_column("__samples", pa.array(counts, pa.int32()))
         out = out.append_column("__tree", pa.array(numbers, pa.int32()))
         for (name, kind), nodes in zip(_NODE_ARRAYS.items(), grown):
@@ -208,6 +226,7 @@ def iforest_score(
     group_keys: Sequence[str],
     metrics: Sequence[str],
     date_col: str = "week_start",
+    counted: bool = False,
 ) -> DataFrame:
     """The series with ``iforest_score``: near 1 is easy to isolate, 0.0 without a forest.
 
@@ -216,7 +235,7 @@ def iforest_score(
     """
     keys = list(group_keys)
     slice_of_row = F.pmod(_chance(date_col, metrics, 0), _slices())
-    rows = _with_size(series, keys).select(
+    rows = _with_size(series, keys, counted).select(
         *series.columns, slice_of_row.alias("__slice"), _features(metrics).alias("__x")
     )
     every_slice = F.sequence(F.lit(0).cast("bigint"), F.col("__slices") - 1)

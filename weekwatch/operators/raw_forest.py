@@ -45,7 +45,7 @@ def score(
     """
     keys = list(group_keys)
     if not _fits(forest, broadcast_bytes):
-        return iforest.iforest_score(rows, forest, keys, metrics, row_id)
+        return iforest.iforest_score(rows, forest, keys, metrics, row_id, counted=True)
     spark = rows.sparkSession
     numbers = [row.asDict() for row in forest.select(*keys).distinct().collect()]
     group_schema = T.StructType([*(forest.schema[k] for k in keys), T.StructField("__forest", T.IntegerType())])
@@ -96,6 +96,7 @@ def flag_isolation_forest(
     ``row_id`` makes the draws of a tree; rows that share it and all metrics would be drawn together. The rows are
     read several times: pass a stored table.
     """
-    forest = store(iforest.iforest_fit(rows, group_keys, metrics, row_id, min_rows=min_rows, **settings), "forest")
+    forest = iforest.iforest_fit(rows, group_keys, metrics, row_id, min_rows=min_rows, counted=True, **settings)
+    forest = store(forest, "forest")
     scored = store(score(rows, forest, group_keys, metrics, row_id, broadcast_bytes), "scores")
     return flag_top_share(scored, group_keys, "iforest_score", contamination, "is_iforest", min_rows)
