@@ -450,6 +450,8 @@ def _sqls() -> dict[str, str]:
         "from prov union all select 'not_there', false, null",
         "validation_overview": f"with {TOTALS} select 'weekly_prov' as tabla, n_rows as filas, "
         f"{_DUPLICATES} as duplicados, {overview} from totals",
+        "validation_increment": f"with {TOTALS} select 'weekly_prov' as tabla, n_rows as filas, "
+        f"{_DUPLICATES} as duplicados, {overview}, n_rows as filas_leidas from totals",
         "stream_row_checks": f"with {FLAGGED} select ubigeo, week_start, "
         "greatest(cases_total, coalesce(hosp_total, 0)) as cases_total, "
         f"{', '.join(CHECKS)}, _chk_logic__deaths_gt_hosp as flag_death_no_hosp, "

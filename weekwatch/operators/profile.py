@@ -21,7 +21,11 @@ _NULLS = "nulls__"
 
 def duplicate_count(df: DataFrame, key_cols: Sequence[str]) -> DataFrame:
     """One row: ``duplicados``, the rows beyond the first of each key. Null is a key value."""
-    per_key = df.groupBy(*key_cols).agg(F.count(F.lit(1)).alias("n"))
+    return rows_beyond_first(df.groupBy(*key_cols).agg(F.count(F.lit(1)).alias("n")))
+
+
+def rows_beyond_first(per_key: DataFrame) -> DataFrame:
+    """``duplicate_count`` of the table whose rows per key are counted as ``n``."""
     extra = F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).cast("bigint")
     return per_key.agg(extra.alias("duplicados"))
 
@@ -59,17 +63,20 @@ def low_coverage(coverage: DataFrame, below: float = LOW_COVERAGE) -> DataFrame:
     return coverage.filter(F.col("pct_cobertura") < below)
 
 
-def integrity_cells(df: DataFrame, spec: TableSpec) -> DataFrame:
-    """Row, missing-value and flag counts per (group, year, date).
+def integrity_cells(
+    df: DataFrame, spec: TableSpec, apart: Sequence[str] = (), columns: Sequence[str] | None = None
+) -> DataFrame:
+    """Row, missing-value and flag counts per (group, year, date), and per value of the columns ``apart``.
 
     One pass over the table with map-side aggregation; as many rows as there
     are groups and dates. The totals, the null profiles and the coverage can all
-    be read off the cells without going back to the table.
+    be read off the cells without going back to the table. Missing values are
+    counted for ``columns``, all of the table's unless given.
     """
-    keys = list(dict.fromkeys((*spec.group_keys, spec.year_col, spec.date_col)))
+    keys = list(dict.fromkeys((*apart, *spec.group_keys, spec.year_col, spec.date_col)))
     flags = [count_true(e).alias(n) for n, e in flag_expressions(spec).items()]
     return df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n_rows"), *_null_counts(df.columns), *flags
+        F.count(F.lit(1)).alias("n_rows"), *_null_counts(columns or df.columns), *flags
     )
 
 
