@@ -30,14 +30,37 @@ BLOCK_SHINGLES = 3_000_000
 PIVOTS = 32
 # A task that combines signatures holds about so many of them.
 BUFFERED = 2_000_000
-# Bits of the names of parts and of members. Equal names of different ones only add candidates.
+# Bits of the names of parts and of members, at least. Equal names of different ones only add candidates, and there
+# are more bits where there are more rows, so that chance leads to few of them.
 PART_BITS, MEMBER_BITS = 48, 40
+# A set has about so many parts (as a power of two).
+PARTS_LOG = 7
+# So many words' hashes are kept in a task, and an odd number that steps are taken by.
+KNOWN_WORDS = 200_000
+STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 # ---- shingles -----------------------------------------------------------------------------------
 
 
-def shingles(text: str | None, words: int) -> np.ndarray:
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """Scramble 64-bit numbers."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+class Words(dict):
+    """The 64-bit hashes of words; a task keeps those of the words it has met, of so many at most."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= KNOWN_WORDS:
+            self.clear()
+        self[word] = found = xxhash.xxh3_64_intdigest(word)
+        return found
+
+
+def shingles(text: str | None, words: int, known: Words | None = None) -> np.ndarray:
     """The sorted distinct hashes of a text's word n-grams.
 
     Only A-Z are lowered, and only ASCII white space parts words. With fewer words the whole
@@ -46,13 +69,15 @@ def shingles(text: str | None, words: int) -> np.ndarray:
     parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not parts:
         return np.zeros(0, np.uint64)
-    hashed = xxhash.xxh3_64_intdigest
-    if len(parts) <= words:
-        return np.array([hashed(b" ".join(parts))], np.uint64)
-    line = b" ".join(parts)
-    ends = np.cumsum([len(p) + 1 for p in parts]).tolist()
-    starts = [0, *ends[: -words]]
-    return np.unique(np.array([hashed(line[a : b - 1]) for a, b in zip(starts, ends[words - 1 :], strict=True)], np.uint64))
+    known = Words() if known is None else known
+    hashed = np.fromiter((known[word] for word in parts), np.uint64, len(parts))
+    take = min(words, len(parts))
+    many = len(parts) - take + 1
+    # Every word is scrambled with its place before the sum, so words in another order are another shingle.
+    found = np.full(many, np.uint64(take), np.uint64)
+    for at, step in enumerate(np.arange(1, take + 1, dtype=np.uint64) * STEP):
+        found += _mixed(hashed[at : at + many] + step)
+    return np.unique(_mixed(found))
 
 
 def parts_of(size: int, num: int, den: int) -> tuple[tuple[int, int, int], ...]:
@@ -79,15 +104,8 @@ def parts_of(size: int, num: int, den: int) -> tuple[tuple[int, int, int], ...]:
     return tuple(found)
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    """Scramble 64-bit numbers."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def signatures(
-    tokens: np.ndarray, ranges: tuple[tuple[int, int, int], ...]
+    tokens: np.ndarray, ranges: tuple[tuple[int, int, int], ...], bits: int = PART_BITS
 ) -> list[tuple[int, np.ndarray]]:
     """Per range of ``parts_of``, a hash for each part of the sorted set: of the part's number and shingles.
 
@@ -106,8 +124,8 @@ def signatures(
             empty = np.setdiff1d(np.arange(parts, dtype=np.uint64), numbers)
             numbers = np.concatenate([numbers, empty])
             content = np.concatenate([content, np.zeros(len(empty), np.uint64)])
-        place = _mixed(numbers * np.uint64(0x9E3779B97F4A7C15) + np.uint64(r + 1))
-        found.append((r, _mixed(content + place) >> np.uint64(64 - PART_BITS)))
+        place = _mixed(numbers * STEP + np.uint64(r + 1))
+        found.append((r, _mixed(content + place) >> np.uint64(64 - bits)))
     return found
 
 
@@ -116,10 +134,19 @@ def set_name(tokens: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(tokens.tobytes()) - 2**63
 
 
-def member_names(node: int, ranges: tuple[tuple[int, int, int], ...]) -> np.ndarray:
+def member_names(node: int, ranges: tuple[tuple[int, int, int], ...], bits: int = MEMBER_BITS) -> np.ndarray:
     """What a set is called in each of its ranges."""
-    of = np.array([node + 2**63], np.uint64) + np.array([r + 1 for r, _, _ in ranges], np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return (_mixed(of) >> np.uint64(64 - MEMBER_BITS)).astype(np.int64)
+    of = np.array([node + 2**63], np.uint64) + np.array([r + 1 for r, _, _ in ranges], np.uint64) * STEP
+    return (_mixed(of) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def name_bits(rows: int) -> tuple[int, int]:
+    """The bits of the names of parts and of members, for so many sets."""
+    log = math.log2(max(rows, 1))
+    return (
+        min(64, max(PART_BITS, math.ceil(2 * (log + PARTS_LOG)) - 2)),
+        min(64, max(MEMBER_BITS, math.ceil(2 * (log + 1)) + 2)),
+    )
 
 
 class Ranges(dict):
@@ -134,19 +161,19 @@ class Ranges(dict):
         return self[size]
 
 
-def sketches(texts: DataFrame, words: int, num: int, den: int) -> DataFrame:
+def sketches(texts: DataFrame, words: int, num: int, den: int, member_bits: int) -> DataFrame:
     """Per row: ``size`` of its set, the hash ``node`` that names it, and its ``members``: its names
     in the ranges it is compared in, that of its own size first."""
 
     def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ranges = Ranges(num, den)
+        ranges, known = Ranges(num, den), Words()
         for batch in batches:
             sizes, nodes, members = [], [], []
             for text in batch["text"]:
-                tokens = shingles(text, words)
+                tokens = shingles(text, words, known)
                 sizes.append(len(tokens))
                 nodes.append(set_name(tokens))
-                members.append(member_names(nodes[-1], ranges[len(tokens)]))
+                members.append(member_names(nodes[-1], ranges[len(tokens)], member_bits))
             yield pd.DataFrame(
                 {"doc_id": batch["doc_id"], "th": batch["th"], "size": sizes, "node": nodes, "members": members}
             )
@@ -159,7 +186,9 @@ def sketches(texts: DataFrame, words: int, num: int, den: int) -> DataFrame:
 # ---- clusters of sets that may be similar -------------------------------------------------------
 
 
-def candidate_links(texts: DataFrame, words: int, num: int, den: int) -> DataFrame:
+def candidate_links(
+    texts: DataFrame, words: int, num: int, den: int, part_bits: int, member_bits: int
+) -> DataFrame:
     """``u, v``: links that connect all sets which share a signature, as members of a range.
 
     Signatures are made here from the texts and not stored, as they are many. Each task links its own members of a signature to the
@@ -187,15 +216,16 @@ def candidate_links(texts: DataFrame, words: int, num: int, den: int) -> DataFra
                 }
             )
 
-        ranges = Ranges(num, den)
+        ranges, known = Ranges(num, den), Words()
         held, size = [], 0
         for batch in batches:
             for text in batch["text"]:
-                tokens = shingles(text, words)
+                tokens = shingles(text, words, known)
                 if not len(tokens):
                     continue
-                names = member_names(set_name(tokens), ranges[len(tokens)])
-                for member, (_, hashes) in zip(names, signatures(tokens, ranges[len(tokens)]), strict=True):
+                of = ranges[len(tokens)]
+                names = member_names(set_name(tokens), of, member_bits)
+                for member, (_, hashes) in zip(names, signatures(tokens, of, part_bits), strict=True):
                     held.append((hashes.astype(np.int64), np.full(len(hashes), member, np.int64)))
                     size += len(hashes)
                 if size >= BUFFERED:
@@ -289,7 +319,8 @@ def cluster_links(members: DataFrame, words: int, num: int, den: int) -> DataFra
 
     def link(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("node", ignore_index=True)
-        sets = [shingles(t, words) for t in rows["text"]]
+        known = Words()
+        sets = [shingles(t, words, known) for t in rows["text"]]
         nodes, parts, own, copies = (rows[c].to_numpy() for c in ("node", "part", "own", "copies"))
         across = rows["i"].iloc[0] != rows["j"].iloc[0]
         root = list(range(len(sets)))
@@ -347,13 +378,15 @@ def near_groups(
     """
     text = whole(text_col)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(id_col), text).alias("th"), text.alias("text"))
-    sketch = store(sketches(texts, words, num, den), "sketches")
+    # A count of the documents, which Parquet tables tell from their footers.
+    part_bits, member_bits = name_bits(docs.count())
+    sketch = store(sketches(texts, words, num, den, member_bits), "sketches")
     first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th")
     classes = sketch.where("size > 0").groupBy("node").agg(
         F.min(first).alias("rep"), F.count("*").alias("copies"), F.max("size").alias("size")
     )
     classes = store(classes, "classes")
-    clusters = components(candidate_links(texts, words, num, den))
+    clusters = components(candidate_links(texts, words, num, den, part_bits, member_bits))
     found = store(_joined(texts, sketch, classes, clusters, words, num, den), "found")
     groups = components(found.where("v is not null").select("u", "v"))
     links = found.groupBy(F.col("u").alias("node")).agg(F.sum("links").alias("links"))
