@@ -83,6 +83,22 @@ def test_blocks_give_the_same(spark, sf_dir, monkeypatch):
     assert answers(near_groups(docs, 3, 9, 10)) == all_pairs(rows, 3, 9, 10)
 
 
+def test_texts_are_cut_once_for_links_and_signatures(spark):
+    base = [f"w{i}" for i in range(60)]
+    near = [" ".join([*base[:k], f"x{k}", *base[k:]]) for k in range(30)]  # all pairs are similar
+    docs = spark.createDataFrame([(t,) for t in [*near, near[0], "apart from all others"]], "text string")
+    links = near_dedup.candidate_links(docs.repartition(4), 3, 4, 5, 48, 40)
+    assert links._jdf.queryExecution().executedPlan().toString().count("MapInPandas") == 1
+    found = {r["node"]: r["component"] for r in components(links).collect()}
+
+    def name(text):
+        tokens = shingles(text, 3)
+        return near_dedup.member_names(near_dedup.set_name(tokens), near_dedup.parts_of(len(tokens), 4, 5))[0]
+
+    assert len({found[name(t)] for t in near}) == 1
+    assert name("apart from all others") not in found
+
+
 def test_one_row_of_each_group_stays(spark, sf_dir):
     rows = rows_of(spark, sf_dir)
     docs = spark.createDataFrame([(d, t, "s") for d, t in rows], "doc_id long, text string, th string")

@@ -51,12 +51,12 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 class Words(dict):
-    """The 64-bit hashes of words; a task keeps those of the words it has met, of so many at most."""
+    """The 64-bit hashes of words, as bytes; a task keeps those of the words it has met, of so many at most."""
 
-    def __missing__(self, word: bytes) -> int:
+    def __missing__(self, word: bytes) -> bytes:
         if len(self) >= KNOWN_WORDS:
             self.clear()
-        self[word] = found = xxhash.xxh3_64_intdigest(word)
+        self[word] = found = xxhash.xxh3_64_digest(word)
         return found
 
 
@@ -70,14 +70,15 @@ def shingles(text: str | None, words: int, known: Words | None = None) -> np.nda
     if not parts:
         return np.zeros(0, np.uint64)
     known = Words() if known is None else known
-    hashed = np.fromiter((known[word] for word in parts), np.uint64, len(parts))
+    hashed = np.frombuffer(b"".join(map(known.__getitem__, parts)), np.uint64)
     take = min(words, len(parts))
     many = len(parts) - take + 1
     # Every word is scrambled with its place before the sum, so words in another order are another shingle.
     found = np.full(many, np.uint64(take), np.uint64)
     for at, step in enumerate(np.arange(1, take + 1, dtype=np.uint64) * STEP):
         found += _mixed(hashed[at : at + many] + step)
-    return np.unique(_mixed(found))
+    found = np.sort(_mixed(found))
+    return found[np.append(True, found[1:] != found[:-1])]
 
 
 def parts_of(size: int, num: int, den: int) -> tuple[tuple[int, int, int], ...]:
@@ -191,9 +192,10 @@ def candidate_links(
 ) -> DataFrame:
     """``u, v``: links that connect all sets which share a signature, as members of a range.
 
-    Signatures are made here from the texts and not stored, as they are many. Each task links its own members of a signature to the
-    smallest of them, and only that one is shuffled; so a signature that a third of all sets share
-    reaches the shuffle once a task. Then the smallest members of a signature are linked likewise.
+    Signatures are made here from the texts and not stored, as they are many. Each task links its own
+    members of a signature to the smallest of them, and of the signature only that one is shuffled; so
+    one that a third of all sets share reaches the shuffle once a task. Then the smallest members of a
+    signature are linked likewise.
     """
 
     def combine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -207,12 +209,13 @@ def candidate_links(
             pairs = np.unique(np.stack([member[more], hub[more]], axis=1), axis=0)
             n = int(first.sum())
             # Names are 64 bits long, so missing ones must not turn them into floats.
-            missing = np.arange(n + len(pairs)) >= n
+            missing = np.arange(n + len(pairs)) < n
             return pd.DataFrame(
                 {
-                    "part": pd.arrays.IntegerArray(np.append(part[first], np.zeros(len(pairs), np.int64)), missing),
+                    # A link goes along under any name that spreads the links; it has its hub.
+                    "part": np.append(part[first], pairs[:, 0] ^ pairs[:, 1]),
                     "u": np.append(member[first], pairs[:, 0]),
-                    "v": pd.arrays.IntegerArray(np.append(np.zeros(n, np.int64), pairs[:, 1]), ~missing),
+                    "v": pd.arrays.IntegerArray(np.append(np.zeros(n, np.int64), pairs[:, 1]), missing),
                 }
             )
 
@@ -235,10 +238,9 @@ def candidate_links(
             yield rows(held)
 
     combined = texts.select("text").mapInPandas(combine, "part bigint, u bigint, v bigint")
-    hub = F.min("u").over(Window.partitionBy("part"))
-    across = combined.where("part is not null").withColumn("v", hub).where("u > v")
-    within = combined.where("part is null")
-    return across.select("u", "v").union(within.select("u", "v"))
+    # Links and signatures pass one shuffle together, so the texts are read and cut once.
+    hub = F.min(F.when(F.col("v").isNull(), F.col("u"))).over(Window.partitionBy("part"))
+    return combined.select("u", F.coalesce("v", hub).alias("v")).where("u > v")
 
 
 def _ranges(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
