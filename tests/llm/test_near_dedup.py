@@ -99,6 +99,36 @@ def test_texts_are_cut_once_for_links_and_signatures(spark):
     assert name("apart from all others") not in found
 
 
+def test_texts_alike_in_single_shingles_meet_nothing(spark, monkeypatch):
+    """A chain of texts, each with a few words of the next, and one pair of near copies."""
+    texts = [" ".join(f"w{k + j}x{j if j < 4 else k}" for j in range(8)) + f" common words of all {k} " * 3 for k in range(40)]
+    texts += [" ".join(f"own{k}w{i}" for i in range(30)) + " common words of all" + f" link {k // 2}" for k in range(40)]
+    pair = [f"p{i}" for i in range(60)]
+    texts += [" ".join(pair), " ".join([*pair[:30], "other", *pair[31:]])]
+    joined = []
+    candidate_links = near_dedup.candidate_links
+    monkeypatch.setattr(near_dedup, "candidate_links", lambda held, *a: joined.append(held) or candidate_links(held, *a))
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert answers(near_groups(docs, 3, 4, 5)) == all_pairs(rows, 3, 4, 5)
+    assert {r["text"] for r in joined[0].collect()} == set(texts[-2:])
+
+
+@pytest.mark.parametrize(("bits", "at_once"), [(6, 1_000_000), (17, 1_000_000), (7, 40)])
+def test_lone_shingles(spark, monkeypatch, bits, at_once):
+    monkeypatch.setattr(near_dedup, "NAMED_SHINGLES", at_once)
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"w{i}" for i in rng.integers(0, 9, n)) for n in rng.integers(0, 30, 90)]
+    texts += [texts[0], texts[0], "a text of words that no other has", None, " "]
+    sets = [plain_set(t, 2) for t in texts]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    got = {r["node"]: r["lone"] for r in near_dedup.lone_shingles(docs, 2, bits).collect()}
+    for k, (text, own) in enumerate(zip(texts, sets)):
+        if own:
+            alone = len(own.difference(*(s for j, s in enumerate(sets) if j != k)))
+            assert got.get(near_dedup.set_name(shingles(text, 2)), 0) == alone
+
+
 def test_one_row_of_each_group_stays(spark, sf_dir):
     rows = rows_of(spark, sf_dir)
     docs = spark.createDataFrame([(d, t, "s") for d, t in rows], "doc_id long, text string, th string")

@@ -1,6 +1,7 @@
 """Exact Jaccard join of word n-grams, and the groups it makes.
 
-Equal sets are one class. Similar sets of different classes differ in few shingles; so, if the space
+Equal sets are one class. A set with too many shingles that no other text holds is similar to none and
+goes no further. Similar sets of different classes differ in few shingles; so, if the space
 of shingles is cut into more parts than that, some part of both is the same. Sets that share a part,
 directly or through others, form a cluster. Inside a cluster the join is exact: lists of an inverted
 index are sorted by the position of the shingle in its set, and blocks behind the last position that
@@ -30,6 +31,12 @@ BLOCK_SHINGLES = 3_000_000
 PIVOTS = 32
 # A task that combines signatures holds about so many of them.
 BUFFERED = 2_000_000
+# Shingles are counted in at least so many ranges of their hashes (as a power of two), each of about so many.
+RANGES_LOG, RANGE_SHINGLES = 6, 2_000_000
+# A task names texts of about so many shingles at once.
+NAMED_SHINGLES = 1_000_000
+# So many classes are sent to the tasks to find their texts; beyond that, all texts are shuffled.
+SENT_CLASSES = 1_000_000
 # Bits of the names of parts and of members, at least. Equal names of different ones only add candidates, and there
 # are more bits where there are more rows, so that chance leads to few of them.
 PART_BITS, MEMBER_BITS = 48, 40
@@ -184,6 +191,107 @@ def sketches(texts: DataFrame, words: int, num: int, den: int, member_bits: int)
     return texts.mapInPandas(sketch, schema)
 
 
+# ---- shingles that no other text holds ----------------------------------------------------------
+
+
+def range_bits(chars: int) -> int:
+    """The leading bits that a range of shingles has in common, for texts of so many bytes."""
+    return min(24, max(RANGES_LOG, math.ceil(math.log2(max(chars, 1) / 8 / RANGE_SHINGLES))))
+
+
+def _runs(places: np.ndarray) -> bytes:
+    """Ascending places, as bits: for each place as many ones as it comes up, and a zero."""
+    counts = np.bincount(places)
+    bits = np.ones(len(places) + len(counts), np.uint8)
+    bits[np.cumsum(counts) + np.arange(len(counts))] = 0
+    return np.packbits(bits).tobytes()
+
+
+def _places(runs: bytes) -> np.ndarray:
+    bits = np.unpackbits(np.frombuffer(runs, np.uint8))
+    return np.cumsum(bits == 0)[bits == 1]
+
+
+def lone_shingles(texts: DataFrame, words: int, bits: int) -> DataFrame:
+    """``node, lone``: how many shingles of a set no other row of ``texts`` holds, where there are any.
+
+    Shingles that differ may be taken for one by chance, so ``lone`` may be too small, never too large. A task
+    names a number of texts at once by their places, and sends for each range of hashes 32 bits of each shingle
+    and the places; of one that several of these texts hold only the 32 bits, once. Back come the places of those
+    that are alone. A text whose range is lost or comes twice after a retry counts less, which is no error either.
+    """
+
+    def cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def rows(held: list[np.ndarray]) -> pd.DataFrame:
+            tokens = np.concatenate(held)
+            nodes = np.array([set_name(s) for s in held], np.int64).tobytes()
+            buffer = xxhash.xxh3_64_intdigest(nodes) - 2**63
+            place = np.repeat(np.arange(len(held), dtype=np.int32), [len(s) for s in held])
+            order = np.argsort(tokens)
+            first = np.append(True, tokens[order[1:]] != tokens[order[:-1]])
+            once = first & np.append(first[1:], True)
+            several = tokens[order[first & ~once]]
+            alone = np.sort(order[once])
+            tokens, place = tokens[alone], place[alone]
+            # In each range the shingles stay in the order of the texts.
+            number = (tokens >> np.uint64(64 - bits)).astype(np.uint16 if bits <= 16 else np.uint32)
+            order = np.argsort(number, kind="stable")
+            short, place = (tokens[order] << np.uint64(bits) >> np.uint64(32)).astype(np.uint32), place[order]
+            ends = np.searchsorted(number[order], np.arange(2**bits + 1))
+            short_several = (several << np.uint64(bits) >> np.uint64(32)).astype(np.uint32)
+            ends_several = np.searchsorted(several >> np.uint64(64 - bits), np.arange(2**bits + 1, dtype=np.uint64))
+            found = []
+            for k in range(2**bits):
+                a, b = slice(ends[k], ends[k + 1]), slice(ends_several[k], ends_several[k + 1])
+                if a.stop > a.start or b.stop > b.start:
+                    found.append((k, buffer, short[a].tobytes() + short_several[b].tobytes(), _runs(place[a]), None))
+            found.append((buffer % 2**bits, buffer, None, None, nodes))
+            return pd.DataFrame(found, columns=["number", "buffer", "cells", "runs", "nodes"])
+
+        known = Words()
+        held, size = [], 0
+        for batch in batches:
+            for text in batch["text"]:
+                tokens = shingles(text, words, known)
+                if len(tokens):
+                    held.append(tokens)
+                    size += len(tokens)
+                if size >= NAMED_SHINGLES:
+                    yield rows(held)
+                    held, size = [], 0
+        if size:
+            yield rows(held)
+
+    def alone(rows: pd.DataFrame) -> pd.DataFrame:
+        named = rows["nodes"].notna()
+        sent = rows[~named]
+        if len(sent):
+            parts = [np.frombuffer(x, np.uint32) for x in sent["cells"]]
+            every = np.concatenate(parts)
+            order = np.argsort(every)
+            first = np.append(True, every[order[1:]] != every[order[:-1]])
+            once = np.empty(len(every), bool)
+            once[order] = first & np.append(first[1:], True)
+            ends = np.cumsum([len(x) for x in parts])
+            found = []
+            for runs, start in zip(sent["runs"], ends - [len(x) for x in parts], strict=True):
+                places = _places(runs)
+                found.append(_runs(places[once[start : start + len(places)]]))
+            sent = sent.assign(runs=found)
+        return pd.concat([sent, rows[named]])[["buffer", "runs", "nodes"]]
+
+    def added(rows: pd.DataFrame) -> pd.DataFrame:
+        nodes = np.frombuffer(next(iter(rows["nodes"].dropna()), b""), np.int64)
+        lone = np.zeros(len(nodes), np.int64)
+        for runs in rows["runs"].dropna() if len(nodes) else ():
+            lone += np.bincount(_places(runs), minlength=len(nodes))
+        return pd.DataFrame({"node": nodes[lone > 0], "lone": lone[lone > 0]})
+
+    sent = texts.select("text").mapInPandas(cells, "number int, buffer bigint, cells binary, runs binary, nodes binary")
+    found = sent.groupBy("number").applyInPandas(alone, "buffer bigint, runs binary, nodes binary")
+    return found.groupBy("buffer").applyInPandas(added, "node bigint, lone bigint")
+
+
 # ---- clusters of sets that may be similar -------------------------------------------------------
 
 
@@ -380,16 +488,22 @@ def near_groups(
     """
     text = whole(text_col)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(id_col), text).alias("th"), text.alias("text"))
-    # A count of the documents, which Parquet tables tell from their footers.
-    part_bits, member_bits = name_bits(docs.count())
+    rows, chars = texts.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+    part_bits, member_bits = name_bits(rows)
     sketch = store(sketches(texts, words, num, den, member_bits), "sketches")
     first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th")
     classes = sketch.where("size > 0").groupBy("node").agg(
-        F.min(first).alias("rep"), F.count("*").alias("copies"), F.max("size").alias("size")
+        F.min(first).alias("rep"), F.count("*").alias("copies"), F.max("size").alias("size"),
+        F.first("members").alias("members"),
     )
     classes = store(classes, "classes")
-    clusters = components(candidate_links(texts, words, num, den, part_bits, member_bits))
-    found = store(_joined(texts, sketch, classes, clusters, words, num, den), "found")
+    # What similar sets share is at least num / den of either; copies share all.
+    lone = lone_shingles(texts, words, range_bits(chars or 0)).groupBy("node").agg(F.max("lone").alias("lone"))
+    near = classes.join(lone, "node", "left").where(F.coalesce("lone", F.lit(0)) * den <= F.col("size") * (den - num))
+    near = store(near.select("node", "size", "copies", "members", "rep.th"), "near")
+    held = store(_texts_of(texts, near), "held")
+    clusters = components(candidate_links(held, words, num, den, part_bits, member_bits))
+    found = store(_joined(held, near, clusters, words, num, den), "found")
     groups = components(found.where("v is not null").select("u", "v"))
     links = found.groupBy(F.col("u").alias("node")).agg(F.sum("links").alias("links"))
     named = (
@@ -412,17 +526,20 @@ def near_groups(
     )
 
 
-def _joined(
-    texts: DataFrame, sketch: DataFrame, classes: DataFrame, clusters: DataFrame, words: int, num: int, den: int
-) -> DataFrame:
-    """Bring one text of each clustered set to its cluster, or to its cluster's pairs of blocks."""
-    members = sketch.select("node", F.posexplode("members").alias("at", "member"))
-    members = members.select("node", (F.col("at") == 0).alias("own"), "member")
+def _texts_of(texts: DataFrame, near: DataFrame) -> DataFrame:
+    """``node, text``: the text that stands for each class."""
+    reps = near.select("node", "th")
+    reps = F.broadcast(reps) if near.count() <= SENT_CLASSES else reps.hint("merge")
+    return texts.join(reps, "th").dropDuplicates(["th"]).select("node", "text")
+
+
+def _joined(held: DataFrame, near: DataFrame, clusters: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """Bring the text of each clustered set to its cluster, or to its cluster's pairs of blocks."""
+    members = near.select("node", "size", "copies", F.posexplode("members").alias("at", "member"))
     sized = (
         clusters.withColumnRenamed("node", "member")
-        .join(members.distinct(), "member")
-        .join(classes, "node")
-        .select("component", "node", "own", "size", "copies", "rep")
+        .join(members, "member")
+        .select("component", "node", (F.col("at") == 0).alias("own"), "size", "copies")
     )
     sized = store(sized, "members")
     blocks = sized.groupBy("component").agg(F.ceil(F.sum("size") / BLOCK_SHINGLES).cast("int").alias("blocks"))
@@ -430,10 +547,6 @@ def _joined(
         "component", "node", "own", "copies", "blocks",
         F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("part"),
     )
-    reps = store(sized.select("node", "rep.th").distinct(), "reps")
-    # The wanted texts grow with the corpus, so they are never broadcast. Repeated rows are dropped by
-    # the key of the join, without another shuffle.
-    held = texts.join(reps.hint("merge"), "th").dropDuplicates(["th"]).select("node", "text")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     paired = held.join(wanted, "node").select("component", "part", "own", "node", "copies", "text", other)
     return cluster_links(
