@@ -88,6 +88,48 @@ def test_same_flags_as_the_window_form(lines):
     assert 20 <= sum(r["g"] == "hot" for r in flagged) <= 30
 
 
+@pytest.mark.parametrize("columns", [1, 2, 6])
+def test_trees_as_tables_score_alike(columns):
+    rng = np.random.default_rng(8)
+    drawn = np.concatenate([rng.integers(0, 40, (256 * 9, 1)), rng.normal(size=(256 * 9, 5))], axis=1)[:, :columns]
+    nodes = iforest._grow(drawn, [256] * 9, [np.random.default_rng([1, i]) for i in range(9)])
+    rows = np.concatenate([drawn[:700], rng.normal(size=(900, columns)) * 20, np.zeros((3, columns))])
+    rows[:3, 0], rows[3] = [np.nan, np.inf, -np.inf], rows[4]
+    plain = iforest._total_lengths(rows, nodes)
+    node = np.zeros(len(rows), int)  # the last tree once more, row by row
+    for at, row in enumerate(rows):
+        while nodes[0][-1][node[at]] >= 0:
+            node[at] = 2 * node[at] + 1 + (row[nodes[0][-1][node[at]]] > nodes[1][-1][node[at]])
+    last = np.floor(np.log2(node + 1)) + iforest.expected_path(nodes[2][-1][node])
+    assert (last == iforest._path_lengths(rows, *(x[-1] for x in nodes))).all()
+    tables = iforest._tables(nodes, columns)
+    assert (tables is None) == (columns == 6)
+    if tables:
+        assert (iforest._total_lengths(rows, nodes, tables) == plain).all()
+
+
+def test_tables_where_many_rows_are_scored(lines, monkeypatch):
+    forest = store(iforest.iforest_fit(lines, ["g"], M, "id", n_trees=9), "forest")
+    plain = spark_rows(raw_forest.score(lines, forest, ["g"], M, "id"))
+    monkeypatch.setattr(iforest, "TABLE_ROWS", 100)
+    monkeypatch.setattr(raw_forest, "ROWS_AT_ONCE", 150)
+    for sent in (raw_forest.BROADCAST_BYTES, 0):
+        assert spark_rows(raw_forest.score(lines, forest, ["g"], M, "id", broadcast_bytes=sent)) == plain
+
+
+def test_long_groups_are_asked_tree_by_tree(spark, monkeypatch):
+    """In generated code, and for the same forest as when they are asked block by block."""
+    rows = spark.range(14_000).select(F.when(F.col("id") < 1500, "short").otherwise("long").alias("g"), "id", F.xxhash64("id").alias("a"))
+    fit = lambda: iforest.iforest_fit(rows, ["g"], ["a"], "id", n_trees=30, counted=True)
+    found = fit()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "transform" not in plan.split("Generate")[-1].split("Scan")[0].split("BroadcastExchange")[0]
+    by_tree = sorted(map(str, found.collect()))
+    assert len(by_tree) == 60
+    monkeypatch.setattr(iforest, "_reach", lambda samples: 1000.0)
+    assert sorted(map(str, fit().collect())) == by_tree
+
+
 def test_empty_table(lines):
     assert raw_forest.flag_isolation_forest(lines.limit(0), ["g"], M, "id", n_trees=2).collect() == []
 

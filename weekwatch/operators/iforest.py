@@ -7,6 +7,7 @@ trees and a bounded slice of rows per scoring call, never a whole table.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -26,6 +27,9 @@ SEED = 42
 
 TREES_PER_BLOCK = 25
 ROWS_PER_SLICE = 262_144
+#: Trees are made into tables of at most so many cells, for groups of at least so many rows.
+TABLE_CELLS = 2**16
+TABLE_ROWS = 2**16
 
 _NODE_ARRAYS = {"feature": pa.int32(), "threshold": pa.float64(), "size": pa.int32()}
 _TREE_FIELDS = [
@@ -86,17 +90,80 @@ def _grow(rows: np.ndarray, counts: Sequence[int], generators: Sequence[np.rando
     return feature.reshape(shape), threshold.reshape(shape), size.reshape(shape)
 
 
+def _lengths(size: np.ndarray) -> np.ndarray:
+    """For each node the depth that it stands for as a leaf: its own, and that of its rows below it."""
+    return np.floor(np.log2(np.arange(1, len(size) + 1))) + expected_path(size)
+
+
 def _path_lengths(rows: np.ndarray, feature, threshold, size) -> np.ndarray:
     """Depth of the leaf each row falls into, plus the depth the leaf stands for."""
-    node = np.zeros(len(rows), dtype=np.int64)
-    depth = np.zeros(len(rows))
-    each = np.arange(len(rows))
-    for _ in range(int(np.log2(len(feature) + 1)) - 1):
-        inner = feature[node] >= 0
-        right = rows[each, feature[node]] > threshold[node]
-        node = np.where(inner, 2 * node + 1 + right, node)
-        depth += inner
-    return depth + expected_path(size[node])
+    inner, length = feature >= 0, _lengths(size)
+    feature, threshold = np.where(inner, feature, 0).astype(np.int64), np.where(inner, threshold, np.inf)
+    flat = np.ascontiguousarray(rows).reshape(-1)
+    first = np.arange(len(rows)) * rows.shape[1]
+    place = np.zeros(len(rows), dtype=np.int64)
+    for level in range(int(np.log2(len(feature) + 1)) - 1):
+        here, below = slice(2**level - 1, 2 ** (level + 1) - 1), slice(2 ** (level + 1) - 1, 2 ** (level + 2) - 1)
+        # No value is beyond the threshold of a leaf: rows go left from it, and find its length there.
+        left = length[below][::2]
+        left[:] = np.where(inner[here], left, length[here])
+        value = flat.take(first + feature[here].take(place))
+        place += place
+        place += value > threshold[here].take(place >> 1)
+    return length[len(feature) // 2 :].take(place)
+
+
+class Cells:
+    """A tree as a table: where a value lies among the thresholds of its column, for each column, names the length."""
+
+    def __init__(self, feature, threshold, size, columns: int):
+        own = [feature == c for c in range(columns)]
+        self.cuts = [np.unique(threshold[x]) for x in own]
+        shape = [len(c) + 1 for c in self.cuts]
+        self.steps = [math.prod(shape[c + 1 :]) for c in range(columns)]
+        rank = np.zeros(len(threshold))
+        for x, cuts in zip(own, self.cuts):
+            rank[x] = np.searchsorted(cuts, threshold[x])
+        cells = np.indices(shape).reshape(columns, -1).T
+        self.lengths, code = np.unique(_path_lengths(cells, feature, rank, size), return_inverse=True)
+        self.code = code.reshape(-1).astype(np.uint8 if len(self.lengths) <= 256 else np.uint32)
+
+    @staticmethod
+    def fit(feature, columns: int) -> bool:
+        """Whether the trees' tables, at most, are small."""
+        cuts = np.stack([(feature == c).sum(axis=1) + 1.0 for c in range(columns)])
+        return bool((cuts.prod(axis=0) <= TABLE_CELLS).all())
+
+
+def _tables(nodes: Sequence[np.ndarray], columns: int) -> list[Cells] | None:
+    """The trees as tables, where these are small: with few columns."""
+    return [Cells(*tree, columns) for tree in zip(*nodes)] if Cells.fit(nodes[0], columns) else None
+
+
+def _total_lengths(rows: np.ndarray, nodes: Sequence[np.ndarray], tables: list[Cells] | None = None) -> np.ndarray:
+    """The sum over all trees of each row's path; the same to the last bit with and without tables."""
+    total = np.zeros(len(rows))
+    if tables is None:
+        for tree in zip(*nodes):
+            total += _path_lengths(rows, *tree)
+        return total
+    rows = np.where(np.isnan(rows), -np.inf, rows)  # neither is beyond any threshold
+    order = np.argsort(rows[:, 0])
+    rows = rows[order]
+    orders = [np.argsort(column) for column in rows.T]
+    ordered = [column[o] for column, o in zip(rows.T, orders)]
+    back = [np.argsort(o) for o in orders]
+    for tree in tables:
+        cell = np.zeros(len(rows), dtype=np.int64)
+        for number, (column, cuts, step) in enumerate(zip(ordered, tree.cuts, tree.steps)):
+            # In the order of a column, the rows between two thresholds follow one another.
+            ends = np.concatenate([[0], np.searchsorted(column, cuts, side="right"), [len(column)]])
+            part = np.repeat(np.arange(len(cuts) + 1) * step, np.diff(ends))
+            cell += part if number == 0 else part.take(back[number])
+        total += tree.lengths.take(tree.code.take(cell))
+    out = np.empty(len(rows))
+    out[order] = total
+    return out
 
 
 def _vectors(table: pa.Table, name: str) -> np.ndarray:
@@ -174,15 +241,18 @@ def iforest_fit(
         F.sequence(first, F.least(last, F.lit(n_trees - 1))),
         lambda tree: F.struct(tree.alias("tree"), hashed(tree).alias("chance")),
     )
-    drawing = F.filter(
-        chances, lambda draw: (draw["chance"] / F.lit(2.0**64) + 0.5) * F.col("__rows") <= _reach(max_samples)
-    )
-    blocks = F.sequence(F.lit(0), F.lit((n_trees - 1) // TREES_PER_BLOCK))
-    # One row per row and block of trees, however many of the block's trees may draw it.
+    may_draw = lambda chance: (chance / F.lit(2.0**64) + 0.5) * F.col("__rows") <= _reach(max_samples)
+    drawing = F.filter(chances, lambda draw: may_draw(draw["chance"]))
+    # Rows of a long group are drawn by hardly any tree: they are asked for each tree, in generated code, and sent to
+    # the tree. Others are sent once to each block of trees, which is a number below zero here, with their draws.
+    blocks = F.sequence(F.lit(-((n_trees - 1) // TREES_PER_BLOCK) - 1), F.lit(-1))
+    is_long = F.col("__rows") > TREES_PER_BLOCK * _reach(max_samples)
+    item, chance = F.col("__item"), hashed(F.col("__item"))
     drawn = (
-        sized.withColumn("__block", F.explode(blocks))
-        .withColumn("__draws", drawing)
-        .filter(F.size("__draws") > 0)
+        sized.withColumn("__item", F.explode(F.when(is_long, F.sequence(F.lit(0), F.lit(n_trees - 1))).otherwise(blocks)))
+        .filter((item < 0) | may_draw(chance))
+        .withColumn("__block", F.when(item < 0, -1 - item).otherwise(F.floor(item / TREES_PER_BLOCK)).cast("int"))
+        .withColumn("__draws", F.when(item < 0, drawing).otherwise(F.array(F.struct(item.alias("tree"), chance.alias("chance")))))
         .select(
             *keys,
             "__block",
@@ -247,8 +317,8 @@ def iforest_score(
             grown = grown.sort_by("__tree")
             values = _vectors(table, "__x")
             nodes = [_vectors(grown, name) for name in _NODE_ARRAYS]
-            for feature, threshold, size in zip(*nodes):
-                scores += _path_lengths(values, feature, threshold, size)
+            tables = _tables(nodes, values.shape[1]) if len(values) >= TABLE_ROWS else None
+            scores = _total_lengths(values, nodes, tables)
             usual = float(expected_path(grown.column("__samples")[0].as_py()))
             scores = 2.0 ** (-scores / (len(grown) * usual))
         return table.drop_columns(["__slice", "__x"]).append_column(

@@ -7,7 +7,7 @@ histograms that add up.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +23,8 @@ from weekwatch.sources.scratch import store
 #: Bytes of trees that each task may hold; a node takes 16, a tree of 256 rows 8 KB.
 BROADCAST_BYTES = 64 * 2**20
 _NODE_BYTES = 16
+#: Rows that a task scores at once.
+ROWS_AT_ONCE = 2**17
 
 
 def _fits(forest: DataFrame, most: int) -> bool:
@@ -30,6 +32,19 @@ def _fits(forest: DataFrame, most: int) -> bool:
     return (nodes or 0) * _NODE_BYTES <= most and trees <= BROADCAST_GROUPS
 
 
+def _gathered(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Table]:
+    """The batches in tables of ``least`` rows or somewhat more."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += len(batch)
+        if size >= least:
+            yield pa.Table.from_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def score(
     rows: DataFrame,
     forest: DataFrame,
@@ -62,17 +77,18 @@ def score(
 
     def score_batches(batches):
         forests = sent.value
-        for batch in batches:
-            part = pa.Table.from_batches([batch])
+        tables, met = {}, dict.fromkeys(forests, 0)
+        for part in _gathered(batches, ROWS_AT_ONCE):
             scores = np.zeros(len(part))
             own = part.column("__forest").fill_null(-1).to_numpy()
             values = iforest._vectors(part, "__x") if len(part) else None
-            for number in np.unique(own[own >= 0]):
-                nodes, samples = forests[int(number)]
+            for number in np.unique(own[own >= 0]).tolist():
+                nodes, samples = forests[number]
                 here = own == number
-                depth = np.zeros(here.sum())
-                for tree in zip(*nodes):
-                    depth += iforest._path_lengths(values[here], *tree)
+                met[number] += here.sum()
+                if number not in tables and met[number] >= iforest.TABLE_ROWS:
+                    tables[number] = iforest._tables(nodes, values.shape[1])
+                depth = iforest._total_lengths(values[here], nodes, tables.get(number))
                 scores[here] = 2.0 ** (-depth / (len(nodes[0]) * float(iforest.expected_path(samples))))
             out = part.drop_columns(["__forest", "__x"]).append_column("iforest_score", pa.array(scores, pa.float64()))
             yield from out.to_batches()
