@@ -1,6 +1,7 @@
 """Toxicity and quality: held-out accuracy, edges, and the compiled forms."""
 
 import math
+import re
 import zlib
 
 import numpy as np
@@ -76,6 +77,50 @@ def test_pairs_add_to_the_score():
     assert logit == pytest.approx([-2.0 + k * (k - 1) / 2 for k in n])
 
 
+ODD_TEXTS = [
+    None, "", " \n", "insult", "Insults insulted insulting insulter insulters insultingly insult_able in5ult",
+    "STRASSE straße ΣΊΣΥΦΟΣ İstanbul \u201cquoted\u201d\u2014dash x² ½ ٣٤ 한국어 中文字 e\u0301te\u0301 a\x85b\xa0c\x1cd",
+    "calm " * 3000 + "insultable", "z" * 5000 + " insults " + "insult" * 40, "insult\u0301s \ud800 insulted",
+]
+
+
+def _words_read_one_by_one(text):
+    return set(re.findall(r"[^\W\d_]+", (text or "").lower()))
+
+
+def test_words_are_runs_of_letters():
+    for text in ODD_TEXTS:
+        words = _words_read_one_by_one(text)
+        assert toxicity.distinct_words(text) == words
+        assert toxicity.distinct_words(text, {"insult", "calm", "x²"}) == words - {"insult", "calm", "x²"}
+
+
+@pytest.mark.parametrize("bits", [4, 9, 30])
+@pytest.mark.parametrize("most", [0, 3, 1 << 16])
+def test_terms_found_are_those_of_all_words(bits, most):
+    every = sorted(set().union(*(toxicity.hashed_terms(t, bits) for t in ODD_TEXTS)))
+    for terms in ([], every[::3], every[1::7], every):
+        finder = toxicity.TermFinder(terms, bits, most)
+        for text in ODD_TEXTS * 2:
+            held = toxicity.hashed_terms(text, bits)
+            assert finder.held(text) == [i for i, t in enumerate(terms) if t in held]
+            assert len(finder.quiet) <= most and all(len(w) <= toxicity.QUIET_LETTERS for w in finder.quiet)
+
+
+def test_words_without_terms_are_hashed_once_a_task(monkeypatch):
+    hashed = []
+    crc32 = zlib.crc32
+    monkeypatch.setattr(toxicity.zlib, "crc32", lambda *a: hashed.append(a) or crc32(*a))
+    terms = tuple(sorted(toxicity.hashed_terms("insult")))
+    model = toxicity.FactorModel(-2.0, terms, np.ones(len(terms)), np.zeros((len(terms), 1)))
+    text = " ".join(f"harmless{a}{b}" for a in "abcdefgh" for b in "abcdefgh")
+    model.scores(pd.Series([text]))
+    once = len(hashed)
+    hashed.clear()
+    model.scores(pd.Series([text] * 50))
+    assert len(hashed) <= once + 50
+
+
 def test_quality_learns_and_scores_edges(spark):
     rows, labels = toy(spark)
     labels += [(None, 1, 1, None), (1, None, None, None), (2, 0, 1, None)]

@@ -10,11 +10,12 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator, Set
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.classification import FMClassifier
 from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.sql import DataFrame
@@ -34,6 +35,24 @@ MAX_TERMS, LEAST_RATIO = 2048, 16.0
 TRAINING_ROWS = 20_000
 FACTORS, ITERATIONS, STEP, PENALTY, SEED = 4, 120, 0.2, 1e-4, 17
 THRESHOLD = 0.5
+# A word is a run of letters. ASCII characters that are no letters stand between words in any language.
+WORD = r"[^\W\d_]+"
+SPACED = bytes(b if b > 127 or chr(b).isalpha() else 32 for b in range(256))
+# At most so many words, of at most so many letters, are remembered in a task as words of no term of the model.
+QUIET_WORDS, QUIET_LETTERS = 1 << 16, 32
+
+
+def distinct_words(text: str | None, passed: Set[str] = frozenset()) -> set[str]:
+    """The words of a whole text, in lower case, but for those in ``passed``.
+
+    Cutting at ASCII characters leaves few pieces that hold anything but letters; only these need the expression.
+    """
+    lower = (text or "").lower().encode("utf-8", "surrogatepass")
+    pieces = set(lower.translate(SPACED).decode("utf-8", "surrogatepass").split()) - passed
+    words = set(filter(str.isalpha, pieces))
+    if len(words) == len(pieces):
+        return words
+    return words.union(re.findall(WORD, " ".join(pieces - words))) - passed
 
 
 def hashed_terms(text: str | None, bits: int = HASH_BITS) -> set[int]:
@@ -42,7 +61,11 @@ def hashed_terms(text: str | None, bits: int = HASH_BITS) -> set[int]:
     Terms are the words (runs of letters), and the first letters of words together with how many
     different words begin so, in steps: insults come with many endings.
     """
-    words = set(re.findall(r"[^\W\d_]+", (text or "").lower()))
+    return terms_of(distinct_words(text), bits)
+
+
+def terms_of(words: Set[str], bits: int = HASH_BITS) -> set[int]:
+    """The hashes of the terms that these words make."""
     stems = Counter(w[:k] for w in words for k in STEM_LETTERS if len(w) > k)
     shift = 32 - bits
     found = {zlib.crc32(w.encode()) >> shift for w in words}
@@ -51,6 +74,45 @@ def hashed_terms(text: str | None, bits: int = HASH_BITS) -> set[int]:
     return found
 
 
+class TermFinder:
+    """Finds the terms of a model in texts; most words can make none of them, and are remembered as such.
+
+    A word tells something if it is a term, or if one of its beginnings is, with any count. Counts
+    need no other words, since all words with that beginning tell something as well.
+    """
+
+    def __init__(self, terms: Iterable[int], bits: int = HASH_BITS, most: int = QUIET_WORDS) -> None:
+        self.at = {t: i for i, t in enumerate(terms)}
+        self.bits, self.shift, self.most = bits, 32 - bits, most
+        self.quiet: set[str] = set()
+        # Another step after a stem changes the same bits of the checksum, whatever the stem (CRC is
+        # linear), so the hash of the first step tells whether any of them leads to a term.
+        steps = [f"*{n}".encode() for n in STEM_STEPS]
+        self.first = steps[0]
+        changes = [(zlib.crc32(step) ^ zlib.crc32(self.first)) >> self.shift for step in steps]
+        self.first_steps = {t ^ c for t in self.at for c in changes}
+
+    def tells(self, word: str) -> bool:
+        if zlib.crc32(word.encode()) >> self.shift in self.at:
+            return True
+        for k in STEM_LETTERS:
+            if len(word) <= k:
+                return False
+            if zlib.crc32(self.first, zlib.crc32(word[:k].encode())) >> self.shift in self.first_steps:
+                return True
+        return False
+
+    def held(self, text: str | None) -> list[int]:
+        """The places of the terms that a whole text holds, in ascending order."""
+        words = distinct_words(text, self.quiet)
+        telling = set(filter(self.tells, words))
+        fresh = [w for w in words - telling if len(w) <= QUIET_LETTERS]
+        if len(self.quiet) + len(fresh) > self.most:
+            self.quiet.clear()
+        self.quiet.update(fresh[: self.most])
+        return sorted(self.at[t] for t in terms_of(telling, self.bits) if t in self.at)
+
+
 @dataclass(frozen=True)
 class FactorModel:
     """``terms`` are sorted hashes; ``linear`` and ``factors`` have a row for each of them."""
@@ -60,11 +122,12 @@ class FactorModel:
     linear: np.ndarray
     factors: np.ndarray
 
-    def scores(self, texts: pd.Series) -> pd.Series:
-        at = {t: i for i, t in enumerate(self.terms)}
+    def scores(self, texts: Iterable[str | None], finder: TermFinder | None = None) -> pd.Series:
+        """The scores of texts; ``finder`` is one for ``terms`` that has seen other texts of the task."""
+        finder = finder or TermFinder(self.terms)
 
         def one(text: str | None) -> float:
-            held = [at[t] for t in hashed_terms(text) if t in at]
+            held = finder.held(text)
             vectors = self.factors[held]
             pairs = 0.5 * float((vectors.sum(axis=0) ** 2 - (vectors**2).sum(axis=0)).sum())
             return self.intercept + float(self.linear[held].sum()) + pairs
@@ -144,13 +207,15 @@ def fit(
 def score(docs: DataFrame, model: FactorModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, held_out, score`` of every row; null and empty texts score as texts without terms.
 
-    Whole texts are read whatever their length; rows are never moved or joined.
+    Whole texts are read whatever their length; rows are never moved or joined. Of a batch only the
+    text at hand is a Python string.
     """
 
-    @F.pandas_udf("double")
-    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        finder = TermFinder(model.terms)
         for batch in batches:
-            yield model.scores(batch)
+            yield pa.array(model.scores((text.as_py() for text in batch), finder))
 
     return docs.select(
         F.col(id_col).alias("doc_id"), held_out(id_col).alias("held_out"), scored(whole(text_col)).alias("score")
