@@ -107,6 +107,17 @@ def test_terms_found_are_those_of_all_words(bits, most):
             assert len(finder.quiet) <= most and all(len(w) <= toxicity.QUIET_LETTERS for w in finder.quiet)
 
 
+def test_stems_are_hashed_once_whatever_their_steps(monkeypatch):
+    words = {f"insult{end}" for end in "abcdefgh"}
+    spelled = words | {f"{'insults'[:k]}*{n}" for k in (4, 5, 6) for n in (1, 2, 3, 5, 8)}
+    hashed = []
+    crc32 = zlib.crc32
+    monkeypatch.setattr(toxicity.zlib, "crc32", lambda *a: hashed.append(a[0]) or crc32(*a))
+    assert toxicity.hashed_terms(" ".join(sorted(words))) == {crc32(t.encode()) >> 2 for t in spelled}
+    begun = [t for t in hashed if not t.startswith(b"*")]
+    assert sorted(begun) == sorted([*(w.encode() for w in words), b"insu", b"insul", b"insult"])
+
+
 def test_words_without_terms_are_hashed_once_a_task(monkeypatch):
     hashed = []
     crc32 = zlib.crc32
