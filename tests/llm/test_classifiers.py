@@ -68,6 +68,14 @@ def test_toxicity_learns_and_scores_edges(spark):
     assert by_id[9003] >= 0.5 and by_id[9000] == by_id[9001] == by_id[9002] < 0.5
 
 
+def test_training_terms_are_stored_in_order(spark):
+    docs = spark.createDataFrame([(i, 1.0, t) for i, t in enumerate([t for t in ODD_TEXTS if "\ud800" not in (t or "")])],
+                                 "doc_id long, label double, text string")
+    for row, text in zip(toxicity._term_rows(docs).orderBy("doc_id").collect(), ODD_TEXTS):
+        assert row["terms"] == sorted(toxicity.hashed_terms(text))
+    assert len({len(step) for _, step in toxicity.STEP_NAMES}) == 1
+
+
 def test_pairs_add_to_the_score():
     terms = tuple(sorted(toxicity.hashed_terms("insult") | toxicity.hashed_terms("group")))
     model = toxicity.FactorModel(-2.0, terms, np.zeros(len(terms)), np.ones((len(terms), 1)))
