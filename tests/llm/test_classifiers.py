@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -140,6 +141,21 @@ def test_words_without_terms_are_hashed_once_a_task(monkeypatch):
     assert len(hashed) <= once + 50
 
 
+def test_remembered_words_take_less_than_the_texts_of_a_batch(monkeypatch):
+    made, finder = [], toxicity.TermFinder
+    monkeypatch.setattr(toxicity, "TermFinder", lambda *a, **k: made.append(finder(*a, **k)) or made[-1])
+    terms = tuple(sorted(toxicity.hashed_terms("insult")))
+    model = toxicity.FactorModel(-2.0, terms, np.ones(len(terms)), np.zeros((len(terms), 1)))
+    texts = [" ".join(f"harmless{a}{b}{c}" for b in "abcdefgh" for c in "abcdefgh") for a in "abcdefghijklmnop"]
+    batches = [pa.array(texts[:1]), pa.array(texts), pa.array(["insult", None, ""])]
+    expected = [list(model.scores(b.to_pylist())) for b in batches]
+    made.clear()
+    for batch, scores in zip(batches, model.score_batches(batches)):
+        assert scores.to_pylist() == expected.pop(0)
+        assert len(made[0].quiet) <= made[0].most <= max(b.nbytes for b in batches) // toxicity.QUIET_BYTES
+    assert len(made) == 1 and 0 < batches[0].nbytes // toxicity.QUIET_BYTES < made[0].most
+
+
 def test_quality_learns_and_scores_edges(spark):
     rows, labels = toy(spark)
     labels += [(None, 1, 1, None), (1, None, None, None), (2, 0, 1, None)]
